@@ -15,7 +15,7 @@ def transect_samples(assets: DataFrame, grid: GridSpec, asset: str, segments: li
                      step: float) -> DataFrame:
     """Sample positions of every asset, bearing and segment, as cells; off-grid ones included."""
     n = round(360 / interval)
-    bearing = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    turns = F.sequence(F.lit(1), F.lit(n))
     spots, start = [], 0.0
     for k, length in enumerate(segments):
         d = start + step / 2
@@ -24,7 +24,7 @@ def transect_samples(assets: DataFrame, grid: GridSpec, asset: str, segments: li
             d += step
         start += length
     where = F.array(*[F.struct(F.lit(k).alias("seg"), F.lit(d).alias("d")) for k, d in spots])
-    base = assets.select(F.col(asset).alias("asset"), "x", "y", (bearing * interval).alias("bearing"))
+    base = assets.select(F.col(asset).alias("asset"), "x", "y", F.explode(F.transform(turns, lambda i: i * F.lit(float(interval)))).alias("bearing"))
     theta = F.radians("bearing")
     pts = base.select("asset", "x", "y", "bearing", F.sin(theta).alias("sx"), F.cos(theta).alias("cy"), F.inline(where))
     return pts.select("asset", "bearing", "seg", grid.row_of(F.col("y") + F.col("d") * F.col("cy")).alias("row"),

@@ -30,7 +30,9 @@ def focal_sums(
     """Sum and count of non-null values in every kernel, for every cell present.
 
     All columns and kernels share one shuffle.  Output columns are
-    ``{value}_{kernel}_sum`` and ``{value}_{kernel}_n``.
+    ``{value}_{kernel}_sum`` and ``{value}_{kernel}_n``.  Sums keep nine decimals: a
+    running total carries noise of the cells before it, and equal neighbourhoods must
+    stay equal wherever they lie, or ranks would see ties broken.
     """
     halo = max(win.reach_of(o) for o in kernels.values())
     runs = {k: win.to_runs(o) for k, o in kernels.items()}
@@ -41,7 +43,7 @@ def focal_sums(
             known = ~np.isnan(a)
             total, count = row_prefix(np.where(known, a, 0.0)), row_prefix(known.astype("float64"))
             for k, r in runs.items():
-                out[f"{v}_{k}_sum"] = run_sums(total, r, halo, shape)
+                out[f"{v}_{k}_sum"] = np.round(run_sums(total, r, halo, shape), 9)
                 out[f"{v}_{k}_n"] = run_sums(count, r, halo, shape)
         return out
 
