@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.errors import AllNull, BadRange, BadWeather, EmberError, UnknownName, notice
 from emberline.functions.scalars import rh_at_temperature
@@ -18,23 +22,41 @@ from emberline.session import cut_lineage
 MANY_STATIONS = 2_000
 
 
+def _nearest_of_few(points: DataFrame, stations: list, sid_type: T.DataType, x: str, y: str) -> DataFrame:
+    """Distances to every station of a counted handful, a block of points at a time."""
+    sx = np.array([r["_sx"] for r in stations], dtype="float64")
+    sy = np.array([r["_sy"] for r in stations], dtype="float64")
+    ids = np.array([r["_sid"] for r in stations], dtype=object)
+    block = max(1, 2_000_000 // max(len(ids), 1))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            px, py = pdf[x].to_numpy(dtype="float64"), pdf[y].to_numpy(dtype="float64")
+            best, d2 = np.zeros(len(pdf), dtype="int64"), np.empty(len(pdf))
+            for a in range(0, len(pdf), block):
+                dx, dy = px[a:a + block, None] - sx, py[a:a + block, None] - sy
+                d = dx * dx + dy * dy
+                best[a:a + block] = d.argmin(axis=1)
+                d2[a:a + block] = d[np.arange(len(d)), best[a:a + block]]
+            yield pdf.assign(station=pd.Series(ids[best], index=pdf.index), d2=d2)
+
+    schema = T.StructType([*points.schema.fields, T.StructField("station", sid_type),
+                           T.StructField("d2", T.DoubleType())])
+    return points.mapInPandas(pick, schema)
+
+
 def nearest(points: DataFrame, stations: DataFrame, key: list[str], x: str = "x", y: str = "y", sid: str = "id",
             order: str = "ord", cell: float | None = None, few: int = MANY_STATIONS) -> DataFrame:
     """Nearest station of each point by squared planar distance; ties go to the first in ``order``.
 
-    A counted handful of stations travels as one array value.  More than that are
-    looked up in square bins that double until every point has a station nearer than
+    A counted handful of stations travels with the task.  More than that are looked
+    up in square bins that double until every point has a station nearer than
     a bin is wide, which no unseen station can beat.
     """
-    st = stations.select(F.col(sid).alias("_sid"), F.col(order).alias("_ord"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
+    st = stations.select(F.col(sid).alias("_sid"), F.col(order).alias("_ord"), F.col("x").cast("double").alias("_sx"),
+                         F.col("y").cast("double").alias("_sy"))
     if st.limit(few + 1).count() <= few:
-        table = st.agg(F.collect_list(F.struct("_sx", "_sy", "_ord", "_sid")).alias("s"))
-        px, py = F.col(x), F.col(y)
-        best = F.array_min(F.transform("_st", lambda s: F.struct(
-            ((px - s["_sx"]) * (px - s["_sx"]) + (py - s["_sy"]) * (py - s["_sy"])).alias("d2"),
-            s["_ord"].alias("ord"), s["_sid"].alias("id"))))
-        return points.withColumn("_st", table.scalar()).withColumn("_b", best).select(
-            *points.columns, F.col("_b.id").alias("station"), F.col("_b.d2").alias("d2"))
+        return _nearest_of_few(points, st.orderBy("_ord").collect(), st.schema["_sid"].dataType, x, y)
     if cell is None:
         raise EmberError("a starting bin width is needed for many stations")
     todo, done, width = points, None, float(cell)
