@@ -160,9 +160,14 @@ def axis_index(df: DataFrame, coord: str, out: str, descending: bool = False) ->
     return table.select(coord, pos.cast("int").alias(out))
 
 
-def assemble(series: DataFrame, index: str, lat: str = "lat", long: str = "long") -> DataFrame:
-    """Station values as a dated grid by exact coordinates: north row first, west column first."""
-    rows, cols = axis_index(series, lat, "row", descending=True), axis_index(series, long, "col")
+def assemble(series: DataFrame, index: str, lat: str = "lat", long: str = "long", stations: DataFrame | None = None) -> DataFrame:
+    """Station values as a dated grid by exact coordinates: north row first, west column first.
+
+    ``stations`` gives the coordinates of the lattice, so that a long recurrence need
+    not run again just to list them.
+    """
+    where = series if stations is None else stations
+    rows, cols = axis_index(where, lat, "row", descending=True), axis_index(where, long, "col")
     return series.join(rows, lat).join(cols, long).select(
         F.make_date("yr", "mon", "day").alias("date"), *CELL, F.col(index).alias("value"))
 

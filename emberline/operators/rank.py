@@ -103,8 +103,13 @@ def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | Non
 
     One row per group and probability: ``prob``, ``q``, ``n``.
     """
+    return quantiles_of_counts(value_counts(df, value, by), value, probs, by)
+
+
+def quantiles_of_counts(counts: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """As :func:`quantiles`, from one row per group and value with its count ``n``."""
     by = by or []
-    table = cumulative(value_counts(df, value, by), value, ["n"], by)
+    table = cumulative(counts.select(*by, value, "n"), value, ["n"], by)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     spot = F.transform(wanted, lambda p: F.struct(
         p.alias("prob"), F.floor((F.col("n_total") - 1) * p).alias("k"),

@@ -12,7 +12,7 @@ from emberline.errors import AllNull, DegenerateSample, EmptyResult, VintageRequ
 from emberline.grid import CELL, GridSpec
 from emberline.operators.classify import score_bin
 from emberline.operators.focal import exposure_sweep
-from emberline.operators.rank import auc, quantiles
+from emberline.operators.rank import auc, quantiles_of_counts, value_counts
 from emberline.operators.raster import rasterize
 from emberline.operators.windows import default_radii, window_side
 
@@ -80,19 +80,20 @@ def roc(scored: DataFrame, n_thresholds: int = 200, score: str = "score", positi
     the short threshold table.
     """
     n = max(n_thresholds, 2)
-    cut = quantiles(scored.select(score), score, [i / (n - 1) for i in range(n)]).select("q").distinct()
+    counts = value_counts(scored, score, pos=F.count_if(positive))
+    cut = quantiles_of_counts(counts, score, [i / (n - 1) for i in range(n)]).select("q").distinct()
     cuts = cut.agg(F.array_sort(F.collect_list("q")).alias("c")).scalar()
     k = F.aggregate("_c", F.lit(0), lambda acc, x: acc + (x <= F.col(score)).cast("int"))
-    binned = scored.withColumn("_c", cuts).select(k.alias("k"), F.col(positive).alias("p")).groupBy("k").agg(
-        F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
-    spots = cut.select(F.col("q").alias("threshold"), F.row_number().over(Window.orderBy("q")).alias("k"))
+    binned = counts.withColumn("_c", cuts).select(k.alias("k"), "n", "pos").groupBy("k").agg(
+        F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
+    short = Window.partitionBy(F.lit(0))
+    spots = cut.select(F.col("q").alias("threshold"), F.row_number().over(short.orderBy("q")).alias("k"))
     ends = scored.sparkSession.range(1)
     spots = spots.union(ends.select(F.lit(float("-inf")), F.lit(0))).union(ends.select(F.lit(float("inf")), F.lit(2**31 - 1)))
-    above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
+    above = short.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     full = spots.join(binned, "k", "left").fillna(0, ["pos", "neg"])
-    return full.select("threshold", (F.sum("pos").over(above) / F.sum("pos").over(whole)).alias("tpr"),
-                       (F.sum("neg").over(above) / F.sum("neg").over(whole)).alias("fpr"))
+    return full.select("threshold", (F.sum("pos").over(above) / F.sum("pos").over(short)).alias("tpr"),
+                       (F.sum("neg").over(above) / F.sum("neg").over(short)).alias("fpr"))
 
 
 @dataclass(frozen=True)

@@ -16,28 +16,35 @@ from emberline.functions.scalars import rh_at_temperature
 from emberline.grid import CELL, GridSpec
 from emberline.operators.classify import right_closed_band
 from emberline.operators.fwi import check_columns, fwi_series
-from emberline.operators.rank import quantiles
+from emberline.operators.rank import quantiles, quantiles_of_counts
 from emberline.session import cut_lineage
 
-MANY_STATIONS = 2_000
+MANY_STATIONS = 20_000
 
 
 def _nearest_of_few(points: DataFrame, stations: list, sid_type: T.DataType, x: str, y: str) -> DataFrame:
-    """Distances to every station of a counted handful, a block of points at a time."""
+    """Nearest of a counted set of stations, neighbouring points sharing one short list."""
     sx = np.array([r["_sx"] for r in stations], dtype="float64")
     sy = np.array([r["_sy"] for r in stations], dtype="float64")
     ids = np.array([r["_sid"] for r in stations], dtype=object)
-    block = max(1, 2_000_000 // max(len(ids), 1))
+    width = max(np.ptp(sx), np.ptp(sy), 1e-9) / max(math.sqrt(len(ids)), 1.0) if len(ids) else 1.0
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             px, py = pdf[x].to_numpy(dtype="float64"), pdf[y].to_numpy(dtype="float64")
             best, d2 = np.zeros(len(pdf), dtype="int64"), np.empty(len(pdf))
-            for a in range(0, len(pdf), block):
-                dx, dy = px[a:a + block, None] - sx, py[a:a + block, None] - sy
+            near = pd.DataFrame({"i": np.floor(px / width), "j": np.floor(py / width)})
+            for at in near.groupby(["i", "j"], sort=False).indices.values():
+                bx, by = px[at], py[at]
+                x0, x1, y0, y1 = bx.min(), bx.max(), by.min(), by.max()
+                far = np.maximum(np.abs(sx - x0), np.abs(sx - x1)) ** 2 + np.maximum(np.abs(sy - y0), np.abs(sy - y1)) ** 2
+                gap = np.maximum(np.maximum(x0 - sx, sx - x1), 0) ** 2 + np.maximum(np.maximum(y0 - sy, sy - y1), 0) ** 2
+                # no station further from the box than the best worst case can win
+                c = np.flatnonzero(gap <= far.min())
+                dx, dy = bx[:, None] - sx[c], by[:, None] - sy[c]
                 d = dx * dx + dy * dy
-                best[a:a + block] = d.argmin(axis=1)
-                d2[a:a + block] = d[np.arange(len(d)), best[a:a + block]]
+                k = d.argmin(axis=1)
+                best[at], d2[at] = c[k], d[np.arange(len(at)), k]
             yield pdf.assign(station=pd.Series(ids[best], index=pdf.index), d2=d2)
 
     schema = T.StructType([*points.schema.fields, T.StructField("station", sid_type),
@@ -49,7 +56,7 @@ def nearest(points: DataFrame, stations: DataFrame, key: list[str], x: str = "x"
             order: str = "ord", cell: float | None = None, few: int = MANY_STATIONS) -> DataFrame:
     """Nearest station of each point by squared planar distance; ties go to the first in ``order``.
 
-    A counted handful of stations travels with the task.  More than that are looked
+    A counted set of stations travels with the task.  More than that are looked
     up in square bins that double until every point has a station nearer than
     a bin is wide, which no unseen station can beat.
     """
@@ -111,12 +118,18 @@ def topo_zones(cells: DataFrame, dem: str, n_elev: int = 8, n_aspect: int = 1, a
 def zone_table(zones: DataFrame, grid: GridSpec, dem: str, lat: Column | None = None, station: str | None = None) -> DataFrame:
     """One row per zone: cells, elevation summary, median latitude and centroid."""
     lat = grid.y("row") if lat is None else lat
-    rows = zones.filter(F.col("zone").isNotNull() & F.col(dem).isNotNull()).withColumn("_lat", lat)
+    rows = zones.filter(F.col("zone").isNotNull() & F.col(dem).isNotNull()).withColumns(
+        {"_lat": lat, "_x": grid.x("col"), "_y": grid.y("row")})
     extra = [F.min(station).alias("station")] if station else []
-    base = rows.groupBy("zone").agg(
-        F.count("*").alias("n_cells"), F.avg(dem).alias("elev_mean"), F.min(dem).alias("elev_min"),
-        F.max(dem).alias("elev_max"), F.avg(grid.x("col")).alias("x"), F.avg(grid.y("row")).alias("y"), *extra)
-    mid = quantiles(rows.select("zone", "_lat"), "_lat", [0.5], ["zone"]).select("zone", F.col("q").alias("lat"))
+    # one pass over the cells; zone summaries and medians both follow from it
+    part = rows.groupBy("zone", "_lat").agg(
+        F.count("*").alias("n"), F.sum(dem).alias("se"), F.min(dem).alias("lo"), F.max(dem).alias("hi"),
+        F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), *extra)
+    n = F.sum("n")
+    base = part.groupBy("zone").agg(
+        n.alias("n_cells"), (F.sum("se") / n).alias("elev_mean"), F.min("lo").alias("elev_min"), F.max("hi").alias("elev_max"),
+        (F.sum("sx") / n).alias("x"), (F.sum("sy") / n).alias("y"), *extra)
+    mid = quantiles_of_counts(part, "_lat", [0.5], ["zone"]).select("zone", F.col("q").alias("lat"))
     return base.join(mid, "zone")
 
 

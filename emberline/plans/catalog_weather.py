@@ -79,7 +79,7 @@ def fwi_series(i: Inputs) -> DataFrame:
     _recurrence("weather", "id * 10000 + yr - CAST(mon < 3 AS INTEGER)")).replace("40 - 1 - dense_rank() OVER (ORDER BY lat) + 1", "(SELECT count(DISTINCT lat) FROM weather) - dense_rank() OVER (ORDER BY lat)"))
 def fwi_annual_grid(i: Inputs) -> DataFrame:
     days = fwi.fwi_series(i.weather(), ["id"], reset="annual", reset_month=3, out=["fwi"])
-    return _short(fwi.assemble(days, "fwi"), ["value"])
+    return _short(fwi.assemble(days, "fwi", stations=i.lattice()), ["value"])
 
 
 @query("season_key", "A22", sql(
@@ -98,7 +98,7 @@ def weather_range_report(i: Inputs) -> DataFrame:
 @query("axis_positions", "J15", sql(
     """SELECT lat, CAST(dense_rank() OVER (ORDER BY lat DESC) - 1 AS INTEGER) AS "row" FROM (SELECT DISTINCT lat FROM weather)"""))
 def axis_positions(i: Inputs) -> DataFrame:
-    return fwi.axis_index(i.weather(), "lat", "row", descending=True)
+    return fwi.axis_index(i.lattice(), "lat", "row", descending=True)
 
 
 _REF = "d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND strftime(d, '%m-%d') BETWEEN '04-01' AND '10-31'"

@@ -23,13 +23,15 @@ class Inputs:
     """Derived tables of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._tables = spark, sf_dir, {}
         top = self.table("orders").agg(F.max("o_orderkey")).first()[0]
         self.side = math.ceil(math.sqrt(top + 1))
         self.grid = GridSpec(0.0, self.side * RES, RES, self.side, self.side)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def _at(self, key: str):
         return [F.expr(f"cast({key} div {self.side} as int)").alias("row"), F.expr(f"cast({key} % {self.side} as int)").alias("col")]
@@ -90,6 +92,11 @@ class Inputs:
         return f.select(F.col("fire_id").alias("id"), F.col("fire_id").alias("ord"), ((F.col("c0") + 0.5) * RES).alias("x"),
                         ((self.side - F.col("r0") - 0.5) * RES).alias("y"), (100 + F.col("fire_id") * 37 % 900).cast("double").alias("elev_m"))
 
+    def lattice(self) -> DataFrame:
+        """Station coordinates alone."""
+        return self.table("lineitem").select(F.col("l_suppkey").alias("id")).distinct().select(
+            (60 - 2.5 * (F.col("id") % 40)).alias("lat"), (2.5 * F.expr("id div 40")).alias("long"))
+
     def series(self) -> DataFrame:
         """Dated danger per station, with the nation of the supplier as its zone; one nation is left unzoned."""
         z = self.table("supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") != 24, F.col("s_nationkey")).alias("zone"))
