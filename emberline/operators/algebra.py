@@ -61,7 +61,7 @@ def log_rescale(cells: DataFrame, value: str) -> DataFrame:
     """Rescale log(1 + v) on its range; negative values are refused."""
     v = F.col(value).cast("double")
     safe = F.when(v < 0, F.raise_error(F.lit(f"'{value}' must not be negative")).cast("double")).otherwise(F.log1p(v))
-    lo, hi = _extent(cells, F.log1p(v), value)
+    lo, hi = _extent(cells, safe, value)
     return cells.withColumn(value, (safe - lo) / (hi - lo))
 
 

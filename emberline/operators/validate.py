@@ -158,7 +158,8 @@ def calibrate_radius(cells: DataFrame, grid: GridSpec, value: str, burnt: DataFr
             .when(F.col("flat"), "constant"))
     table = table.select("radius", "reachable", value_.alias("auc"), "n_pos", note.alias("note"))
     all_ = Window.partitionBy(F.lit(0))
-    best = F.min_by("radius", F.struct(-F.col("auc"), F.col("radius"))).over(all_)
+    order = F.when(F.col("auc").isNotNull(), F.struct(-F.col("auc"), F.col("radius")))
+    best = F.min_by("radius", order).over(all_)
     scored_radius = F.when(F.col("auc").isNotNull(), F.col("radius"))
     edge = (F.count("auc").over(all_) > 1) & (
         (best == F.min(scored_radius).over(all_)) | (best == F.max(scored_radius).over(all_)))
