@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from emberline.errors import BadRange, EmberError, EmberWarning, notice
 from emberline.functions.constants import MAPPING_UNIT_HA
 from emberline.grid import CELL, GridSpec
-from emberline.operators.tiles import with_halo
 from emberline.session import cut_lineage
 
 AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -110,23 +109,30 @@ def mapping_unit(components: list[str]) -> tuple[float | None, str]:
     return (max(areas), "mapping unit") if areas else (None, "natively raster: every hole is real")
 
 
-def modal_fill(codes: np.ndarray, target: np.ndarray, passes: int) -> np.ndarray:
+def modal_fill(ids: np.ndarray, codes: np.ndarray, target: np.ndarray, width: int, passes: int) -> np.ndarray:
     """Repeated 3x3 mode over unknown target cells; ties go to the lowest code.
 
-    Code 0 means unknown; every pass reads the state the last one left.
+    Cells are given sparsely by sorted id on rows of ``width`` cells.  Code 0 means
+    unknown; every pass reads the state the last one left.
     """
+    codes = codes.copy()
     for _ in range(passes):
-        r, c = np.nonzero(target & (codes == 0))
-        if not len(r):
+        todo = np.flatnonzero(target & (codes == 0))
+        if not len(todo):
             break
-        padded = np.pad(codes, 1)
-        near = np.sort(np.stack([padded[r + 1 + dy, c + 1 + dx] for dy, dx in AROUND]), axis=0)
+        row, col = ids[todo] // width, ids[todo] % width
+        near = np.zeros((len(AROUND), len(todo)), dtype="int64")
+        for k, (dy, dx) in enumerate(AROUND):
+            want = (row + dy) * width + col + dx
+            at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
+            ok = (ids[at] == want) & (col + dx >= 0) & (col + dx < width)
+            near[k] = np.where(ok, codes[at], 0)
+        near.sort(axis=0)
         count = (near[:, None, :] == near[None, :, :]).sum(axis=1) * (near > 0)
-        best = near[count.argmax(axis=0), np.arange(len(r))]
+        best = near[count.argmax(axis=0), np.arange(len(todo))]
         if not best.any():
             break
-        codes = codes.copy()
-        codes[r, c] = best
+        codes[todo] = best
     return codes
 
 
@@ -141,8 +147,9 @@ def fill_gaps(
     """Fill null gaps no source could have mapped by the modal neighbour class.
 
     Gaps up to the limit are filled, larger ones stay.  Other columns are untouched,
-    except that ``source`` is stamped ``gap_filled``.  All passes run inside tiles that
-    carry a margin as wide as the number of passes, and only around small gaps.
+    except that ``source`` is stamped ``gap_filled``.  A gap sees only the cells right
+    around it, and two gaps never touch, so just those cells are taken from the grid
+    and gaps are repaired in independent groups of even size.
     """
     if max_gap_ha is None:
         max_gap_ha, why = mapping_unit(components or [])
@@ -152,36 +159,35 @@ def fill_gaps(
     if max_gap_ha <= 0:
         raise BadRange("max_gap_ha must be positive")
     limit = max_gap_ha / grid.cell_ha
-    small = null_components(cells, grid, value).filter(F.col("size") <= limit).select(*CELL, "size")
-    biggest = small.agg(F.max("size")).first()[0]
+    small = cut_lineage(null_components(cells, grid, value).filter(F.col("size") <= limit))
+    biggest, n_small = small.agg(F.max("size"), F.count("*")).first()
     if biggest is None:
         notice("nothing filled: no gap is below the limit", EmberWarning)
         return cells
     passes = math.ceil(math.sqrt(biggest)) + 1
-    side = max(128, 8 * passes)
-
-    todo = small.select(*CELL, F.lit(True).alias("gap"))
-    tiles = with_halo(todo, grid, side, passes).select("tile_r", "tile_c").distinct()
-    spread = with_halo(cells.select(*CELL, F.col(value).alias("v")), grid, side, passes)
-    near = spread.join(tiles, ["tile_r", "tile_c"], "left_semi").join(todo, CELL, "left")
-
-    def repair(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = key[0] * side - passes, key[1] * side - passes
-        r, c = pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0
+    groups = math.ceil(n_small / 50_000)
+    width = grid.ncol
+
+    moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in [(0, 0), *AROUND]])
+    group = F.pmod(F.hash("component"), F.lit(groups)).alias("group")
+    patch = small.select("row", "col", group, F.explode(moves).alias("m")).groupBy(
+        (F.col("row") + F.col("m.dy")).alias("row"), (F.col("col") + F.col("m.dx")).alias("col"), "group").agg(
+        F.max((F.col("m.dy") == 0) & (F.col("m.dx") == 0)).alias("gap"))
+    near = patch.join(cells.select(*CELL, F.col(value).alias("v")), CELL)
+
+    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["row"].to_numpy(dtype="int64") * width + pdf["col"].to_numpy()
+        order = np.argsort(ids)
         names = sorted(pdf["v"].dropna().unique())
         code = pd.Categorical(pdf["v"], categories=names).codes.astype("int64") + 1
-        grid_codes = np.zeros((side + 2 * passes,) * 2, dtype="int64")
-        grid_codes[r, c] = code
-        mask = np.zeros(grid_codes.shape, dtype=bool)
-        mask[r, c] = pdf["gap"].notna().to_numpy()
-        done = modal_fill(grid_codes, mask, passes)
-        core = (r >= passes) & (r < passes + side) & (c >= passes) & (c < passes + side)
-        new = core & mask[r, c] & (done[r, c] > 0)
-        picked = done[r[new], c[new]] - 1
-        return pd.DataFrame({"row": pdf["row"].to_numpy()[new], "col": pdf["col"].to_numpy()[new],
-                             "filled": np.array(names, dtype=object)[picked]})
-
-    filled = near.groupBy("tile_r", "tile_c").applyInPandas(repair, "row int, col int, filled string")
+        gap = pdf["gap"].to_numpy(dtype=bool)
+        done = np.zeros(len(pdf), dtype="int64")
+        done[order] = modal_fill(ids[order], code[order], gap[order], width, passes)
+        new = gap & (done > 0)
+        return pd.DataFrame({"row": pdf["row"][new], "col": pdf["col"][new],
+                             "filled": np.array(names, dtype=object)[done[new] - 1]})
+
+    filled = near.groupBy("group").applyInPandas(repair, "row int, col int, filled string")
     out = cells.join(filled, CELL, "left").withColumn(value, F.coalesce(value, "filled"))
     if source is not None:
         out = out.withColumn(source, F.when(F.col("filled").isNotNull(), F.lit("gap_filled")).otherwise(F.col(source)))

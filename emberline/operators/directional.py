@@ -47,18 +47,12 @@ def directional(assets: DataFrame, exposure: DataFrame, grid: GridSpec, asset: s
     if not assets.filter(outside).isEmpty():
         raise EmberError("an asset lies outside the layer")
     samples = transect_samples(assets, grid, asset, list(segments), interval, step or grid.res)
-    # transects overlap near their asset: count each cell once per segment
-    per_cell = samples.groupBy("asset", "bearing", "seg", *CELL).agg(F.count("*").alias("w"))
-    hit = per_cell.join(exposure.select(*CELL, F.col(value).alias("e")), CELL, "left")
-    known = F.when(F.col("e").isNotNull(), F.col("w"))
-    high = F.when(F.col("e") >= thresh_exp, F.col("w")).otherwise(F.lit(0))
+    hit = samples.join(exposure.select(*CELL, F.col(value).alias("e")), CELL, "left")
     aggs = []
     for k in range(1, len(segments) + 1):
-        here = F.col("seg") == k
-        n = F.sum(F.when(here, known))
-        frac = F.when(n > 0, F.sum(F.when(here & F.col("e").isNotNull(), high)) / n)
-        aggs.append(frac.alias(f"raw{k}"))
-    off = 100.0 * F.sum(F.when(F.col("e").isNull(), F.col("w")).otherwise(F.lit(0))) / F.sum("w")
+        known = F.when((F.col("seg") == k) & F.col("e").isNotNull(), F.col("e") >= thresh_exp)
+        aggs.append(F.avg(known.cast("double")).alias(f"raw{k}"))
+    off = 100.0 * F.count_if(F.col("e").isNull()) / F.count("*")
     got = hit.groupBy("asset", "bearing").agg(*aggs, off.alias("pct_missing"))
     all_ok, cols = F.lit(True), []
     for k in range(1, len(segments) + 1):

@@ -13,9 +13,10 @@ from pyspark.sql.window import Window
 
 from emberline.errors import BadWeather, UnknownName
 from emberline.functions import fwi as eq
-from emberline.functions.constants import FWI_START
+from emberline.functions.constants import FWI_START, values_table
 from emberline.grid import CELL, GridSpec
 from emberline.operators.rank import cumulative
+from emberline.session import cut_lineage
 
 CODES = ["ffmc", "dmc", "dc", "isi", "bui", "fwi", "dsr"]
 NEEDED = ["lat", "yr", "mon", "day", "temp", "rh", "ws", "prec"]
@@ -132,24 +133,42 @@ def fwi_series(
     return df.drop("_d").sortWithinPartitions("_k", *group).mapInPandas(steps, schema)
 
 
-def fwi_by_spatial_mean(weather: DataFrame, dates: list, grid_key: list[str], init: dict[str, float] | None = None,
+def fwi_from_codes(weather: DataFrame, lat_adjust: bool = True) -> DataFrame:
+    """One step from given codes: rows carry yesterday's ``f0, p0, c0`` beside the weather of the day."""
+    schema = T.StructType([f for f in weather.schema if f.name not in ("f0", "p0", "c0")] +
+                          [T.StructField(c, T.DoubleType()) for c in CODES])
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = [pdf[c].to_numpy(dtype="float64", na_value=np.nan) for c in ("f0", "p0", "c0", "temp", "rh", "ws", "prec")]
+            with np.errstate(invalid="ignore"):
+                got = np.stack(eq.day(*x, pdf["mon"].to_numpy(), pdf["lat"].to_numpy(dtype="float64"), lat_adjust))
+            got[:, ~np.isfinite(got).all(axis=0)] = np.nan
+            yield pdf.drop(columns=["f0", "p0", "c0"]).assign(**dict(zip(CODES, got)))
+
+    return weather.mapInPandas(step, schema)
+
+
+def fwi_by_spatial_mean(weather: DataFrame, dates: list, init: dict[str, float] | None = None,
                         lat_adjust: bool = True) -> DataFrame:
     """Gridded variant that carries each day's codes forward as means over the grid.
 
     Kept for comparison: the per-cell recurrence of :func:`fwi_series` is the default.
-    The day loop is on the driver, but each day is one distributed pass whose only
-    collected result is three means.
+    Means of one day feed the next, so days follow one another; each is a distributed
+    pass over its own rows that returns three numbers.  The result itself is one pass.
     """
     state = {**FWI_START, **(init or {})}
-    weather = check_columns(weather, NEEDED).withColumn("_d", F.make_date("yr", "mon", "day"))
-    out = None
-    for d in dates:
-        day = weather.filter(F.col("_d") == F.lit(d)).drop("_d")
-        codes = fwi_series(day, grid_key, init=state, lat_adjust=lat_adjust)
-        means = codes.agg(*[F.avg(c).alias(c) for c in ("ffmc", "dmc", "dc")]).first()
-        state = {c: means[c] if means[c] is not None else state[c] for c in ("ffmc", "dmc", "dc")}
-        out = codes if out is None else out.unionByName(codes)
-    return out
+    codes = ("ffmc", "dmc", "dc")
+    weather = cut_lineage(check_columns(weather, NEEDED).withColumn("_d", F.make_date("yr", "mon", "day")))
+    carried = []
+    for d in sorted(dates):
+        carried.append((d, *[float(state[c]) for c in codes]))
+        given = {n: F.lit(float(state[c])) for n, c in zip(("f0", "p0", "c0"), codes)}
+        day = fwi_from_codes(weather.filter(F.col("_d") == F.lit(d)).withColumns(given), lat_adjust)
+        means = day.agg(*[F.avg(c).alias(c) for c in codes]).first()
+        state = {c: means[c] if means[c] is not None else state[c] for c in codes}
+    start = F.broadcast(values_table(weather.sparkSession, ["_d", "f0", "p0", "c0"], carried))
+    return fwi_from_codes(weather.join(start, "_d").drop("_d"), lat_adjust)
 
 
 def axis_index(df: DataFrame, coord: str, out: str, descending: bool = False) -> DataFrame:

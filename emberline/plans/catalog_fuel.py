@@ -361,3 +361,21 @@ def transect_plan(i: Inputs) -> DataFrame:
 def zone_raster(i: Inputs) -> DataFrame:
     zones = raster.burn_attribute(i.fires(), i.grid, "fire_id", []).select(*CELL, F.col("fire_id").alias("zone"))
     return i.cells().select(*CELL).join(zones, CELL, "left").groupBy(F.coalesce("zone", F.lit(-1)).alias("zone")).agg(F.count("*").alias("cells"))
+
+
+@query("fuel_source_from_polygons", "X02 S08 S09", sql(
+    """SELECT fuel_type, burnable, count(*) AS cells FROM (
+         SELECT d.code FROM (SELECT r, c FROM (SELECT unnest(range(0, w)) AS r FROM dims) CROSS JOIN (SELECT unnest(range(0, w)) AS c FROM dims)) g
+         LEFT JOIN (SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, CAST(311 + max(fire_id) % 3 AS VARCHAR) AS code FROM full_cells GROUP BY r, c) d USING (r, c))
+       LEFT JOIN (VALUES ('311', 'broadleaf_closed', 1), ('312', 'conifer_closed', 1), ('313', 'mixed_closed', 1)) k(code, fuel_type, burnable) USING (code)
+       GROUP BY fuel_type, burnable""",
+    """full_cells AS (SELECT f.fire_id, r, c FROM (SELECT fire_id, (c0 + 6) * 25.0 AS x, (w - r0 - 6) * 25.0 AS y, side * 25 / 2.0 + 5 AS h, w,
+         unnest(range(r0 - 6, r0 + 18)) AS r, c0 FROM fires) f, LATERAL (SELECT unnest(range(c0 - 6, c0 + 18)) AS c)
+       WHERE abs((c + 0.5) * 25 - x) + abs((w - r - 0.5) * 25 - y) < h AND r >= 0 AND r < w AND c >= 0 AND c < w)"""))
+def fuel_source_from_polygons(i: Inputs) -> DataFrame:
+    from emberline.sources.lookup import builtin_lookup
+
+    shapes = i.diamonds().withColumn("code", (311 + F.col("fire_id") % 3).cast("string"))
+    made = fuel.FuelSource.from_polygons(shapes, i.grid, "clc_2018", builtin_lookup(i.spark, "clc"), "code", "fire_id", vintage=2018)
+    typed = fuel.burnable(fuel.fuel_type(made.categorical(), made.lookup), made.lookup)
+    return typed.groupBy("fuel_type", "burnable").agg(F.count("*").alias("cells"))

@@ -257,6 +257,15 @@ def stack_round_trip(i: Inputs) -> DataFrame:
         F.sum("value").alias("total"), F.count("value").alias("n_valid"), F.count("*").alias("cells"))
 
 
+@query("provenance_appended", "S24 X01", sql(
+    "SELECT run, count(*) AS records, count(vintage) AS dated, count(DISTINCT dataset) AS datasets FROM source_log GROUP BY run"))
+def provenance_appended(i: Inputs) -> DataFrame:
+    path = scratch_path(i.spark, "provenance")
+    stack_io.append_records(i.source_log(), path)
+    return i.spark.read.parquet(path).groupBy("run").agg(
+        F.count("*").alias("records"), F.count("vintage").alias("dated"), F.count_distinct("dataset").alias("datasets"))
+
+
 @query("exposure_written", "S25 N03", sql(
     f"""SELECT r AS "row", c AS "col", CASE WHEN n = 48 THEN {rd('s / 48.0')} END AS exposure FROM foc WHERE r BETWEEN 20 AND 39""",
     _ring(100), _focal("grade")))

@@ -20,24 +20,26 @@ def _band(cases: list[tuple[str, tuple]], last: tuple) -> str:
     return f"(CASE {arms} ELSE [{', '.join(map(str, last))}] END)[mon]"
 
 
-def _recurrence(src_cte: str, key: str) -> str:
-    """The moisture codes as a recursive query over ordinal days."""
+def _recurrence(src_cte: str, key: str, ordinal: str | None = None, mean: bool = False) -> str:
+    """The moisture codes as a recursive query over ordinal days, per key or carried as means."""
     from emberline.functions.fwi import DC_DAY, DMC_DAY
 
     le = _band([("lat >= 30", DMC_DAY["north"]), ("lat >= 10", DMC_DAY["north_low"]), ("lat >= -10", DMC_DAY["equator"]),
                 ("lat >= -30", DMC_DAY["south_low"])], DMC_DAY["south"])
     lf = _band([("lat > 20", DC_DAY["north"]), ("lat >= -20", DC_DAY["equator"])], DC_DAY["south"])
+    ordinal = ordinal or f"row_number() OVER (PARTITION BY {key} ORDER BY d)"
+    carry, close = ("SELECT key, k, avg(f), avg(p), avg(c) FROM (", ") GROUP BY key, k") if mean else ("", "")
     return f"""
-w0 AS MATERIALIZED (SELECT *, {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY d) AS k, {le}::DOUBLE AS le, {lf}::DOUBLE AS lf,
+w0 AS MATERIALIZED (SELECT *, {key} AS key, {ordinal} AS k, {le}::DOUBLE AS le, {lf}::DOUBLE AS lf,
   least(rh, 99.9999) AS h FROM {src_cte}),
 rec AS (
   SELECT DISTINCT key, 0::BIGINT AS k, 85::DOUBLE AS f, 6::DOUBLE AS p, 15::DOUBLE AS c FROM w0
   UNION ALL
-  SELECT key, k, least(greatest(59.5 * (250 - m) / (147.2 + m), 0), 101),
+  {carry}SELECT key, k, least(greatest(59.5 * (250 - m) / (147.2 + m), 0), 101) AS f,
     greatest(0, CASE WHEN prec > 1.5 THEN greatest(0, 43.43 * (5.6348 - ln(greatest(mr - 20, 1e-9)))) ELSE p END
-      + 1.894 * (greatest(temp, -1.1) + 1.1) * (100 - h) * le * 1e-4),
+      + 1.894 * (greatest(temp, -1.1) + 1.1) * (100 - h) * le * 1e-4) AS p,
     greatest(0, CASE WHEN prec > 2.8 THEN greatest(0, c - 400 * ln(1 + 3.937 * greatest(0.83 * prec - 1.27, 0) / (800 * exp(-c / 400)))) ELSE c END
-      + greatest(0, (0.36 * (greatest(temp, -2.8) + 2.8) + lf) / 2))
+      + greatest(0, (0.36 * (greatest(temp, -2.8) + 2.8) + lf) / 2)) AS c
   FROM (SELECT *, CASE
       WHEN mo > ed THEN ed + (mo - ed) * pow(10, -(0.424 * (1 - pow(h / 100, 1.7)) + 0.0694 * sqrt(ws) * (1 - pow(h / 100, 8))) * 0.581 * exp(0.0365 * temp))
       WHEN mo < ew THEN ew - (ew - mo) * pow(10, -(0.424 * (1 - pow((100 - h) / 100, 1.7)) + 0.0694 * sqrt(ws) * (1 - pow((100 - h) / 100, 8))) * 0.581 * exp(0.0365 * temp))
@@ -49,7 +51,7 @@ rec AS (
           0.942 * pow(h, 0.679) + 11 * exp((h - 100) / 10) + 0.18 * (21.1 - temp) * (1 - exp(-0.115 * h)) AS ed,
           0.618 * pow(h, 0.753) + 10 * exp((h - 100) / 10) + 0.18 * (21.1 - temp) * (1 - exp(-0.115 * h)) AS ew
         FROM (SELECT w0.key, w0.k, temp, h, ws, prec, le, lf, f, p, c, 147.2 * (101 - f) / (59.5 + f) AS mo0, greatest(prec - 0.5, 1e-12) AS rf
-              FROM rec JOIN w0 ON w0.key = rec.key AND w0.k = rec.k + 1)))),
+              FROM rec JOIN w0 ON w0.key = rec.key AND w0.k = rec.k + 1))){close}),
 codes AS (
   SELECT w0.*, f AS ffmc, p AS dmc, c AS dc, isi, bui, CASE WHEN b > 1 THEN exp(2.72 * pow(0.434 * ln(b), 0.647)) ELSE b END AS fwi FROM (
     SELECT *, 0.1 * isi * CASE WHEN bui <= 80 THEN 0.626 * pow(bui, 0.809) + 2 ELSE 1000 / (25 + 108.64 * exp(-0.023 * bui)) END AS b FROM (
@@ -74,6 +76,21 @@ def fwi_series(i: Inputs) -> DataFrame:
     return _short(fwi.fwi_series(i.weather(), ["id"]).select("id", "date", *fwi.CODES), fwi.CODES)
 
 
+_MEAN = """h1 AS (SELECT id, CAST(ts AS DATE) AS d, temp, rh, ws, (SELECT coalesce(sum(p.prec), 0) FROM hourly p WHERE p.id = n.id AND p.ts BETWEEN n.ts - INTERVAL 23 HOUR AND n.ts) AS prec
+  FROM hourly n WHERE hour(ts) = 12),
+hd AS (SELECT *, CAST(month(d) AS INTEGER) AS mon, dense_rank() OVER (ORDER BY d) AS n, 43.0 AS lat FROM h1),
+every AS (SELECT n AS id, max(d) AS d FROM hd GROUP BY n)"""
+
+
+@query("fwi_spatial_mean", "D03", sql(
+    f"SELECT d AS date, {rd('f', 4)} AS ffmc, {rd('p', 4)} AS dmc, {rd('c', 4)} AS dc FROM rec JOIN every ON every.id = rec.k", _MEAN, _recurrence("hd", "1", "n", mean=True)))
+def fwi_spatial_mean(i: Inputs) -> DataFrame:
+    days = src.daily_from_hourly(i.hourly(), 12).withColumn("lat", F.lit(43.0))
+    dates = [r[0] for r in days.select("date").distinct().collect()]
+    got = fwi.fwi_by_spatial_mean(days, dates)
+    return _short(got.groupBy("date").agg(*[F.avg(c).alias(c) for c in ("ffmc", "dmc", "dc")]), ["ffmc", "dmc", "dc"])
+
+
 @query("fwi_annual_grid", "D02 A22 J15", sql(
     f"""SELECT d AS date, CAST(40 - 1 - dense_rank() OVER (ORDER BY lat) + 1 AS INTEGER) AS "row", CAST(long / 2.5 AS INTEGER) AS "col", {rd('fwi', 4)} AS value FROM codes""",
     _recurrence("weather", "id * 10000 + yr - CAST(mon < 3 AS INTEGER)")).replace("40 - 1 - dense_rank() OVER (ORDER BY lat) + 1", "(SELECT count(DISTINCT lat) FROM weather) - dense_rank() OVER (ORDER BY lat)"))

@@ -48,10 +48,15 @@ def read_stack(spark: SparkSession, path: str) -> dict[str, Layer]:
     return out
 
 
+def append_records(records: DataFrame, path: str, by: str = "run") -> None:
+    """Append provenance rows of many runs, kept apart by run so that one run is one pruned folder."""
+    records.write.mode("append").partitionBy(by).parquet(path)
+
+
 def write_provenance(spark: SparkSession, prov: Provenance, run: str, path: str) -> None:
     """Append a run's sources and steps to tables that can be queried across runs."""
-    prov.sources_df(spark).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{path}/sources")
-    prov.steps_df(spark).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{path}/steps")
+    append_records(prov.sources_df(spark).withColumn("run", F.lit(run)), f"{path}/sources")
+    append_records(prov.steps_df(spark).withColumn("run", F.lit(run)), f"{path}/steps")
 
 
 def write_cells(cells: DataFrame, path: str, band: int = 1024) -> None:

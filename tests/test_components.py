@@ -63,12 +63,18 @@ def test_fill_takes_the_mode_and_leaves_large_gaps(grid_of, spark):
     assert all(got[r, c]["class"] == str(int(a[r, c])) for r, c in got if not np.isnan(a[r, c]))
 
 
-def test_ties_go_to_the_lowest_class_and_passes_reach_inside(grid_of):
-    codes = np.array([[1, 2, 1], [2, 0, 1], [2, 1, 2]])
-    assert components.modal_fill(codes, codes == 0, 1)[1, 1] == 1
+def dense_fill(codes, passes):
+    ids = np.arange(codes.size)
+    return components.modal_fill(ids, codes.ravel(), codes.ravel() == 0, codes.shape[1], passes).reshape(codes.shape)
+
+
+def test_ties_go_to_the_lowest_class_and_passes_reach_inside():
+    assert dense_fill(np.array([[1, 2, 1], [2, 0, 1], [2, 1, 2]]), 1)[1, 1] == 1
     wide = np.full((7, 7), 3)
     wide[2:5, 2:5] = 0
-    assert (components.modal_fill(wide, wide == 0, 4) == 3).all()
+    assert (dense_fill(wide, 4) == 3).all()
+    edge = np.array([[0, 1, 2], [5, 1, 0]])
+    assert dense_fill(edge, 1)[0, 0] == 1 and dense_fill(edge, 1)[1, 2] == 1
 
 
 def test_fill_crosses_tile_borders(grid_of, to_array, monkeypatch):

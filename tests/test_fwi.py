@@ -84,7 +84,7 @@ def test_latitude_bands():
 def test_spatial_mean_carry_equals_series_for_one_cell(spark):
     w = weather(spark, PUBLISHED)
     dates = [dt.date(2020, 4, 13) + dt.timedelta(days=k) for k in range(5)]
-    a = fwi.fwi_by_spatial_mean(w, dates, ["id"]).orderBy("day").toPandas()
+    a = fwi.fwi_by_spatial_mean(w, dates).orderBy("day").toPandas()
     b = fwi.fwi_series(w, ["id"]).orderBy("day").toPandas()
     np.testing.assert_allclose(a["fwi"], b["fwi"])
 
