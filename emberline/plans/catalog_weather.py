@@ -83,12 +83,12 @@ every AS (SELECT n AS id, max(d) AS d FROM hd GROUP BY n)"""
 
 
 @query("fwi_spatial_mean", "D03", sql(
-    f"SELECT d AS date, {rd('f', 4)} AS ffmc, {rd('p', 4)} AS dmc, {rd('c', 4)} AS dc FROM rec JOIN every ON every.id = rec.k", _MEAN, _recurrence("hd", "1", "n", mean=True)))
+    f"SELECT d AS date, {rd('f')} AS ffmc, {rd('p')} AS dmc, {rd('c')} AS dc FROM rec JOIN every ON every.id = rec.k", _MEAN, _recurrence("hd", "1", "n", mean=True)))
 def fwi_spatial_mean(i: Inputs) -> DataFrame:
     days = src.daily_from_hourly(i.hourly(), 12).withColumn("lat", F.lit(43.0))
     dates = [r[0] for r in days.select("date").distinct().collect()]
     got = fwi.fwi_by_spatial_mean(days, dates)
-    return _short(got.groupBy("date").agg(*[F.avg(c).alias(c) for c in ("ffmc", "dmc", "dc")]), ["ffmc", "dmc", "dc"])
+    return got.groupBy("date").agg(*[F.avg(c).alias(c) for c in ("ffmc", "dmc", "dc")])
 
 
 @query("fwi_annual_grid", "D02 A22 J15", sql(
