@@ -17,12 +17,11 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEAT = int(os.environ.get("BENCH_REPEAT", "2"))
 HEADLINE = [
-    "exposure_by_class", "exposure_100m", "exposure_500m_known_cells", "exposure_wind_slope", "interface_both", "slope_aspect",
-    "curvature", "null_components", "gap_fill", "directional_transects", "radius_calibration", "rasterize_squares",
-    "align_average_coarser", "align_bilinear", "fuel_merge", "danger_index_product", "danger_class_effis", "risk_equal_mean",
-    "risk_pareto_front", "percentile_by_cell", "percentile_by_zone", "class_thresholds", "fwi_series", "fwi_annual_grid",
-    "zone_table", "downscaled_weather", "zonal_fwi_painted", "auc_against_burnt", "roc_curve", "profile_quartiles",
-    "hourly_to_daily", "dnbr_cells", "pre_scene_rank", "stream_station_codes",
+    "exposure_by_class", "exposure_100m", "exposure_500m_known_cells", "exposure_wind_slope", "interface_both", "curvature",
+    "null_components", "gap_fill", "directional_transects", "rasterize_squares", "align_average_coarser", "fuel_merge",
+    "danger_index_product", "risk_equal_mean", "risk_pareto_front", "percentile_by_cell", "percentile_by_zone", "fwi_series",
+    "zone_table", "downscaled_weather", "auc_against_burnt", "profile_quartiles", "hourly_to_daily", "dnbr_cells",
+    "stream_station_codes",
 ]
 
 

@@ -73,18 +73,19 @@ def percentile_of_series(series: DataFrame, value: str, day: str, cell: list[str
     """Rank of each day in the reference record of its own cell, 0 to 100.
 
     A cell's record is as long as the archive, so one window per cell is the plan:
-    a single shuffle.  Cells with more rows than any daily archive holds are taken
-    aside and ranked through value ranges instead.
+    a single shuffle.  A count over the cell column alone tells whether any cell has
+    more rows than a daily archive holds; only such cells go through value ranges.
     """
     df = series.withColumn("_ref", in_reference(day, period, season) & F.col(value).isNotNull())
-    hot = df.groupBy(*cell).agg(F.count("*").alias("c")).filter(F.col("c") > hot_rows).select(*cell)
-    usual = df.join(hot, cell, "left_anti")
     w = Window.partitionBy(*cell)
     upto = w.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ref = F.col("_ref").cast("int")
     total = F.sum(ref).over(w)
     share = F.when(F.col(value).isNotNull() & (total > 0), 100.0 * F.sum(ref).over(upto) / total)
-    ranked = usual.withColumn(out, share)
+    hot = df.groupBy(*cell).agg(F.count("*").alias("c")).filter(F.col("c") > hot_rows).select(*cell)
+    if hot.isEmpty():
+        return df.withColumn(out, share).drop("_ref")
+    ranked = df.join(hot, cell, "left_anti").withColumn(out, share)
     split = share_at_or_below(df.join(hot, cell, "left_semi"), value, "_ref", cell, out)
     return ranked.unionByName(split).drop("_ref")
 

@@ -8,9 +8,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from emberline.functions.constants import VINTAGE_FIRST
+from emberline.operators.rank import cumulative
 
 SOURCE_SCHEMA = T.StructType([
     T.StructField("seq", T.IntegerType()),
@@ -99,9 +99,14 @@ def merge_sources(sources: DataFrame, key: list[str], order: str) -> DataFrame:
     return first.select(*key, *[F.col(f"f.{c}").alias(c) for c in [order, *rest]])
 
 
-def renumber_steps(steps: DataFrame, run: str, order: list[str]) -> DataFrame:
-    """Number the steps of each run anew after records are concatenated."""
-    return steps.withColumn("seq", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
+def renumber_steps(steps: DataFrame, run: str, order: str) -> DataFrame:
+    """Number the steps of each run anew, by a numeric order, after records are concatenated.
+
+    Positions are counted through value ranges, so one long run does not end up in one task.
+    """
+    counts = steps.groupBy(run, order).agg(F.count("*").alias("n"))
+    place = cumulative(counts, order, ["n"], [run]).select(run, order, (F.col("n_before") + 1).cast("int").alias("seq"))
+    return steps.drop("seq").join(place, [run, order])
 
 
 def resolve_vintage(sources: DataFrame, run: str) -> DataFrame:

@@ -367,9 +367,9 @@ def population_drift(i: Inputs) -> DataFrame:
 
 
 @query("mosaic_first_tile", "J08", sql(
-    f"""SELECT r AS "row", c AS "col", {rd('arg_min(nir, tile)')} AS nir FROM bands WHERE scene = 1 GROUP BY r, c"""))
+    f"""SELECT scene, r AS "row", c AS "col", {rd('arg_min(nir, tile)')} AS nir FROM bands GROUP BY scene, r, c"""))
 def mosaic_first(i: Inputs) -> DataFrame:
-    return raster.mosaic(i.bands().filter("scene = 1"), "nir", "tile")
+    return raster.mosaic(i.bands(), "nir", "tile", ["scene"])
 
 
 @query("auc_by_language", "A12", sql(

@@ -235,7 +235,7 @@ def sources_merged(i: Inputs) -> DataFrame:
     "SELECT run, seq AS at, CAST(row_number() OVER (PARTITION BY run ORDER BY seq) AS INTEGER) AS seq FROM source_log"))
 def steps_renumbered(i: Inputs) -> DataFrame:
     steps = i.source_log().select("run", F.col("seq").alias("at"))
-    return provenance.renumber_steps(steps, "run", ["at"])
+    return provenance.renumber_steps(steps, "run", "at")
 
 
 @query("vintage_resolved", "A09", sql(
@@ -267,10 +267,10 @@ def provenance_appended(i: Inputs) -> DataFrame:
 
 
 @query("exposure_written", "S25 N03", sql(
-    f"""SELECT r AS "row", c AS "col", CASE WHEN n = 48 THEN {rd('s / 48.0')} END AS exposure FROM foc WHERE r BETWEEN 20 AND 39""",
+    f"""SELECT r AS "row", c AS "col", CASE WHEN n = 48 THEN {rd('s / 48.0')} END AS exposure FROM foc""",
     _ring(100), _focal("grade")))
 def exposure_written(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "exposure")
     made = focal.exposure(i.cells(), i.grid, "grade", 100).select(*CELL, "exposure")
     stack_io.write_cells(made, path, band=16)
-    return i.spark.read.parquet(path).filter("row BETWEEN 20 AND 39").select(*CELL, "exposure")
+    return i.spark.read.parquet(path).select(*CELL, "exposure")
