@@ -193,13 +193,14 @@ def exposure_directional_weighted(
     runs = [win.to_runs(o) for o, _ in kept]
     angles = [math.radians(b) for _, b in kept]
     sloped = dem is not None and kappa_slope > 0
+    res = grid.res
 
     def fn(arrays, shape):
         a = arrays[value]
         known = ~np.isnan(a)
         total, count = row_prefix(np.where(known, a, 0.0)), row_prefix(known.astype("float64"))
         if sloped:
-            slope, aspect = horn(arrays[dem], grid.res, halo, shape)
+            slope, aspect = horn(arrays[dem], res, halo, shape)
             pull = kappa_slope * np.tan(np.radians(slope))
             tilt = [np.exp(pull * np.cos(t - np.radians(aspect))) for t in angles]
             tilt = [np.where(np.isnan(aspect) & (slope == 0), 1.0, t) for t in tilt]

@@ -31,8 +31,10 @@ def horn(z: np.ndarray, res: float, halo: int, shape) -> tuple[np.ndarray, np.nd
 
 def slope_aspect(cells: DataFrame, grid: GridSpec, dem: str) -> DataFrame:
     """Add ``slope`` and ``aspect`` to a grid."""
+    res = grid.res
+
     def fn(arrays, shape):
-        slope, aspect = horn(arrays[dem], grid.res, 1, shape)
+        slope, aspect = horn(arrays[dem], res, 1, shape)
         return {"slope": slope, "aspect": aspect}
 
     src = cells.select(*CELL, F.col(dem).cast("double").alias(dem))

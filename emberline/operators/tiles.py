@@ -52,6 +52,7 @@ def halo_map(
     side = side or tile_side(grid, halo)
     keep = values if keep is None else keep
     cols = list(dict.fromkeys(values + keep))
+    nrow, ncol = grid.nrow, grid.ncol
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = key[0] * side - halo, key[1] * side - halo
@@ -59,8 +60,8 @@ def halo_map(
         core = (r >= halo) & (r < halo + side) & (c >= halo) & (c < halo + side)
         if not core.any():
             return pd.DataFrame({n: pd.Series(dtype="float64") for n in [*CELL, *keep, *outputs]})
-        height = min(side, grid.nrow - key[0] * side)
-        width = min(side, grid.ncol - key[1] * side)
+        height = min(side, nrow - key[0] * side)
+        width = min(side, ncol - key[1] * side)
         arrays = {}
         for v in values:
             a = np.full((height + 2 * halo, width + 2 * halo), np.nan)

@@ -1,4 +1,6 @@
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -45,3 +47,18 @@ def test_plans_hold_no_cross_join_and_push_down(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = entry.queries()["fuel_type_cells"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Tile functions run on workers that cannot import the package."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from emberline.session import local_session
+from emberline.grid import GridSpec
+from emberline.operators import focal
+spark = local_session(1)
+cells = spark.range(900).selectExpr("cast(id div 30 as int) as row", "cast(id % 30 as int) as col", "1.0 as v")
+print("MEAN", focal.exposure(cells, GridSpec(0, 750, 25, 30, 30), "v", 100).agg({{"exposure": "avg"}}).first()[0])
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "MEAN 1.0" in done.stdout, done.stderr[-2000:]
