@@ -66,6 +66,8 @@ def nearest(points: DataFrame, stations: DataFrame, key: list[str], x: str = "x"
         return _nearest_of_few(points, st.orderBy("_ord").collect(), st.schema["_sid"].dataType, x, y)
     if cell is None:
         raise EmberError("a starting bin width is needed for many stations")
+    # stations on one spot cannot be told apart by distance: the first stands for them
+    st = st.groupBy("_sx", "_sy").agg(F.min(F.struct("_ord", "_sid")).alias("f")).select("_sx", "_sy", "f.*")
     todo, done, width = points, None, float(cell)
     cols = points.columns
     while True:
