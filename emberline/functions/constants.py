@@ -29,46 +29,38 @@ FUEL_WEIGHTS = {
 }
 FUEL_TYPES = tuple(FUEL_WEIGHTS)
 
-# Nomenclature codes by fuel type. A type is burnable unless it is
+# Fuel type of each nomenclature code. A type is burnable unless it is
 # cropland or non_fuel.
 NOT_BURNABLE = ("cropland", "non_fuel")
 NOMENCLATURES = {
     "bdforet_v2": {
-        "unstocked": "FF0 FO0",
-        "broadleaf_closed": "FF1-00 FF1G01-01 FF1-09-09 FF1-10-10 FF1-14-14 FF1-49-49 FF1-00-00",
-        "sclerophyll_closed": "FF1G06-06",
-        "conifer_closed": "FF2-00 FF2-51-51 FF2-52-52 FF2G53-53 FF2-57-57 FF2G58-58 FF2-81-81 FF2-80-80 "
-                          "FF2G61-61 FF2-63-63 FF2-64-64 FF2-91-91 FF2-90-90 FF2-00-00",
-        "mixed_closed": "FF31 FF32",
-        "broadleaf_open": "FO1",
-        "conifer_open": "FO2",
-        "mixed_open": "FO3",
-        "poplar_plantation": "FP",
-        "shrubland": "LA4",
-        "grassland": "LA6",
+        "FF0": "unstocked", "FF1-00": "broadleaf_closed", "FF1G01-01": "broadleaf_closed",
+        "FF1G06-06": "sclerophyll_closed", "FF1-09-09": "broadleaf_closed", "FF1-10-10": "broadleaf_closed",
+        "FF1-14-14": "broadleaf_closed", "FF1-49-49": "broadleaf_closed", "FF1-00-00": "broadleaf_closed",
+        "FF2-00": "conifer_closed", "FF2-51-51": "conifer_closed", "FF2-52-52": "conifer_closed",
+        "FF2G53-53": "conifer_closed", "FF2-57-57": "conifer_closed", "FF2G58-58": "conifer_closed",
+        "FF2-81-81": "conifer_closed", "FF2-80-80": "conifer_closed", "FF2G61-61": "conifer_closed",
+        "FF2-63-63": "conifer_closed", "FF2-64-64": "conifer_closed", "FF2-91-91": "conifer_closed",
+        "FF2-90-90": "conifer_closed", "FF2-00-00": "conifer_closed", "FF31": "mixed_closed",
+        "FF32": "mixed_closed", "FO0": "unstocked", "FO1": "broadleaf_open", "FO2": "conifer_open",
+        "FO3": "mixed_open", "FP": "poplar_plantation", "LA4": "shrubland", "LA6": "grassland",
     },
     "clc": {
-        "non_fuel": "111 112 121 122 123 124 131 132 133 331 332 335 411 412 421 422 423 511 512 521 522 523",
-        "urban_vegetation": "141 142",
-        "cropland": "211 212 213 221 222 223 231 241 242",
-        "mosaic_agri_natural": "243",
-        "agroforestry": "244",
-        "broadleaf_closed": "311",
-        "conifer_closed": "312",
-        "mixed_closed": "313",
-        "grassland": "321",
-        "shrubland": "322 323",
-        "transitional_shrub": "324",
-        "sparse_vegetation": "333",
-        "burnt_regrowth": "334",
+        "111": "non_fuel", "112": "non_fuel", "121": "non_fuel", "122": "non_fuel", "123": "non_fuel",
+        "124": "non_fuel", "131": "non_fuel", "132": "non_fuel", "133": "non_fuel", "141": "urban_vegetation",
+        "142": "urban_vegetation", "211": "cropland", "212": "cropland", "213": "cropland", "221": "cropland",
+        "222": "cropland", "223": "cropland", "231": "cropland", "241": "cropland", "242": "cropland",
+        "243": "mosaic_agri_natural", "244": "agroforestry", "311": "broadleaf_closed", "312": "conifer_closed",
+        "313": "mixed_closed", "321": "grassland", "322": "shrubland", "323": "shrubland",
+        "324": "transitional_shrub", "331": "non_fuel", "332": "non_fuel", "333": "sparse_vegetation",
+        "334": "burnt_regrowth", "335": "non_fuel", "411": "non_fuel", "412": "non_fuel", "421": "non_fuel",
+        "422": "non_fuel", "423": "non_fuel", "511": "non_fuel", "512": "non_fuel", "521": "non_fuel",
+        "522": "non_fuel", "523": "non_fuel",
     },
     "worldcover": {
-        "broadleaf_closed": "10",
-        "shrubland": "20",
-        "grassland": "30 90",
-        "cropland": "40",
-        "non_fuel": "50 70 80 95",
-        "sparse_vegetation": "60 100",
+        "10": "broadleaf_closed", "20": "shrubland", "30": "grassland", "40": "cropland", "50": "non_fuel",
+        "60": "sparse_vegetation", "70": "non_fuel", "80": "non_fuel", "90": "grassland", "95": "non_fuel",
+        "100": "sparse_vegetation",
     },
 }
 

@@ -16,7 +16,7 @@ def builtin_lookup(spark: SparkSession, nomenclature: str) -> DataFrame:
     """Code, fuel type and burnable flag of a shipped nomenclature."""
     if nomenclature not in NOMENCLATURES:
         raise BadLookup(f"no nomenclature '{nomenclature}'; there are {sorted(NOMENCLATURES)}")
-    rows = [(c, t, t not in NOT_BURNABLE) for t, codes in NOMENCLATURES[nomenclature].items() for c in codes.split()]
+    rows = [(code, t, t not in NOT_BURNABLE) for code, t in NOMENCLATURES[nomenclature].items()]
     return values_table(spark, ["code", "fuel_type", "burnable"], rows)
 
 
