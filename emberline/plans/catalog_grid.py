@@ -231,7 +231,7 @@ def gap_fill(i: Inputs) -> DataFrame:
 
 
 @query("directional_transects", "N12", sql(
-    f"""SELECT asset, bearing, CASE WHEN n1 > 0 THEN h1 / n1 >= 0.5 END AS seg1, {rd('round_even(h1 / nullif(n1, 0), 4)')} AS frac1,
+    f"""SELECT asset, CAST(bearing AS DOUBLE) AS bearing, CASE WHEN n1 > 0 THEN h1 / n1 >= 0.5 END AS seg1, {rd('round_even(h1 / nullif(n1, 0), 4)')} AS frac1,
           CASE WHEN n2 > 0 THEN h2 / n2 >= 0.5 END AS seg2, {rd('round_even(h2 / nullif(n2, 0), 4)')} AS frac2,
           coalesce(h1 / nullif(n1, 0) >= 0.5, false) AND coalesce(h2 / nullif(n2, 0) >= 0.5, false) AS viable, {rd('100.0 * miss / n')} AS pct_missing
         FROM agg""",

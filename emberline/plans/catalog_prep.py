@@ -178,10 +178,11 @@ def pre_scene_rank(i: Inputs) -> DataFrame:
 
 @query("tile_coverage", "S20", sql(
     f"""SELECT {rd('100.0 * count(*) FILTER (seen) / count(*)')} AS coverage_pct, (SELECT count(*) FROM tile_index) AS n_tiles,
-          (SELECT list_sort(list(DISTINCT substr(timestamp, 1, 4))) FROM tile_index) AS years, (SELECT count(DISTINCT block) FROM tile_index) AS n_blocks
+          (SELECT array_to_string(list_sort(list(DISTINCT substr(timestamp, 1, 4))), ',') FROM tile_index) AS years, (SELECT count(DISTINCT block) FROM tile_index) AS n_blocks
         FROM (SELECT EXISTS (SELECT 1 FROM tile_index t WHERE (c + 0.5) * 25 >= xmin AND (c + 0.5) * 25 < xmax AND (w - r - 0.5) * 25 > ymin AND (w - r - 0.5) * 25 <= ymax) AS seen FROM cells)"""))
 def tile_coverage(i: Inputs) -> DataFrame:
-    return lidar.tile_coverage(i.tile_index(), i.cells(), i.grid)
+    got = lidar.tile_coverage(i.tile_index(), i.cells(), i.grid)
+    return got.withColumn("years", F.array_join("years", ","))
 
 
 @query("pulse_density", "S21", sql(

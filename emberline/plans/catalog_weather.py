@@ -113,7 +113,7 @@ def weather_range_report(i: Inputs) -> DataFrame:
 
 
 @query("axis_positions", "J15", sql(
-    """SELECT lat, CAST(dense_rank() OVER (ORDER BY lat DESC) - 1 AS INTEGER) AS "row" FROM (SELECT DISTINCT lat FROM weather)"""))
+    """SELECT CAST(lat AS DOUBLE) AS lat, CAST(dense_rank() OVER (ORDER BY lat DESC) - 1 AS INTEGER) AS "row" FROM (SELECT DISTINCT lat FROM weather)"""))
 def axis_positions(i: Inputs) -> DataFrame:
     return fwi.axis_index(i.lattice(), "lat", "row", descending=True)
 
