@@ -254,3 +254,11 @@ def test_late_hours_are_dropped(spark, tmp_path):
     assert go() == {dt.date(2021, 8, 15): 13.0, dt.date(2021, 8, 16): 24.0}
     land([(1, start + dt.timedelta(hours=20), 20.0, 50.0, 5.0, 100.0)] + [(1, start + dt.timedelta(hours=h), 20.0, 50.0, 5.0, 1.0) for h in range(60, 90)])
     assert go()[dt.date(2021, 8, 16)] == 24.0
+
+
+def test_upsampling_is_reported():
+    fine, coarse = GridSpec(0, 100, 10, 10, 10), GridSpec(0, 100, 25, 4, 4)
+    assert profile.upsampling_notes(fine, fine) == [] and len(profile.upsampling_notes(coarse, fine)) == 1
+    with pytest.warns(UserWarning, match="about 6.2 cells"):
+        assert len(profile.upsampling_notes(fine, coarse)) == 2
+    assert profile.default_metrics(["x", "Cover"]) == ["Cover"] and profile.default_metrics(["x"]) == ["x"]
