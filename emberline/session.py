@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +26,28 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: spark.checkpoint.dir, or one inside the warehouse where that is unset."""
+    key = "spark.checkpoint.dir"
+    named = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
 
-    A folder is made up only where none is configured, which happens in tests.
-    """
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Checkpoint to the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
 
 
+def hold(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder once and read it from there: cut lineage that survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
     """Hint a broadcast only after counting; larger tables keep the planner's shuffle join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -49,6 +58,5 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, or in a temporary one where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='spark-scratch-')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
