@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text worked on at once inside a batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def worker_cache() -> dict:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from emberline.llm.batches import slices, split_words, worker_cache
 
 #: Distinct words whose ids a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Small letters of ASCII and Latin-1: a word of these alone is one piece for the merges.
 PLAIN = "".join(c for c in map(chr, [*range(97, 123), *range(0xDF, 0x100)]) if c.isalpha())
 #: A letter or digit, then marks that never join it in one piece, then the word's end.
