@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import frames, mixing, packing
+from emberline.llm import fingerprints, frames, mixing, packing, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.token_table(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_files, op6_mix_sources, op7_pack_sequences)}
-LLM_SQL: dict[str, str] = {}
+    f.__name__: f for f in (op1_minhash, op3_token_files, op6_mix_sources, op7_pack_sequences, op9_top_vectors)}
+LLM_SQL: dict[str, str] = {"op9_top_vectors": topk.TOP_K_SQL}
