@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import fingerprints, frames, mixing, packing, topk
+from emberline.llm import fingerprints, frames, mixing, packing, quality, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op9_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op3_token_files, op6_mix_sources, op7_pack_sequences, op9_top_vectors)}
+    f.__name__: f for f in (op1_minhash, op3_token_files, op6_mix_sources, op7_pack_sequences, op9_top_vectors, op10_quality)}
 LLM_SQL: dict[str, str] = {"op9_top_vectors": topk.TOP_K_SQL}
