@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import fingerprints, frames, mixing, packing, quality, topk
+from emberline.llm import fingerprints, frames, mixing, packing, quality, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.token_table(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -38,5 +42,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op3_token_files, op6_mix_sources, op7_pack_sequences, op9_top_vectors, op10_quality)}
+    f.__name__: f for f in (op1_minhash, op3_token_files, op5_toxicity, op6_mix_sources, op7_pack_sequences, op9_top_vectors, op10_quality)}
 LLM_SQL: dict[str, str] = {"op9_top_vectors": topk.TOP_K_SQL}
