@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,7 +46,7 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
 }
 SEPARATORS = ".-_*~'`^,:;/\\#%&=?"
-REPEAT_COST, SEPARATE_COST, CONFUSE_COST, SPLIT_COST, STRANGE_COST = 3.0, 1.5, 1.0, 6.0, 14.0
+REPEAT_COST, DOUBLE_COST, SEPARATE_COST, DROP_COST, CONFUSE_COST, SPLIT_COST, STRANGE_COST = 1.0, 6.0, 1.5, 10.0, 1.0, 6.0, 14.0
 MARKS = ".,;:!?\"'()[]{}<>#*%$&|~`^_-=+/\\@"
 DISGUISED = (r"\pL[^\pL\s]+\pL|^[0-9@$!|+]+\pL{2}|\pL{2}[0-9@$|+]+$|" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"))
 
@@ -65,7 +66,9 @@ class CharModel:
         """The likeliest reading of a written word; blanks in it where ``spaced`` letters hold several words."""
         # State: the last two symbols read, so that each is reached by its cheapest path only.
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for ch in written:
+        drawn = {k for m in re.finditer(r"(.)\1\1+", written) for k in range(*m.span())}
+        for at, ch in enumerate(written):
+            repeat = REPEAT_COST if at in drawn else DOUBLE_COST
             options = [(ch, 0.0)] if ch in INDEX else [(c, CONFUSE_COST) for c in LOOKS_LIKE.get(ch, "")]
             new: dict[tuple[int, int], tuple[float, str]] = {}
 
@@ -77,13 +80,13 @@ class CharModel:
                 for c, extra in options:
                     i = INDEX[c]
                     if i == b:
-                        offer((a, b), cost + REPEAT_COST + extra, text)
+                        offer((a, b), cost + repeat + extra, text)
                     offer((b, i), cost + extra + self.cost[a][b][i], text + c)
                     if spaced and b:
                         end = cost + self.cost[a][b][0] + SPLIT_COST
                         offer((0, i), end + extra + self.cost[0][0][i], text + " " + c)
                 if ch in SEPARATORS or ch in LOOKS_LIKE:
-                    offer((a, b), cost + SEPARATE_COST + (ch in LOOKS_LIKE) * 4.0, text)
+                    offer((a, b), cost + (DROP_COST if ch in LOOKS_LIKE else SEPARATE_COST), text)
                 elif not options:
                     offer((a, b), cost + STRANGE_COST, text)
             paths = new
