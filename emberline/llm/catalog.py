@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import fingerprints, frames, mixing, packing, quality, topk, toxicity
+from emberline.llm import extraction, fingerprints, frames, mixing, packing, quality, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.token_table(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op3_token_files, op5_toxicity, op6_mix_sources, op7_pack_sequences, op9_top_vectors, op10_quality)}
+    f.__name__: f for f in (op1_minhash, op2_main_text, op3_token_files, op5_toxicity, op6_mix_sources, op7_pack_sequences, op9_top_vectors, op10_quality)}
 LLM_SQL: dict[str, str] = {"op9_top_vectors": topk.TOP_K_SQL}

@@ -184,7 +184,7 @@ def _read(spark, path: str, schema: str, digest, kind: pa.DataType) -> DataFrame
     # One row for each writing task, so the running total below is over as few rows as there were tasks.
     tasks = stored.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     ahead = F.sum("held").over(Window.orderBy("part")) - F.col("held")
-    based = stored.join(tasks.select("part", ahead.alias("ahead")), "part")
+    based = stored.join(F.broadcast(tasks.select("part", ahead.alias("ahead"))), "part")
     return based.select((F.col("ahead") + F.col("start")).alias("base"), "payload").mapInArrow(unpack, schema)
 
 
