@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import extraction, fingerprints, frames, mixing, packing, quality, topk, toxicity
+from emberline.llm import extraction, fingerprints, frames, mixing, packing, quality, repeats, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.token_table(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +50,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_main_text, op3_token_files, op5_toxicity, op6_mix_sources, op7_pack_sequences, op9_top_vectors, op10_quality)}
+    f.__name__: f for f in (op1_minhash, op2_main_text, op3_token_files, op4_repeated_bytes, op5_toxicity, op6_mix_sources, op7_pack_sequences, op9_top_vectors, op10_quality)}
 LLM_SQL: dict[str, str] = {"op9_top_vectors": topk.TOP_K_SQL}
