@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import extraction, fingerprints, frames, mixing, packing, quality, repeats, topk, toxicity
+from emberline.llm import extraction, fingerprints, frames, mixing, ngramjoin, packing, quality, repeats, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.linked_components(table(spark, sf_dir, "documents"))
+
+
 def op9_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -50,5 +54,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_main_text, op3_token_files, op4_repeated_bytes, op5_toxicity, op6_mix_sources, op7_pack_sequences, op9_top_vectors, op10_quality)}
+    f.__name__: f for f in (op1_minhash, op2_main_text, op3_token_files, op4_repeated_bytes, op5_toxicity, op6_mix_sources, op7_pack_sequences, op8_jaccard_join, op9_top_vectors, op10_quality)}
 LLM_SQL: dict[str, str] = {"op9_top_vectors": topk.TOP_K_SQL}
