@@ -7,13 +7,16 @@ order, and a seeded choice says which blocks are taken once more.  A document ta
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm.batches import slices
 from emberline.session import hold
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -157,3 +160,49 @@ def mixed(
     return ready.groupBy("source", "shard").applyInPandas(
         select, "doc_id long, source string, size long, source_size long, target double, taken long, "
                 "runs array<struct<first:long, n:long, times:long>>")
+
+
+_WORD = re.compile(WORD)
+
+
+def layers(text: str, runs: list[tuple[int, int, int]]) -> list[str]:
+    """The texts that runs of words (first, number, times) ask for: whole and partial copies, one a layer."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    out = []
+    for layer in range(max((t for _, _, t in runs), default=0)):
+        pieces: list[list[int]] = []
+        for first, n, times in sorted(runs):
+            last = min(first + n, len(spans))
+            if times > layer and first < last:
+                if pieces and pieces[-1][1] == first:
+                    pieces[-1][1] = last
+                else:
+                    pieces.append([first, last])
+        if pieces:
+            whole = len(pieces) == 1 and pieces[0] == [0, len(spans)]
+            out.append(text if whole else "\n".join(text[spans[a][0]:spans[b - 1][1]] for a, b in pieces))
+    return out
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents (doc_id, text, lang, source, n_chars): a row for each whole or partial copy taken.
+
+    Partial copies keep the words and the white space of their runs.  Rows that share a doc_id are mixed alike.
+    """
+    runs = mixed(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.max_by("runs", "taken").alias("_runs"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
+    ready = rows.join(runs, rows["doc_id"].eqNullSafe(runs["_doc"])).drop("_doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                got = [layers(t or "", [(r["first"], r["n"], r["times"]) for r in rs]) for t, rs in zip(
+                    part.column("text").to_pylist(), part.column("_runs").to_pylist(), strict=True)]
+                at = pa.array([i for i, ts in enumerate(got) for _ in ts], pa.int64())
+                texts = [t for ts in got for t in ts]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id").take(at), pa.array(texts, pa.string()), part.column("lang").take(at),
+                    part.column("source").take(at), pa.array([len(t) for t in texts], pa.int64())],
+                    ["doc_id", "text", "lang", "source", "n_chars"])
+
+    return ready.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")

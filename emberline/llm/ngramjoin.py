@@ -322,3 +322,14 @@ def linked_components(docs: DataFrame) -> DataFrame:
         slim = slim.withColumn("label", F.lit(None).cast("long"))
     component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("label", "rep"))
     return slim.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of linked documents: the one with the least doc_id, with all its columns.
+
+    Documents without words are no group and stay; so do those without a doc_id, which nothing can name.
+    """
+    kept = hold(linked_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "join-kept")
+    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"])
+    first = F.row_number().over(Window.partitionBy("_kept").orderBy("text"))
+    return named.withColumn("_nth", first).filter("_nth = 1").select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))

@@ -194,6 +194,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     are of UTF-8 bytes and never cross documents.
     """
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     first = hold(_sorted_runs(_run_rows(docs, _frequent(docs))), "repeats-runs")
     release(spark)
     second = hold(_sorted_windows(docs, first.filter(~F.col("known"))), "repeats-windows")
@@ -250,3 +251,18 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; a null text is empty."""
     return without_repeats(docs.select(F.col("doc_id").cast("long"), "text"), digest_row,
                            "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"])
+
+
+def kept_text(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[str, int]:
+    text = kept_bytes(data, starts, stops).decode("utf-8", "ignore")
+    return text, len(text)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source) with repeated bytes removed from their texts, and n_chars.
+
+    A character of which only some bytes are left goes as a whole.  Documents of nothing but repeats stay, empty.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
+    made = without_repeats(rows, kept_text, "doc_id long, lang string, source string, text string, n_chars long", ["doc_id", "lang", "source"])
+    return made.select("doc_id", "text", "lang", "source", "n_chars")

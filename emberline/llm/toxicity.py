@@ -282,3 +282,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
     return _applied(rows, model, ["doc_id", "held_out"], "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    model = train(docs, labels)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    key = hashlib.sha256(model.chars.tobytes()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        chars = CharModel(m.chars)
+        for batch in batches:
+            for part in slices(batch):
+                p = probability(m.calibration, features(part.column("text"), chars, m.evidence, _memo(key)))
+                yield part.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
