@@ -7,9 +7,11 @@ Two sets link when 100 |A n B| >= 85 |A u B|, so their sizes are close and they
   in, so partners agree on whole parts, and those that agree on an empty one only are entered under it, too.
 * The size where one gives way to the other is where the entries of the first begin to cost more.
 
-Sets that meet in a list are candidates.  Lists are only read as "all of these belong together", a row for each entry,
-whose connected groups hold every link.  Inside a group sets are compared exactly, many at a time, and each comparison
-yields a spanning forest of the links, never the pairs.
+Sets that meet in a list are candidates.  A list is read once, with a parity sketch of each of its sets: the sketches
+of two sets differ in no more bits than the sets in members, so pairs that differ too much are told apart for certain.
+What is left of a list is a spanning forest of those that may link; a very long list, as large groups of copies make
+it, is taken as belonging together without that.  The connected groups of all lists hold every link.  Inside a group
+sets are compared exactly, many at a time, and each comparison again yields a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ BLOCK_SETS, BLOCK_MEMBERS = 256, 200_000
 CLASS_RATIO = 1.3
 #: What it costs, in entries, when a set is entered under empty parts, which say little.
 CROWDED_COST = 1000.0
-FACTS = "doc long, n long, set_id binary, s long, keys array<long>, near array<long>"
+#: Members of a list, in a slice and in all, beyond which it is taken as belonging together.
+LONG_IN_SLICE, LONG_LIST = 64, 512
+FACTS = "doc long, n long, set_id binary, s long, sketch binary, keys array<long>, wide array<long>, near array<long>"
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -158,10 +162,35 @@ def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[np.argsort(owner, kind="stable")]))
 
 
+def sketches(members: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Parity sketches: each member flips one of twice as many bits as there are members, rounded up to a power of two."""
+    sizes = np.diff(offsets)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1)))).astype("int64")
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    where = np.repeat(ends[:-1], sizes) + (mix(members ^ np.uint64(0xA0761D6478BD642F)) & np.repeat(bits - 1, sizes).astype("uint64")).astype("int64")
+    packed = np.packbits((np.bincount(where, minlength=ends[-1]) & 1).astype("uint8"), bitorder="little")
+    return [packed[a // 8:b // 8].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+
+
+def may_link(sizes: np.ndarray, sketch: list[bytes]) -> np.ndarray:
+    """Pairs that their sketches do not tell apart; longer sketches are folded to the shortest."""
+    least = min(map(len, sketch))
+    rows = []
+    for raw in sketch:
+        bits = np.frombuffer(raw, "uint8")
+        rows.append(np.bitwise_xor.reduce(bits.reshape(-1, least), axis=0))
+    on = np.unpackbits(np.stack(rows), axis=1).astype("float32")
+    total = on.sum(axis=1)
+    differ = total[:, None] + total[None, :] - 2 * (on @ on.T)
+    both = sizes[:, None] + sizes[None, :]
+    return differ <= both - 2 * (-(-NUMERATOR * both // (100 + NUMERATOR)))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """One row a document: its set's size and digest, its entries, and sets met in entries of the same slice.
+    """One row a document: its set's size, digest and sketch, and its entries.
 
-    Of equal sets, and of the entries of one list, a slice passes on one: a frequent list is then a row a slice.
+    Of equal sets a slice enters one.  Of a list that is long within the slice it enters one set in ``wide``, and the
+    others name that one in ``near``: a list that very many share is then a row a slice.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,13 +206,19 @@ def described(docs: DataFrame) -> DataFrame:
                 who, keys = entries(members[at], np.concatenate([[0], np.cumsum(lens)]))
                 order = np.lexsort((s[who], keys))
                 who, keys = who[order], keys[order]
-                new = np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)]
-                least = who[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))] if len(keys) else who
-                met = np.unique(np.stack([who[~new], s[least[~new]]]), axis=1)
+                head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+                size = np.diff(np.append(head, len(keys)))
+                long = np.repeat(size > LONG_IN_SLICE, size)
+                least = np.zeros(len(keys), dtype=bool)
+                least[head] = True
+                to = np.repeat(who[head], size)
+                met = np.unique(np.stack([who[long & ~least], s[to[long & ~least]]]), axis=1)
+                wide = long & least
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digest, pa.binary()), pa.array(s),
-                    _lists(keys[new], who[new], n), _lists(met[1], met[0].astype("int64"), n)],
-                    ["doc", "n", "set_id", "s", "keys", "near"])
+                    pa.array(sketches(members, offsets), pa.binary()), _lists(keys[~long], who[~long], n),
+                    _lists(keys[wide], who[wide], n), _lists(met[1], met[0].astype("int64"), n)],
+                    ["doc", "n", "set_id", "s", "sketch", "keys", "wide", "near"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FACTS)
 
@@ -243,11 +278,70 @@ def _compare(groups: DataFrame) -> DataFrame:
     return groups.groupBy("g").applyInPandas(run, "a long, b long")
 
 
+class _List:
+    """Reads one list after another: edges (a, b) of those that may link."""
+
+    def __init__(self) -> None:
+        self.edges: list[tuple[int, int]] = []
+        self.open(None)
+
+    def open(self, key: int | None) -> None:
+        self.key, self.wide, self.sets = key, False, {}
+        self.head: int | None = None
+
+    def add(self, s: int, wide: bool, n: int, sketch: bytes) -> None:
+        self.wide |= wide
+        self.head = s if self.head is None else self.head
+        if len(self.sets) < LONG_LIST:
+            self.sets.setdefault(s, (n, sketch))
+            return
+        if not self.wide:
+            self.wide = True
+        if s != self.head:
+            self.edges.append((s, self.head))
+
+    def close(self) -> None:
+        names = list(self.sets)
+        if len(names) < 2:
+            return
+        if self.wide:
+            self.edges += [(s, self.head) for s in names if s != self.head]
+        else:
+            sizes, raw = zip(*self.sets.values(), strict=True)
+            self.edges += [(names[i], names[j]) for i, j in forest(may_link(np.array(sizes), raw))]
+
+
+def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of all lists of a task, whose rows stand together."""
+    now = _List()
+
+    def found() -> pa.RecordBatch:
+        a, b = zip(*set(now.edges), strict=True) if now.edges else ((), ())
+        now.edges = []
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for key, s, wide, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "s", "wide", "n", "sketch")), strict=True):
+            if key != now.key:
+                now.close()
+                now.open(key)
+            now.add(s, wide, n, sketch)
+        yield found()
+    now.close()
+    yield found()
+
+
 def _candidates(facts: DataFrame) -> DataFrame:
-    """node, label: sets (s) that meet in a list of two or more, and their connected group."""
-    rows = facts.select("s", F.explode("keys").alias("key"))
-    least = F.min("s").over(Window.partitionBy("key"))
-    far = rows.withColumn("b", least).filter("s <> b").select(F.col("s").alias("a"), "b")
+    """node, label: sets (s) that may link with another, and their connected group."""
+    rows = facts.select("s", F.explode("keys").alias("key"), F.lit(False).alias("wide")).union(
+        facts.select("s", F.explode("wide").alias("key"), F.lit(True).alias("wide")))
+    alone = Window.partitionBy("key")
+    shared = hold(rows.withColumn("low", F.min("s").over(alone)).withColumn("high", F.max("s").over(alone)).filter(
+        (F.col("low") < F.col("high")) | F.col("wide")).select("key", "s", "wide"), "join-lists")
+    release(facts.sparkSession)
+    drawn = facts.select("s", "n", "sketch").dropDuplicates(["s"])
+    lists = shared.join(drawn, "s").repartition("key").sortWithinPartitions("key")
+    far = lists.mapInArrow(_read_lists, "a long, b long")
     near = facts.select(F.col("s").alias("a"), F.explode("near").alias("b")).filter("a <> b")
     return min_label(hold(far.union(near).distinct(), "join-candidates"))
 
