@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,14 @@ _FIRST, _MORE, _ANCHOR, _LEFT, _RIGHT, _WIDE, _DONE = 32, 25, 18, 10, 2, 1, 0
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver collect what is done with, so that its shuffle files leave the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver collect what is done with, so that its shuffle files leave the executors' disks.
+
+    Once for the plans that Python has let go of, once for the shuffles that those held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
