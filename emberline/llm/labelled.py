@@ -12,11 +12,24 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """doc_id, text, y (0.0 or 1.0) of labelled documents outside the held-out fold; y is the larger of several labels."""
+def training_labels(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """doc_id, y (0.0 or 1.0), draw (a hash) of labelled documents outside the held-out fold; y is the larger of several."""
     y = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("double").alias("y"))
+    return y.filter(fold(folds) != held_out).withColumn("draw", F.xxhash64("doc_id", F.lit(label)))
+
+
+def first_drawn(labels: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` labels, in the order of their draw."""
+    return labels.orderBy("draw", "doc_id").limit(most)
+
+
+def sampled_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, text and the columns of a bounded sample of labels; whole texts, null ones empty.
+
+    The sample is limited to a number of rows of two numbers each, so it is broadcast and no text is shuffled.
+    """
     known = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return known.filter(fold(folds) != held_out).join(y.filter(fold(folds) != held_out), "doc_id")
+    return known.join(F.broadcast(sample), "doc_id")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> dict[str, np.ndarray]:

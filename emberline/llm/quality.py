@@ -18,15 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.batches import slices, worker_cache
-from emberline.llm.labelled import fit_logistic, fold, probability, training_rows
+from emberline.llm.labelled import first_drawn, fit_logistic, fold, probability, sampled_rows, training_labels
+from emberline.session import hold
 
 FOLDS, HELD_OUT = 3, 1
 #: Bytes of a text that are packed together; every piece of a text counts.
 PIECE = 4096
 LEVEL = 3
 DICTIONARY_BYTES = 1 << 16
-#: Bounds of the labelled sample: pieces of each class for its dictionary, documents for the calibration.
-DICTIONARY_PIECES, CALIBRATION_DOCS = 3000, 20_000
+#: Bounds of the labelled sample: documents and pieces of each class for its dictionary, documents for the calibration.
+DICTIONARY_DOCS, DICTIONARY_PIECES, CALIBRATION_DOCS = 1500, 3000, 20_000
 
 
 class Compressors:
@@ -93,17 +94,18 @@ def _measured(rows: DataFrame, dictionaries: list[bytes], model: dict | None, ke
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    """Dictionaries (bad, good) and the calibration, from bounded samples drawn by hash order."""
-    rows = training_rows(docs, labels, "quality", FOLDS, HELD_OUT)
-    draw = F.xxhash64("doc_id", F.lit("quality"))
-    count = F.ceil(F.length("text") / PIECE).cast("int")
-    pieces = rows.filter(F.pmod(draw, F.lit(2)) == 0).select("doc_id", "y", F.posexplode(
-        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(F.col("text"), (i - 1) * PIECE + 1, F.lit(PIECE)))).alias("n", "piece"))
+    """Dictionaries (bad, good) and the calibration, from bounded samples of labelled rows in the order of their draw."""
+    known = hold(training_labels(labels, "quality", FOLDS, HELD_OUT), "quality-labels")
+    own = known.filter(F.pmod("draw", F.lit(2)) == 0)
+    rows = sampled_rows(docs, first_drawn(own.filter("y = 0"), DICTIONARY_DOCS).union(first_drawn(own.filter("y = 1"), DICTIONARY_DOCS)))
+    count = F.greatest(F.ceil(F.length("text") / PIECE).cast("int"), F.lit(1))
+    pieces = hold(rows.select("doc_id", "y", F.posexplode(F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(
+        F.col("text"), (i - 1) * PIECE + 1, F.lit(PIECE)))).alias("n", "piece")), "quality-pieces")
     order = F.xxhash64("doc_id", "n", F.lit("piece"))
-    dictionaries = [_dictionary([r["piece"].encode() for r in pieces.filter(F.col("y") == c).orderBy(order, "doc_id", "n").select("piece").limit(DICTIONARY_PIECES).collect()]) for c in (0.0, 1.0)]
-    sample = rows.filter(F.pmod(draw, F.lit(2)) == 1)
-    got = _measured(sample, dictionaries, None, ["doc_id", "y"], "doc_id long, y double, x array<double>").orderBy(
-        F.xxhash64("doc_id", F.lit("calibrate")), "doc_id").limit(CALIBRATION_DOCS).collect()
+    dictionaries = [_dictionary([r["piece"].encode() for r in pieces.filter(F.col("y") == c).orderBy(order, "doc_id", "n").select(
+        "piece").limit(DICTIONARY_PIECES).collect()]) for c in (0.0, 1.0)]
+    sample = sampled_rows(docs, first_drawn(known.filter(F.pmod("draw", F.lit(2)) == 1), CALIBRATION_DOCS))
+    got = _measured(sample, dictionaries, None, ["doc_id", "y"], "doc_id long, y double, x array<double>").orderBy("doc_id").collect()
     x = np.array([r["x"] for r in got]).reshape(-1, expanded(np.zeros((1, 4))).shape[1])
     y = np.array([r["y"] for r in got])
     if not len(got):

@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.batches import slices, split_words, worker_cache
-from emberline.llm.labelled import fit_logistic, fold, probability, training_rows
+from emberline.llm.labelled import first_drawn, fit_logistic, fold, probability, sampled_rows, training_labels
+from emberline.session import hold
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled documents that teach evidence, and those that calibrate it.
-EVIDENCE_DOCS, CALIBRATION_DOCS = 20_000, 10_000
+#: Labelled documents that teach at most, and the parts in which they are calibrated on what the others teach.
+SAMPLE_DOCS, PARTS = 30_000, 3
 BUCKETS = 1 << 18
 #: Pseudo-documents at the base rate behind every piece of evidence.
 PRIOR_DOCS = 2.0
@@ -47,6 +48,7 @@ LOOKS_LIKE = {
 }
 SEPARATORS = ".-_*~'`^,:;/\\#%&=?"
 REPEAT_COST, DOUBLE_COST, SEPARATE_COST, DROP_COST, CONFUSE_COST, SPLIT_COST, STRANGE_COST = 1.0, 6.0, 1.5, 10.0, 1.0, 6.0, 14.0
+N_FEATURES = 20
 MARKS = ".,;:!?\"'()[]{}<>#*%$&|~`^_-=+/\\@"
 DISGUISED = (r"\pL[^\pL\s]+\pL|^[0-9@$!|+]+\pL{2}|\pL{2}[0-9@$|+]+$|" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"))
 
@@ -209,46 +211,59 @@ def _memo(key: str) -> dict[str, str]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Character model of all documents; evidence and calibration from bounded samples of labelled rows."""
+    """Character model of all documents; evidence and calibration from a bounded sample of labelled rows.
+
+    The calibration sees each part of the sample with the evidence of the others, so that both use all of it.
+    """
     sc = docs.sparkSession.sparkContext
     counts = char_counts(docs)
     key = hashlib.sha256(counts.tobytes()).hexdigest()
     shipped = sc.broadcast(counts)  # SYMBOLS cubed numbers
-    rows = training_rows(docs, labels, "toxic", FOLDS, HELD_OUT)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(3_000_000))
-    n = rows.count()
-    part = min(1.0, (EVIDENCE_DOCS + CALIBRATION_DOCS) / max(n, 1))
-    # A third calibrates, the rest teaches; equal texts teach once.
-    sample = rows.withColumn("draw", draw).filter(F.col("draw") % 1_000_000 < int(part * 1_000_000))
-    teach = sample.filter(F.col("draw") >= 1_000_000).withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"])
+    drawn = first_drawn(training_labels(labels, "toxic", FOLDS, HELD_OUT), SAMPLE_DOCS)
+    text = F.xxhash64("text")
+    # Equal texts teach once and fall in one part.
+    sample = hold(sampled_rows(docs, drawn).withColumns(
+        {"h": text, "part": F.pmod(text, F.lit(PARTS)).cast("int")}).dropDuplicates(["h", "y"]).select("text", "y", "part"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = CharModel(shipped.value)
-        seen = np.zeros((2, BUCKETS + 1), dtype="int64")
+        seen = np.zeros((PARTS, 2, BUCKETS + 1), dtype="int64")
         for batch in batches:
             for p in slices(batch):
-                y = p.column("y").to_numpy(zero_copy_only=False)
+                y, part = (p.column(c).to_numpy(zero_copy_only=False) for c in ("y", "part"))
                 doc, codes, words = readings(p.column("text"), chars, _memo(key))
-                b = buckets(words) if len(words) else np.zeros((0, 4), "int64")
+                b = buckets(words) if len(words) else np.zeros((0, 1 + len(PREFIXES)), "int64")
                 pairs = np.unique((doc[:, None] * np.int64(BUCKETS) + b[codes]).ravel())
-                for c in (0, 1):
-                    seen[c, :BUCKETS] += np.bincount(pairs[y[pairs // BUCKETS] == c] % BUCKETS, minlength=BUCKETS)
-                    seen[c, BUCKETS] += int((y == c).sum())
-        at = np.flatnonzero(seen.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["bucket", "n0", "n1"])
-
-    got = teach.select("text", "y").mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(
+                for k in range(PARTS):
+                    for c in (0, 1):
+                        own = (y == c) & (part == k)
+                        seen[k, c, :BUCKETS] += np.bincount(pairs[own[pairs // BUCKETS]] % BUCKETS, minlength=BUCKETS)
+                        seen[k, c, BUCKETS] += int(own.sum())
+        k, at = np.nonzero(seen.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(seen[k, 0, at]), pa.array(seen[k, 1, at])], ["part", "bucket", "n0", "n1"])
+
+    got = sample.select("text", "y", "part").mapInArrow(count, "part long, bucket long, n0 long, n1 long").groupBy("part", "bucket").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    n0, n1 = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    n0[got["bucket"]], n1[got["bucket"]] = got["n0"], got["n1"]
+    seen = np.zeros((PARTS, 2, BUCKETS + 1))
+    seen[got["part"], 0, got["bucket"]], seen[got["part"], 1, got["bucket"]] = got["n0"], got["n1"]
+    model = Model(counts, _evidence(seen.sum(axis=0)), {})
+    x, y = [], []
+    for k in range(PARTS):
+        others = model._replace(evidence=_evidence(seen.sum(axis=0) - seen[k]))
+        for r in _applied(sample.filter(F.col("part") == k), others, ["y"], "y double, x array<double>").collect():
+            x.append(r["x"])
+            y.append(r["y"])
+    if not y:
+        x, y = np.zeros((1, N_FEATURES)), [0.5]
+    return model._replace(calibration=fit_logistic(np.array(x), np.array(y), ridge=0.1))
+
+
+def _evidence(seen: np.ndarray) -> np.ndarray:
+    """Log-odds of each bucket over the base rate, drawn towards it where little was seen."""
+    n0, n1 = seen
     base = (n1[-1] + 0.5) / (n0[-1] + n1[-1] + 1)
     rate = (n1 + PRIOR_DOCS * base) / (n0 + n1 + PRIOR_DOCS)
-    evidence = (np.log(rate / (1 - rate)) - math.log(base / (1 - base)))[:BUCKETS].astype("float32")
-    model = Model(counts, evidence, {})
-    held = _applied(sample.filter(F.col("draw") < 1_000_000), model, ["y"], "y double, x array<double>").collect()
-    if not held:
-        return model._replace(calibration=fit_logistic(np.zeros((1, 20)), np.full(1, 0.5)))
-    return model._replace(calibration=fit_logistic(np.array([r["x"] for r in held]), np.array([r["y"] for r in held])))
+    return (np.log(rate / (1 - rate)) - math.log(base / (1 - base)))[:BUCKETS].astype("float32")
 
 
 def _applied(rows: DataFrame, model: Model, keep: list[str], schema: str) -> DataFrame:
