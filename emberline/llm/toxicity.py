@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             y.append(r["y"])
     if not y:
         x, y = np.zeros((1, N_FEATURES)), [0.5]
-    return model._replace(calibration=fit_logistic(np.array(x), np.array(y), ridge=0.1))
+    return model._replace(calibration=fit_logistic(np.array(x), np.array(y), ridge=1.0))
 
 
 def _evidence(seen: np.ndarray) -> np.ndarray:
