@@ -14,8 +14,6 @@ from emberline.errors import BadPeriod, EmptyReference, notice
 from emberline.functions.constants import DANGER_SEASON
 from emberline.operators.rank import quantiles, share_at_or_below
 
-HOT_ROWS = 1_000_000
-
 
 def period_bounds(period) -> tuple[date, date]:
     """Two years or two dates as inclusive bounds."""
@@ -69,12 +67,11 @@ def check_reference(series: DataFrame, day: str, period=None, season=DANGER_SEAS
 
 
 def percentile_of_series(series: DataFrame, value: str, day: str, cell: list[str], period=None, season=DANGER_SEASON,
-                         out: str = "percentile", hot_rows: int = HOT_ROWS) -> DataFrame:
+                         out: str = "percentile") -> DataFrame:
     """Rank of each day in the reference record of its own cell, 0 to 100.
 
-    A cell's record is as long as the archive, so one window per cell is the plan:
-    a single shuffle.  A count over the cell column alone tells whether any cell has
-    more rows than a daily archive holds; only such cells go through value ranges.
+    One shuffle by cell, then one window.  A cell has a row a day, so its record is as long as the archive in days
+    whatever the size of the grid; records pooled over cells go to :func:`percentile_of_zone`.
     """
     df = series.withColumn("_ref", in_reference(day, period, season) & F.col(value).isNotNull())
     w = Window.partitionBy(*cell)
@@ -82,12 +79,7 @@ def percentile_of_series(series: DataFrame, value: str, day: str, cell: list[str
     ref = F.col("_ref").cast("int")
     total = F.sum(ref).over(w)
     share = F.when(F.col(value).isNotNull() & (total > 0), 100.0 * F.sum(ref).over(upto) / total)
-    hot = df.groupBy(*cell).agg(F.count("*").alias("c")).filter(F.col("c") > hot_rows).select(*cell)
-    if hot.isEmpty():
-        return df.withColumn(out, share).drop("_ref")
-    ranked = df.join(hot, cell, "left_anti").withColumn(out, share)
-    split = share_at_or_below(df.join(hot, cell, "left_semi"), value, "_ref", cell, out)
-    return ranked.unionByName(split).drop("_ref")
+    return df.withColumn(out, share).drop("_ref")
 
 
 def percentile_of_zone(series: DataFrame, value: str, day: str, zone: str, period=None, season=DANGER_SEASON,

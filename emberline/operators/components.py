@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.errors import BadRange, EmberError, EmberWarning, notice
+from emberline.errors import BadRange, EmberWarning, notice
 from emberline.functions.constants import MAPPING_UNIT_HA
 from emberline.grid import CELL, GridSpec
 from emberline.session import cut_lineage
@@ -42,7 +42,7 @@ def _label_tile(rows: np.ndarray, cols: np.ndarray, ids: np.ndarray) -> np.ndarr
             return label
 
 
-def min_label(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def min_label(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node of an undirected graph (columns ``a``, ``b``).
 
     Alternates hooking every node to its smallest neighbour with shortcutting to the
@@ -52,7 +52,7 @@ def min_label(edges: DataFrame, rounds: int = 64) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
-    for _ in range(rounds):
+    while True:
         seen = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         hooked = both.join(seen, "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(hooked, labels["node"] == hooked["a"]).select(
@@ -63,7 +63,6 @@ def min_label(edges: DataFrame, rounds: int = 64) -> DataFrame:
         labels = step.select("node", "label")
         if not changed:
             return labels
-    raise EmberError("components did not settle")
 
 
 def null_components(cells: DataFrame, grid: GridSpec, value: str, side: int = 256) -> DataFrame:
@@ -83,6 +82,7 @@ def null_components(cells: DataFrame, grid: GridSpec, value: str, side: int = 25
         return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "piece": piece})
 
     local = cut_lineage(tiled.groupBy("tr", "tc").applyInPandas(label, "row int, col int, piece long"))
+    pieces = local.groupBy("piece").agg(F.count("*").alias("n"))
     border = local.filter(
         (F.col("row") % side).isin(0, side - 1) | (F.col("col") % side).isin(0, side - 1))
     moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in FORWARD])
@@ -92,12 +92,14 @@ def null_components(cells: DataFrame, grid: GridSpec, value: str, side: int = 25
     edges = reach.join(border.withColumnRenamed("piece", "b"), CELL).filter("a <> b").select("a", "b").distinct()
     edges = cut_lineage(edges)
     if edges.isEmpty():
-        merged = local.withColumnRenamed("piece", "component")
+        merged = pieces.withColumn("component", F.col("piece"))
     else:
         roots = min_label(edges).withColumnRenamed("node", "piece")
-        merged = local.join(roots, "piece", "left").select(*CELL, F.coalesce("label", "piece").alias("component"))
-    sizes = merged.groupBy("component").agg(F.count("*").alias("size"))
-    return merged.join(sizes, "component").select(*CELL, "component", "size")
+        merged = pieces.join(roots, "piece", "left").select("piece", "n", F.coalesce("label", "piece").alias("component"))
+    # sizes are summed over pieces, and cells meet their piece only: one sea is many pieces of a tile's size at most
+    sizes = merged.groupBy("component").agg(F.sum("n").alias("size"))
+    named = merged.join(sizes, "component").select("piece", "component", "size")
+    return local.join(named, "piece").select(*CELL, "component", "size")
 
 
 def mapping_unit(components: list[str]) -> tuple[float | None, str]:

@@ -16,7 +16,6 @@ from emberline.operators import windows as win
 from emberline.operators.terrain import horn
 from emberline.operators.tiles import halo_map, row_prefix, run_sums
 
-OFFSET_JOIN_LIMIT = 100
 
 
 def focal_sums(
@@ -99,7 +98,7 @@ def focal_sums_by_prefix(df: DataFrame, grid: GridSpec, value: str, offsets: win
         ((F.col("e.sign") == 0) & F.col("own")).alias("own"))
     return (
         moved.filter(grid.inside()).groupBy(*CELL)
-        .agg(F.max("mine").alias(value), F.sum("s").alias("sum"), F.sum("k").alias("n"), F.max("own").alias("present"))
+        .agg(F.max("mine").alias(value), F.round(F.sum("s"), 9).alias("sum"), F.sum("k").alias("n"), F.max("own").alias("present"))
         .filter("present").drop("present")
     )
 
@@ -136,8 +135,6 @@ def exposure(
     elif strategy == "prefix":
         sums = focal_sums_by_prefix(src, grid, value, ring)
     elif strategy == "offsets":
-        if len(ring) > OFFSET_JOIN_LIMIT:
-            raise EmberError(f"a ring of {len(ring)} cells is too wide for the offset strategy")
         sums = focal_sums_by_offset(src, grid, value, ring)
     else:
         raise EmberError(f"unknown strategy '{strategy}'")

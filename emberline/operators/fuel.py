@@ -12,7 +12,6 @@ from emberline.functions.constants import FUEL_WEIGHTS, SOURCE_RANK, values_tabl
 from emberline.grid import CELL, GridSpec, require_same_grid
 from emberline.operators.provenance import Provenance
 from emberline.operators.raster import align, burn_attribute
-from emberline.session import broadcast_if_small
 
 
 def weights_table(spark, overrides: dict[str, float] | None = None) -> DataFrame:
@@ -29,23 +28,24 @@ def weights_table(spark, overrides: dict[str, float] | None = None) -> DataFrame
 
 def burnable(cells: DataFrame, lookup: DataFrame, out: str = "burnable") -> DataFrame:
     """Class to 0/1; a class the lookup does not know stays null, never 'not burnable'."""
-    table = broadcast_if_small(lookup.select(F.col("code").alias("class"), F.col("burnable").cast("int").alias(out)))
+    table = lookup.select(F.col("code").alias("class"), F.col("burnable").cast("int").alias(out))
     return cells.join(table, "class", "left")
 
 
 def fuel_type(cells: DataFrame, lookup: DataFrame) -> DataFrame:
     """Class to fuel type; several codes may share one."""
-    table = broadcast_if_small(lookup.select(F.col("code").alias("class"), "fuel_type"))
+    table = lookup.select(F.col("code").alias("class"), "fuel_type")
     return cells.join(table, "class", "left")
 
 
 def availability(cells: DataFrame, lookup: DataFrame, weights: DataFrame, out: str = "availability") -> DataFrame:
     """Class to type to weight; a lookup type without a weight is an error."""
     lacking = lookup.select("fuel_type").filter(F.col("fuel_type").isNotNull()).join(weights, "fuel_type", "left_anti")
-    if not lacking.isEmpty():
-        raise BadWeights(f"no weight for {sorted({r[0] for r in lacking.distinct().limit(20).collect()})}")
+    missing = lacking.agg(F.count_distinct("fuel_type").alias("n"), F.min("fuel_type").alias("first")).first()
+    if missing["n"]:
+        raise BadWeights(f"no weight for {missing['n']} fuel types, {missing['first']!r} among them")
     table = lookup.join(weights, "fuel_type").select(F.col("code").alias("class"), F.col("weight").alias(out))
-    return cells.join(broadcast_if_small(table), "class", "left")
+    return cells.join(table, "class", "left")
 
 
 def unmatched(cells: DataFrame, lookup: DataFrame) -> DataFrame:

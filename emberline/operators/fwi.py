@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -183,12 +183,18 @@ def assemble(series: DataFrame, index: str, lat: str = "lat", long: str = "long"
     """Station values as a dated grid by exact coordinates: north row first, west column first.
 
     ``stations`` gives the coordinates of the lattice, so that a long recurrence need
-    not run again just to list them.
+    not run again just to list them.  A row whose coordinates are not among them fails
+    the task: it has no place on the lattice.
     """
     where = series if stations is None else stations
     rows, cols = axis_index(where, lat, "row", descending=True), axis_index(where, long, "col")
-    return series.join(rows, lat).join(cols, long).select(
-        F.make_date("yr", "mon", "day").alias("date"), *CELL, F.col(index).alias("value"))
+    def placed(axis: str) -> Column:
+        lost = F.raise_error(F.concat(F.lit("no place on the lattice for station at "), F.coalesce(F.col(lat).cast("string"), F.lit("null")),
+                                      F.lit(", "), F.coalesce(F.col(long).cast("string"), F.lit("null"))))
+        return F.coalesce(axis, lost.cast("int")).alias(axis)
+
+    return series.join(rows, lat, "left").join(cols, long, "left").select(
+        F.make_date("yr", "mon", "day").alias("date"), *[placed(c) for c in CELL], F.col(index).alias("value"))
 
 
 def lattice_spec(series: DataFrame, lat: str = "lat", long: str = "long", crs: str = "") -> GridSpec:

@@ -32,12 +32,10 @@ STEP_SCHEMA = T.StructType([
 
 
 def _scalar(value) -> str:
-    """A parameter as text: short sequences verbatim, longer ones summarised."""
+    """A parameter as text, sequences in full."""
     if isinstance(value, dict):
         return ", ".join(f"{k}={_scalar(v)}" for k, v in value.items())
     if isinstance(value, (list, tuple)):
-        if len(value) > 24:
-            return f"{len(value)} values, {value[0]} .. {value[-1]}"
         return ", ".join(_scalar(v) for v in value)
     return str(value)
 

@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.errors import BadRange, ParetoTooLarge
+from emberline.errors import BadRange
 from emberline.operators.algebra import minmax
 from emberline.session import cut_lineage, shuffle_width
 
+#: Parts whose survivors meet in one part of the next round.
+MERGED_PARTS = 16
+
 
 def front_levels(m: np.ndarray, depth: float) -> np.ndarray:
     """Peeling level of each distinct row, 0 beyond ``depth``.  Larger is better.
@@ -45,14 +48,16 @@ def front_levels(m: np.ndarray, depth: float) -> np.ndarray:
     return out
 
 
-def pareto(cells: DataFrame, dims: list[str], depth: float = 1, digits: int = 3, max_unique: int = 50_000,
+def pareto(cells: DataFrame, dims: list[str], depth: float = 1, digits: int = 3,
            normalise: str = "minmax", out: str = "risk") -> DataFrame:
     """Front membership (depth 1) or peeled score of every complete cell.
 
-    Combinations are rounded, made distinct, and pruned partition by partition: a
-    row's level within any subset never exceeds its level overall, so what a subset
-    puts beyond the depth is beyond it.  The survivors are ranked once more together;
-    ``max_unique`` bounds them.  Cells with a missing dimension stay null.
+    Combinations are rounded, made distinct, and pruned part by part, each time with fewer and larger parts: a
+    combination's level within any part never exceeds its level overall, so what a part puts beyond the depth is
+    beyond it.  What is left at last is ranked together.  That is no more than ``depth`` antichains of the lattice of
+    rounded values, which for two to three scaled dimensions is a matter of the digits and not of the number of cells.
+    Without a depth every distinct combination has a level, and all are ranked together.  Cells with a missing
+    dimension stay null.
     """
     if depth < 1:
         raise BadRange("depth must be at least 1")
@@ -65,30 +70,30 @@ def pareto(cells: DataFrame, dims: list[str], depth: float = 1, digits: int = 3,
     complete = F.lit(True)
     for k in keys:
         complete = complete & F.col(k).isNotNull()
-    unique = cut_lineage(base.filter(complete).select(*keys).distinct())
-    n = unique.count()
-    if n > max_unique:
-        raise ParetoTooLarge(f"{n} distinct combinations at {digits} decimals, more than {max_unique}")
-
     schema = ", ".join(f"{k} double" for k in keys) + ", _level long"
 
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if held:
-            pdf = pd.concat(held, ignore_index=True)
-            pdf["_level"] = front_levels(pdf[keys].to_numpy(), depth)
-            yield pdf[pdf["_level"] > 0]
+    def pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Best first within what fits in memory; the dominated go as they come."""
+        held = None
+        for pdf in batches:
+            both = pdf[keys] if held is None else pd.concat([held, pdf[keys]], ignore_index=True)
+            held = both[front_levels(both.to_numpy(), depth) > 0] if math.isfinite(depth) else both
+        if held is not None and len(held):
+            yield held.assign(_level=front_levels(held.to_numpy(), depth))
 
-    alive = unique
-    if math.isfinite(depth) and n > 2000:
-        alive = unique.repartition(shuffle_width(cells.sparkSession)).mapInPandas(rank, schema).select(*keys)
-    levels = alive.coalesce(1).mapInPandas(rank, schema)
+    alive = base.filter(complete).select(*keys).distinct()
+    width = shuffle_width(cells.sparkSession)
+    while width > 1:
+        if math.isfinite(depth):
+            alive = alive.mapInPandas(pruned, schema).select(*keys)
+        width = max(1, width // MERGED_PARTS)
+        alive = alive.repartition(width)
+    levels = cut_lineage(alive.repartition(1).mapInPandas(pruned, schema))
     if depth == 1:
         scored = levels.select(*keys, F.lit(1.0).alias(out))
     else:
-        levels = cut_lineage(levels)
         top = F.lit(levels.agg(F.max("_level")).first()[0])
         scored = levels.select(*keys, ((top - F.col("_level") + 1) / top).alias(out))
-    joined = base.join(F.broadcast(scored), keys, "left")
+    joined = base.join(scored, keys, "left")
     value = F.when(complete, F.coalesce(out, F.lit(0.0)))
     return joined.withColumn(out, value).drop(*keys)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.grid import CELL, GridSpec
-from emberline.session import shuffle_width
 
 
 def tile_side(grid: GridSpec, halo: int) -> int:
@@ -79,9 +78,7 @@ def halo_map(
     fields = [T.StructField(c, T.IntegerType()) for c in CELL]
     fields += [df.schema[k] for k in keep]
     fields += [T.StructField(n, T.DoubleType()) for n in outputs]
-    n_tiles = -(-grid.nrow // side) * -(-grid.ncol // side)
     tiled = with_halo(df.select(*CELL, *cols), grid, side, halo)
-    tiled = tiled.repartition(min(n_tiles, shuffle_width(df.sparkSession)), "tile_r", "tile_c")
     return tiled.groupBy("tile_r", "tile_c").applyInPandas(run, T.StructType(fields))
 
 

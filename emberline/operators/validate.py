@@ -18,7 +18,7 @@ from emberline.operators.windows import default_radii, window_side
 
 
 def temporal_bins(fires: DataFrame, vintage: int, max_lag: int = 5) -> DataFrame:
-    """Fires and burnt hectares by how long after the fuel vintage they burnt."""
+    """Fires and burnt hectares by how long after the fuel vintage they burnt: always three rows."""
     lag = F.col("fire_year") - vintage
     bin_ = F.when(lag <= 0, 1).when(lag <= max_lag, 2).when(lag > max_lag, 3)
     area = F.coalesce(F.col("area_ha").cast("double"), F.lit(0.0))
@@ -26,6 +26,9 @@ def temporal_bins(fires: DataFrame, vintage: int, max_lag: int = 5) -> DataFrame
     label = F.when(F.col("bin") == 1, "<= 0").when(F.col("bin") == 2, f"1 to {max_lag}").otherwise(f"> {max_lag}")
     got = fires.select(bin_.alias("bin"), area.alias("a")).filter("bin is not null").groupBy("bin").agg(
         F.count("*").alias("n_fires"), F.bround(F.sum("a"), 1).alias("area_ha"))
+    zero = F.lit(0.0)
+    got = fires.sparkSession.range(1, 4).select(F.col("id").cast("int").alias("bin")).join(got, "bin", "left").withColumns(
+        {"n_fires": F.coalesce("n_fires", F.lit(0)), "area_ha": F.coalesce("area_ha", zero)})
     return got.select("bin", label.alias("lag_years"), "n_fires", "area_ha",
                       F.when(total > 0, F.bround(100 * F.col("area_ha") / total, 1)).alias("pct_area"))
 

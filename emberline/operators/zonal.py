@@ -16,72 +16,56 @@ from emberline.functions.scalars import rh_at_temperature
 from emberline.grid import CELL, GridSpec
 from emberline.operators.classify import right_closed_band
 from emberline.operators.fwi import check_columns, fwi_series
-from emberline.operators.rank import quantiles, quantiles_of_counts
+from emberline.operators.rank import quantiles
 from emberline.session import cut_lineage
 
-MANY_STATIONS = 20_000
-
-
-def _nearest_of_few(points: DataFrame, stations: list, sid_type: T.DataType, x: str, y: str) -> DataFrame:
-    """Nearest of a counted set of stations, neighbouring points sharing one short list."""
-    sx = np.array([r["_sx"] for r in stations], dtype="float64")
-    sy = np.array([r["_sy"] for r in stations], dtype="float64")
-    ids = np.array([r["_sid"] for r in stations], dtype=object)
-    width = max(np.ptp(sx), np.ptp(sy), 1e-9) / max(math.sqrt(len(ids)), 1.0) if len(ids) else 1.0
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            px, py = pdf[x].to_numpy(dtype="float64"), pdf[y].to_numpy(dtype="float64")
-            best, d2 = np.zeros(len(pdf), dtype="int64"), np.empty(len(pdf))
-            near = pd.DataFrame({"i": np.floor(px / width), "j": np.floor(py / width)})
-            for at in near.groupby(["i", "j"], sort=False).indices.values():
-                bx, by = px[at], py[at]
-                x0, x1, y0, y1 = bx.min(), bx.max(), by.min(), by.max()
-                far = np.maximum(np.abs(sx - x0), np.abs(sx - x1)) ** 2 + np.maximum(np.abs(sy - y0), np.abs(sy - y1)) ** 2
-                gap = np.maximum(np.maximum(x0 - sx, sx - x1), 0) ** 2 + np.maximum(np.maximum(y0 - sy, sy - y1), 0) ** 2
-                # no station further from the box than the best worst case can win
-                c = np.flatnonzero(gap <= far.min())
-                dx, dy = bx[:, None] - sx[c], by[:, None] - sy[c]
-                d = dx * dx + dy * dy
-                k = d.argmin(axis=1)
-                best[at], d2[at] = c[k], d[np.arange(len(at)), k]
-            yield pdf.assign(station=pd.Series(ids[best], index=pdf.index), d2=d2)
-
-    schema = T.StructType([*points.schema.fields, T.StructField("station", sid_type),
-                           T.StructField("d2", T.DoubleType())])
-    return points.mapInPandas(pick, schema)
+AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
 def nearest(points: DataFrame, stations: DataFrame, key: list[str], x: str = "x", y: str = "y", sid: str = "id",
-            order: str = "ord", cell: float | None = None, few: int = MANY_STATIONS) -> DataFrame:
-    """Nearest station of each point by squared planar distance; ties go to the first in ``order``.
+            order: str = "ord") -> DataFrame:
+    """Nearest station of each point (``station``, ``d2``) by squared planar distance; ties go to the first in ``order``.
 
-    A counted set of stations travels with the task.  More than that are looked
-    up in square bins that double until every point has a station nearer than
-    a bin is wide, which no unseen station can beat.
+    Points and stations meet in square bins, as wide at first as stations lie apart, twice as wide in each round.  The
+    points of a bin share a list: a station is on it unless another is nearer to every one of them.  A point is settled
+    once it has a station nearer than a bin is wide, which no unseen station can beat; rounds are logarithmic in the
+    distance.  A point with a null coordinate, or any point where there is no station, has a null station.
     """
     st = stations.select(F.col(sid).alias("_sid"), F.col(order).alias("_ord"), F.col("x").cast("double").alias("_sx"),
-                         F.col("y").cast("double").alias("_sy"))
-    if st.limit(few + 1).count() <= few:
-        return _nearest_of_few(points, st.orderBy("_ord").collect(), st.schema["_sid"].dataType, x, y)
-    if cell is None:
-        raise EmberError("a starting bin width is needed for many stations")
+                         F.col("y").cast("double").alias("_sy")).filter("_sx is not null and _sy is not null")
     # stations on one spot cannot be told apart by distance: the first stands for them
     st = st.groupBy("_sx", "_sy").agg(F.min(F.struct("_ord", "_sid")).alias("f")).select("_sx", "_sy", "f.*")
-    todo, done, width = points, None, float(cell)
-    cols = points.columns
+    n, x0, x1, y0, y1 = st.agg(F.count("*"), F.min("_sx"), F.max("_sx"), F.min("_sy"), F.max("_sy")).first()
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))
+    none = [F.lit(None).cast(stations.schema[sid].dataType).alias("station"), F.lit(None).cast("double").alias("d2")]
+    if not n:
+        return points.select("*", *none)
+    cols, done = points.columns, points.filter(~placed).select("*", *none)
+    todo, width = points.filter(placed), max(x1 - x0, y1 - y0, 1e-6) / math.sqrt(n)
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
     while True:
-        binned = st.withColumn("_bx", F.floor(F.col("_sx") / width)).withColumn("_by", F.floor(F.col("_sy") / width))
-        around = F.array(*[F.struct((F.floor(F.col(x) / width) + i).alias("_bx"), (F.floor(F.col(y) / width) + j).alias("_by"))
-                           for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        dx, dy = F.col(x) - F.col("_sx"), F.col(y) - F.col("_sy")
-        near = todo.select("*", F.inline(around)).join(binned, ["_bx", "_by"]).groupBy(*key).agg(
+        todo = todo.withColumn("_bx", F.floor(px / width)).withColumn("_by", F.floor(py / width))
+        bins = todo.groupBy("_bx", "_by").agg(F.min(px).alias("_x0"), F.max(px).alias("_x1"), F.min(py).alias("_y0"), F.max(py).alias("_y1"))
+        around = F.array(*[F.struct((F.col("_bx") + i).alias("_nx"), (F.col("_by") + j).alias("_ny")) for i, j in AROUND])
+        binned = st.withColumn("_nx", F.floor(F.col("_sx") / width)).withColumn("_ny", F.floor(F.col("_sy") / width))
+
+        def beyond(lo: str, hi: str, s: str) -> Column:
+            return F.greatest(F.col(lo) - F.col(s), F.col(s) - F.col(hi), F.lit(0.0))
+
+        def across(lo: str, hi: str, s: str) -> Column:
+            return F.greatest(F.abs(F.col(s) - F.col(lo)), F.abs(F.col(s) - F.col(hi)))
+
+        gap = beyond("_x0", "_x1", "_sx") ** 2 + beyond("_y0", "_y1", "_sy") ** 2
+        far = across("_x0", "_x1", "_sx") ** 2 + across("_y0", "_y1", "_sy") ** 2
+        met = bins.select("*", F.inline(around)).join(binned, ["_nx", "_ny"]).withColumns({"_gap": gap, "_far": far})
+        least = met.groupBy("_bx", "_by").agg(F.min("_far").alias("_worst"))
+        lists = met.join(least, ["_bx", "_by"]).filter("_gap <= _worst").select("_bx", "_by", "_sx", "_sy", "_ord", "_sid")
+        dx, dy = px - F.col("_sx"), py - F.col("_sy")
+        best = todo.join(lists, ["_bx", "_by"]).groupBy(*key).agg(
             F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("_ord"), F.col("_sid"))).alias("b"))
-        got = todo.join(near, key, "left")
         ok = F.coalesce(F.col("b.d2") <= width * width, F.lit(False))
-        got = cut_lineage(got.withColumn("_ok", ok))
-        part = got.filter("_ok").select(*cols, F.col("b._sid").alias("station"), F.col("b.d2").alias("d2"))
-        done = part if done is None else done.unionByName(part)
+        got = cut_lineage(todo.join(best, key, "left").withColumn("_ok", ok))
+        done = done.unionByName(got.filter("_ok").select(*cols, F.col("b._sid").alias("station"), F.col("b.d2").alias("d2")))
         todo = got.filter(~F.col("_ok")).select(*cols)
         if todo.isEmpty():
             return done
@@ -123,16 +107,15 @@ def zone_table(zones: DataFrame, grid: GridSpec, dem: str, lat: Column | None =
     rows = zones.filter(F.col("zone").isNotNull() & F.col(dem).isNotNull()).withColumns(
         {"_lat": lat, "_x": grid.x("col"), "_y": grid.y("row")})
     extra = [F.min(station).alias("station")] if station else []
-    # one pass over the cells; zone summaries and medians both follow from it
+    # one pass over the cells: latitudes are as few as grid rows, so a zone's median follows from its partial rows
     part = rows.groupBy("zone", "_lat").agg(
         F.count("*").alias("n"), F.sum(dem).alias("se"), F.min(dem).alias("lo"), F.max(dem).alias("hi"),
         F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), *extra)
     n = F.sum("n")
-    base = part.groupBy("zone").agg(
+    return part.groupBy("zone").agg(
         n.alias("n_cells"), (F.sum("se") / n).alias("elev_mean"), F.min("lo").alias("elev_min"), F.max("hi").alias("elev_max"),
-        (F.sum("sx") / n).alias("x"), (F.sum("sy") / n).alias("y"), *extra)
-    mid = quantiles_of_counts(part, "_lat", [0.5], ["zone"]).select("zone", F.col("q").alias("lat"))
-    return base.join(mid, "zone")
+        (F.sum("sx") / n).alias("x"), (F.sum("sy") / n).alias("y"), *extra,
+        F.percentile(F.col("_lat").cast("double"), F.lit(0.5), F.col("n")).alias("lat"))
 
 
 def wind_weight(zones: DataFrame, curvature: str, weight: float = 0.5) -> DataFrame:
@@ -228,7 +211,7 @@ def downscale_auto(weather: DataFrame, zones: DataFrame, stations: DataFrame, gr
     """As :func:`downscale`, giving zones without a station the one nearest their centroid."""
     if "station" not in zones.columns:
         notice("zones were built without stations; each takes the station nearest its centroid")
-        zones = nearest(zones, stations, ["zone"], cell=grid.res)
+        zones = nearest(zones, stations, ["zone"])
     return downscale(weather, zones, **kw)
 
 

@@ -257,7 +257,7 @@ _DOM = "b.x >= a.x AND b.y >= a.y AND b.z >= a.z AND (b.x > a.x OR b.y > a.y OR
        FROM sc LEFT JOIN front USING (x, y, z)""",
     _KEYS, f"front AS (SELECT *, 1.0 AS f FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE {_DOM}))"))
 def risk_pareto(i: Inputs) -> DataFrame:
-    return skyline.pareto(i.layers(), ["holed", "pop", "elev"], digits=2, max_unique=600_000).select(*CELL, "risk")
+    return skyline.pareto(i.layers(), ["holed", "pop", "elev"], digits=2).select(*CELL, "risk")
 
 
 @query("risk_pareto_peeled", "R02", sql(
@@ -267,7 +267,7 @@ def risk_pareto(i: Inputs) -> DataFrame:
     "u2 AS (SELECT * FROM u EXCEPT SELECT * FROM f1)", f"f2 AS (SELECT * FROM u2 a WHERE NOT EXISTS (SELECT 1 FROM u2 b WHERE {_DOM}))",
     "u3 AS (SELECT * FROM u2 EXCEPT SELECT * FROM f2)", f"f3 AS (SELECT * FROM u3 a WHERE NOT EXISTS (SELECT 1 FROM u3 b WHERE {_DOM}))"))
 def risk_peeled(i: Inputs) -> DataFrame:
-    return skyline.pareto(i.layers(), ["holed", "pop", "elev"], depth=3, digits=2, max_unique=600_000).select(*CELL, "risk")
+    return skyline.pareto(i.layers(), ["holed", "pop", "elev"], depth=3, digits=2).select(*CELL, "risk")
 
 
 @query("crown_fire_cells", "M14 M15", sql(

@@ -140,12 +140,6 @@ def percentile_by_zone(i: Inputs) -> DataFrame:
     return climatology.percentile_of_zone(i.series(), "value", "date", "zone", _PERIOD).select("id", "date", "percentile")
 
 
-@query("percentile_hot_cells", "W01", sql(_BYZONE.replace("PARTITION BY zone", "PARTITION BY id").replace("AND zone IS NOT NULL ", "")))
-def percentile_hot_cells(i: Inputs) -> DataFrame:
-    got = climatology.percentile_of_series(i.series(), "value", "date", ["id"], _PERIOD, hot_rows=200)
-    return got.select("id", "date", "percentile")
-
-
 @query("thin_zones", "W02 A20", sql(
     f"SELECT zone, count(value) AS n_ref FROM series WHERE zone IS NOT NULL AND {_REF} GROUP BY zone HAVING count(value) < 1000"))
 def thin_zones(i: Inputs) -> DataFrame:
@@ -197,14 +191,6 @@ def nearest_station(i: Inputs) -> DataFrame:
     return zonal.nearest(pts, i.stations(), CELL).select(*CELL, "station", "d2")
 
 
-@query("nearest_station_binned", "J09", sql(
-    f"""SELECT r AS "row", c AS "col", arg_min(id, struct_pack(a := d2, b := id)) AS station, {rd('min(d2)')} AS d2 FROM (
-        SELECT r, c, id, ((c + 0.5) * 25 - x) * ((c + 0.5) * 25 - x) + ((w - r - 0.5) * 25 - y) * ((w - r - 0.5) * 25 - y) AS d2 FROM cells CROSS JOIN stations) GROUP BY r, c"""))
-def nearest_station_binned(i: Inputs) -> DataFrame:
-    pts = i.cells().select(*CELL, i.grid.x().alias("x"), i.grid.y().alias("y"))
-    return zonal.nearest(pts, i.stations(), CELL, cell=4 * i.grid.res, few=0).select(*CELL, "station", "d2")
-
-
 def _zones(i: Inputs) -> DataFrame:
     """Four elevation bands crossed with the nearest station's territory."""
     pts = i.cells().select(*CELL, "elev", i.grid.x().alias("x"), i.grid.y().alias("y"))

@@ -1,11 +1,10 @@
-"""Session helpers: test session, checkpoint folder, checked broadcast."""
+"""Session helpers: test session, shared folder, cut lineage."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -48,11 +47,6 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
-    """Hint a broadcast only after counting; larger tables keep the planner's shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

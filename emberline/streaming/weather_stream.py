@@ -32,64 +32,45 @@ def daily_stream(hourly: DataFrame, hour: int = 12, late: str = "2 hours") -> Da
 
 CODE_SCHEMA = ("id long, date date, ffmc double, dmc double, dc double, isi double, bui double, fwi double, dsr double, "
                "status string")
-STATE_SCHEMA = "ids array<bigint>, ffmc array<double>, dmc array<double>, dc array<double>, last array<bigint>"
+STATE_SCHEMA = "ffmc double, dmc double, dc double, last long"
 _CODES = ["ffmc", "dmc", "dc", "isi", "bui", "fwi", "dsr"]
+_INPUTS = ["temp", "rh", "ws", "prec", "lat"]
 
 
-def codes_stream(daily: DataFrame, init: dict[str, float] | None = None, lat_adjust: bool = True, buckets: int = 64) -> DataFrame:
-    """Running codes per station with state kept by Spark.
+def codes_stream(daily: DataFrame, init: dict[str, float] | None = None, lat_adjust: bool = True) -> DataFrame:
+    """Running codes per station with state kept by Spark: three codes and the last day for each.
 
-    A day at or before the last one seen is rejected, a skipped day is flagged as a
-    gap, and a day with unknown input leaves the codes as they were.  Columns needed:
-    ``id, date, lat, temp, rh, ws, prec``.
-
-    Stations are hashed into state buckets, so that one step advances every station
-    of a bucket at once; ``buckets`` should grow with the number of stations.
+    A day at or before the last one seen is rejected, a skipped day is flagged as a gap, and a day with unknown input
+    leaves the codes as they were.  Columns needed: ``id, date, lat, temp, rh, ws, prec``.
     """
     start = {**FWI_START, **(init or {})}
-    first = [start["ffmc"], start["dmc"], start["dc"]]
+    first = (start["ffmc"], start["dmc"], start["dc"], -1)
 
     def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            ids, *codes, last = (list(v) for v in state.get)
-        else:
-            ids, codes, last = [], [[], [], []], []
+        *codes, seen = state.get if state.exists else first
+        # the days of one station in one batch of the stream
         rows = pd.concat(list(batches), ignore_index=True)
-        rows["day"] = pd.to_datetime(rows["date"]).map(pd.Timestamp.toordinal)
-        rows = rows.sort_values(["id", "day"], ignore_index=True)
-        uniq = rows["id"].unique()
-        fresh = np.setdiff1d(uniq, np.array(ids, dtype="int64"))
-        index = pd.Index(np.r_[np.array(ids, dtype="int64"), fresh])
-        held = np.vstack([np.array(codes, dtype="float64").T.reshape(-1, 3), np.tile(first, (len(fresh), 1))])
-        seen = np.r_[np.array(last, dtype="int64"), np.full(len(fresh), -1)]
-        slot = index.get_indexer(rows["id"])
-        # a repeated day, or one not after the last seen, is rejected before any step
-        day = rows["day"].to_numpy()
-        again = np.r_[False, (slot[1:] == slot[:-1]) & (day[1:] == day[:-1])] | (day <= seen[slot])
-        good = np.flatnonzero(~again)
-        out = np.full((len(rows), 7), np.nan)
-        status = np.where(again, "rejected", "ok").astype(object)
-        step = pd.Series(slot[good]).groupby(slot[good]).cumcount().to_numpy()
-        month = pd.to_datetime(rows["date"]).dt.month.to_numpy()
-        cols = {c: rows[c].to_numpy(dtype="float64", na_value=np.nan) for c in ("temp", "rh", "ws", "prec", "lat")}
-        for at in pd.Series(good).groupby(step):
-            r = at[1].to_numpy()
-            s = slot[r]
+        when = pd.to_datetime(rows["date"])
+        day, month = when.map(pd.Timestamp.toordinal).to_numpy(), when.dt.month.to_numpy()
+        given = rows[_INPUTS].to_numpy(dtype="float64", na_value=np.nan)
+        out, status = np.full((len(rows), len(_CODES)), np.nan), np.full(len(rows), "ok", dtype=object)
+        for r in np.argsort(day, kind="stable"):
+            if day[r] <= seen:
+                status[r] = "rejected"
+                continue
             with np.errstate(invalid="ignore"):
-                got = np.stack(eq.day(held[s, 0], held[s, 1], held[s, 2], cols["temp"][r], cols["rh"][r], cols["ws"][r],
-                                      cols["prec"][r], month[r], cols["lat"][r], lat_adjust))
-            ok = np.isfinite(got).all(axis=0)
-            status[r[(seen[s] >= 0) & (day[r] > seen[s] + 1)]] = "gap"
-            status[r[~ok]] = "unknown"
-            held[s[ok]] = got[:3, ok].T
-            out[r[ok]] = got[:, ok].T
-            seen[s] = day[r]
-        state.update((index.tolist(), *[held[:, j].tolist() for j in range(3)], seen.tolist()))
+                got = np.stack(eq.day(*(np.array([c]) for c in codes), *(given[r:r + 1, k] for k in range(4)), month[r:r + 1], given[r:r + 1, 4], lat_adjust))[:, 0]
+            if not np.isfinite(got).all():
+                status[r] = "unknown"
+            else:
+                status[r] = "gap" if 0 <= seen < day[r] - 1 else "ok"
+                codes, out[r] = got[:3].tolist(), got
+            seen = int(day[r])
+        state.update((*codes, seen))
         result = pd.DataFrame({"id": rows["id"], "date": rows["date"]})
         for j, c in enumerate(_CODES):
             result[c] = out[:, j]
         result["status"] = status
         yield result
 
-    keyed = daily.withColumn("bucket", F.pmod(F.hash("id"), F.lit(buckets)))
-    return keyed.groupBy("bucket").applyInPandasWithState(advance, CODE_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+    return daily.groupBy("id").applyInPandasWithState(advance, CODE_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
