@@ -205,10 +205,12 @@ def metrics_cleaned(i: Inputs) -> DataFrame:
 @query("window_fire_check", "J11", sql(
     """SELECT name, count(*) AS n_fires, max(fire_year) AS last_fire, bool_or(fire_year > flight - 18) AS burnt_after_flight FROM (
        SELECT name, xmin, xmax, ymin, ymax, CAST(substr(timestamp, 1, 4) AS INTEGER) AS flight FROM tile_index) t JOIN fires f
-       ON c0 * 25 < xmax AND (c0 + side) * 25 > xmin AND (w - r0 - side) * 25 < ymax AND (w - r0) * 25 > ymin GROUP BY name"""))
+       ON greatest(xmin - (c0 + 6) * 25, (c0 + 6) * 25 - xmax, 0) + greatest(ymin - (w - r0 - 6) * 25, (w - r0 - 6) * 25 - ymax, 0) < side * 25 / 2.0 + 5 GROUP BY name"""))
 def window_fire_check(i: Inputs) -> DataFrame:
     windows = i.tile_index().withColumn("flight_year", F.substring("timestamp", 1, 4).cast("int") - 18)
-    return lidar.fire_check(windows, i.fires(), width=200.0)
+    burns = i.diamonds().withColumns({
+        "xmin": F.col("x") - F.col("h"), "xmax": F.col("x") + F.col("h"), "ymin": F.col("y") - F.col("h"), "ymax": F.col("y") + F.col("h")})
+    return lidar.fire_check(windows, burns, width=200.0)
 
 
 @query("batch_plan", "J12", sql(

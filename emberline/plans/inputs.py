@@ -68,7 +68,7 @@ class Inputs:
 
     def diamonds(self) -> DataFrame:
         """One diamond per supplier with a land-cover code; overlaps occur."""
-        f = self.fires().select("fire_id", ((F.col("c0") + 6) * RES).alias("x"), ((self.side - F.col("r0") - 6) * RES).alias("y"),
+        f = self.fires().select("fire_id", "fire_year", ((F.col("c0") + 6) * RES).alias("x"), ((self.side - F.col("r0") - 6) * RES).alias("y"),
                                 (F.col("side") * RES / 2 + 5).alias("h"), (100 + F.col("fire_id") % 7).cast("string").alias("code_18"))
         pts = [(F.lit(0), F.col("h")), (F.col("h"), F.lit(0)), (F.lit(0), -F.col("h")), (-F.col("h"), F.lit(0))]
         ring = F.array(F.array(*[F.struct((F.col("x") + a).cast("double").alias("x"), (F.col("y") + b).cast("double").alias("y")) for a, b in pts]))

@@ -92,21 +92,58 @@ def _bins(width: float, x0: str, y0: str, x1: str, y1: str):
     return span(x0, x1), span(y0, y1)
 
 
+def outline_meets_box(rings: Column, box: tuple[str, str, str, str]) -> Column:
+    """Whether a polygon shares area with a box: an edge runs through it, or it lies inside the outline.
+
+    A shared border alone is no meeting.
+    """
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+
+    def edges(ring: Column) -> Column:
+        return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)),
+                          lambda p, q: F.struct(p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
+
+    def span(p: Column, q: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        """Share of the edge, from 0 to 1, between two sides of the box; an edge along them is all in or all out."""
+        d = q - p
+        level, inside = d == 0, (p > lo) & (p < hi)
+        return (F.when(level, F.when(inside, 0.0).otherwise(2.0)).otherwise(F.least((lo - p) / d, (hi - p) / d)),
+                F.when(level, F.when(inside, 1.0).otherwise(-1.0)).otherwise(F.greatest((lo - p) / d, (hi - p) / d)))
+
+    def through(e: Column) -> Column:
+        ax, bx = span(e["px"], e["qx"], x0, x1)
+        ay, by = span(e["py"], e["qy"], y0, y1)
+        return F.greatest(F.lit(0.0), ax, ay) < F.least(F.lit(1.0), bx, by)
+
+    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+
+    def left_of(e: Column) -> Column:
+        spans = (e["py"] > cy) != (e["qy"] > cy)
+        return spans & (cx < e["px"] + (cy - e["py"]) * (e["qx"] - e["px"]) / F.nullif(e["qy"] - e["py"], F.lit(0.0)))
+
+    everything = F.flatten(F.transform(rings, edges))
+    return F.exists(everything, through) | (F.size(F.filter(everything, left_of)) % 2 == 1)
+
+
 def fire_check(windows: DataFrame, fires: DataFrame, wid: str = "name", width: float = 1000.0) -> DataFrame:
     """Finished windows that meet a burn, and whether any burn came after the flight.
 
-    Boxes meet through shared bins, so no window is compared with every fire.
+    Boxes meet through shared bins, so no window is compared with every fire; where fires carry ``rings``, a pair
+    whose boxes meet is then tested against the outline itself.
     """
     wx, wy = _bins(width, "xmin", "ymin", "xmax", "ymax")
     w = windows.select(wid, "xmin", "ymin", "xmax", "ymax", "flight_year", wx.alias("bx")).select("*", wy.alias("by"))
+    outline = ["rings"] if "rings" in fires.columns else []
     f = fires.select(F.col("xmin").alias("fx0"), F.col("ymin").alias("fy0"), F.col("xmax").alias("fx1"), F.col("ymax").alias("fy1"),
-                     "fire_id", "fire_year")
+                     "fire_id", "fire_year", *outline)
     fx, fy = _bins(width, "fx0", "fy0", "fx1", "fy1")
     f = f.select("*", fx.alias("bx")).select("*", fy.alias("by"))
     meets = (F.col("fx0") < F.col("xmax")) & (F.col("fx1") > F.col("xmin")) & (F.col("fy0") < F.col("ymax")) & (F.col("fy1") > F.col("ymin"))
     # a pair is kept in the one bin that holds the corner of its overlap
     own = (F.col("bx") == F.floor(F.greatest("xmin", "fx0") / width)) & (F.col("by") == F.floor(F.greatest("ymin", "fy0") / width))
     pairs = w.join(f, ["bx", "by"]).filter(meets & own)
+    if outline:
+        pairs = pairs.filter(outline_meets_box(F.col("rings"), ("xmin", "ymin", "xmax", "ymax")))
     return pairs.groupBy(wid).agg(F.count("*").alias("n_fires"), F.max("fire_year").alias("last_fire"),
                                   F.max(F.coalesce(F.col("fire_year") > F.col("flight_year"), F.lit(False))).alias("burnt_after_flight"))
 

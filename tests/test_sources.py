@@ -142,6 +142,18 @@ def test_window_pairs_are_counted_once(spark):
     assert r["n_fires"] == 1 and r["burnt_after_flight"]
 
 
+def test_outlines_and_not_their_boxes_meet_windows(spark):
+    def diamond(x, y, h):
+        return [[(x, y + h), (x + h, y), (x, y - h), (x - h, y)]]
+
+    w = spark.createDataFrame([("corner", 80.0, 80.0, 120.0, 120.0, 2021), ("middle", 40.0, 40.0, 60.0, 60.0, 2021), ("edge", 60.0, 60.0, 90.0, 90.0, 2021),
+                               ("around", -500.0, -500.0, 500.0, 500.0, 2021), ("beside", 100.0, 0.0, 140.0, 100.0, 2021)],
+                              "name string, xmin double, ymin double, xmax double, ymax double, flight_year int")
+    f = spark.createDataFrame([(1, 2022, 0.0, 0.0, 100.0, 100.0, diamond(50.0, 50.0, 50.0))], "fire_id int, fire_year int, xmin double, ymin double, "
+                              "xmax double, ymax double, rings array<array<struct<x:double,y:double>>>")
+    assert {r["name"] for r in lidar.fire_check(w, f, width=50.0).collect()} == {"middle", "edge", "around"}
+
+
 def test_manifest_resumes(spark, tmp_path):
     idx = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 1.0), ("b", 1.0, 0.0, 2.0, 1.0), ("c", 9.0, 9.0, 10.0, 10.0)],
                                 "name string, xmin double, ymin double, xmax double, ymax double")
