@@ -279,7 +279,7 @@ def _compare(groups: DataFrame) -> DataFrame:
 
 
 class _List:
-    """Reads one list after another: edges (a, b) of those that may link."""
+    """Reads one list after another, each by ascending s: edges from those that may link to the least of them."""
 
     def __init__(self) -> None:
         self.edges: list[tuple[int, int]] = []
@@ -306,9 +306,13 @@ class _List:
             return
         if self.wide:
             self.edges += [(s, self.head) for s in names if s != self.head]
-        else:
-            sizes, raw = zip(*self.sets.values(), strict=True)
-            self.edges += [(names[i], names[j]) for i, j in forest(may_link(np.array(sizes), raw))]
+            return
+        sizes, raw = zip(*self.sets.values(), strict=True)
+        # Rows come by s, so the first of a tree is its least: members name that one, in other lists often the same.
+        root = list(range(len(names)))
+        for i, j in forest(may_link(np.array(sizes), raw)):
+            root[j] = root[i]
+        self.edges += [(s, names[r]) for s, r in zip(names, root, strict=True) if s != names[r]]
 
 
 def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +344,7 @@ def _candidates(facts: DataFrame) -> DataFrame:
         (F.col("low") < F.col("high")) | F.col("wide")).select("key", "s", "wide"), "join-lists")
     release(facts.sparkSession)
     drawn = facts.select("s", "n", "sketch").dropDuplicates(["s"])
-    lists = shared.join(drawn, "s").repartition("key").sortWithinPartitions("key")
+    lists = shared.join(drawn, "s").repartition("key").sortWithinPartitions("key", "s")
     far = lists.mapInArrow(_read_lists, "a long, b long")
     near = facts.select(F.col("s").alias("a"), F.explode("near").alias("b")).filter("a <> b")
     return min_label(hold(far.union(near).distinct(), "join-candidates"))
