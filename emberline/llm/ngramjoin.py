@@ -16,7 +16,6 @@ sets are compared exactly, many at a time, and each comparison again yields a sp
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -61,13 +60,18 @@ def subsets(n: int) -> int:
     return sum(math.comb(n, d) for d in range(n - least_partner(n) + 1))
 
 
-@functools.cache
+#: Results of ``parts``.
+_KNOWN_PARTS: dict[tuple[int, int], tuple[int, int]] = {}
+
+
 def parts(low: int, high: int) -> tuple[int, int]:
     """Number of parts for partners whose larger set has ``low`` to ``high`` members, and how many may differ.
 
     Spare parts make it rare that a set leaves so many empty that it must be entered under those; their number
     balances the entries they cost against the chance of that, with empty parts taken as Poisson.
     """
+    if (low, high) in _KNOWN_PARTS:
+        return _KNOWN_PARTS[low, high]
     differ = (100 - NUMERATOR) * 2 * high // (100 + NUMERATOR)
 
     def cost(spare: int) -> float:
@@ -76,7 +80,8 @@ def parts(low: int, high: int) -> tuple[int, int]:
         few = sum(math.exp(-empty + k * math.log(empty) - math.lgamma(k + 1)) for k in range(spare + 1))
         return m + CROWDED_COST * max(0.0, 1 - few)
 
-    return differ + 1 + min(range(1, 60), key=cost), differ
+    _KNOWN_PARTS[low, high] = differ + 1 + min(range(1, 60), key=cost), differ
+    return _KNOWN_PARTS[low, high]
 
 
 def boundary() -> int:

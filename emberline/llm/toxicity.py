@@ -268,11 +268,11 @@ def _evidence(seen: np.ndarray) -> np.ndarray:
 
 def _applied(rows: DataFrame, model: Model, keep: list[str], schema: str) -> DataFrame:
     """Features (without a calibration) or score and prediction beside the columns to keep."""
-    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    shipped = rows.sparkSession.sparkContext.broadcast(tuple(model))
     key = hashlib.sha256(model.chars.tobytes()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = Model(*shipped.value)
         chars = CharModel(m.chars)
         for batch in batches:
             for part in slices(batch):
@@ -302,11 +302,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     model = train(docs, labels)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(model))
     key = hashlib.sha256(model.chars.tobytes()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
+        m = Model(*shipped.value)
         chars = CharModel(m.chars)
         for batch in batches:
             for part in slices(batch):
