@@ -15,6 +15,15 @@ from emberline.sources import weather as src
 from emberline.streaming import weather_stream
 
 
+# Published day-length factors by month, January first; fixed values, stated apart from the operator's own.
+_DAY_NORTH = (6.5, 7.5, 9.0, 12.8, 13.9, 13.9, 12.4, 10.9, 9.4, 8.0, 7.0, 6.0)
+_DAY_NORTH_LOW = (7.9, 8.4, 8.9, 9.5, 9.9, 10.2, 10.1, 9.7, 9.1, 8.6, 8.1, 7.8)
+_DAY_SOUTH_LOW = (10.1, 9.6, 9.1, 8.5, 8.1, 7.8, 7.9, 8.3, 8.9, 9.4, 9.9, 10.2)
+_DAY_SOUTH = (11.5, 10.5, 9.2, 7.9, 6.8, 6.2, 6.5, 7.4, 8.7, 10.0, 11.2, 11.8)
+_DRY_NORTH = (-1.6, -1.6, -1.6, 0.9, 3.8, 5.8, 6.4, 5.0, 2.4, 0.4, -1.6, -1.6)
+_DRY_SOUTH = (6.4, 5.0, 2.4, 0.4, -1.6, -1.6, -1.6, -1.6, -1.6, 0.9, 3.8, 5.8)
+
+
 def _band(cases: list[tuple[str, tuple]], last: tuple) -> str:
     arms = " ".join(f"WHEN {c} THEN [{', '.join(map(str, v))}]" for c, v in cases)
     return f"(CASE {arms} ELSE [{', '.join(map(str, last))}] END)[mon]"
@@ -22,11 +31,8 @@ def _band(cases: list[tuple[str, tuple]], last: tuple) -> str:
 
 def _recurrence(src_cte: str, key: str, ordinal: str | None = None, mean: bool = False) -> str:
     """The moisture codes as a recursive query over ordinal days, per key or carried as means."""
-    from emberline.functions.fwi import DC_DAY, DMC_DAY
-
-    le = _band([("lat >= 30", DMC_DAY["north"]), ("lat >= 10", DMC_DAY["north_low"]), ("lat >= -10", DMC_DAY["equator"]),
-                ("lat >= -30", DMC_DAY["south_low"])], DMC_DAY["south"])
-    lf = _band([("lat > 20", DC_DAY["north"]), ("lat >= -20", DC_DAY["equator"])], DC_DAY["south"])
+    le = _band([("lat >= 30", _DAY_NORTH), ("lat >= 10", _DAY_NORTH_LOW), ("lat >= -10", (9.0,) * 12), ("lat >= -30", _DAY_SOUTH_LOW)], _DAY_SOUTH)
+    lf = _band([("lat > 20", _DRY_NORTH), ("lat >= -20", (1.4,) * 12)], _DRY_SOUTH)
     ordinal = ordinal or f"row_number() OVER (PARTITION BY {key} ORDER BY d)"
     carry, close = ("SELECT key, k, avg(f), avg(p), avg(c) FROM (", ") GROUP BY key, k") if mean else ("", "")
     return f"""
