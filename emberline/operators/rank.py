@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberline.session import shuffle_width
+from emberline.session import cut_lineage, shuffle_width
 
 
 def with_range(reduced: DataFrame, value: str, n: int, out: str = "_rg") -> DataFrame:
@@ -41,9 +41,11 @@ def cumulative(reduced: DataFrame, value: str, sums: list[str], by: list[str] |
                ranges: int | None = None) -> DataFrame:
     """Add ``{s}_before`` (total below the value) and ``{s}_total`` per group.
 
-    ``reduced`` must hold one row per group and value, no null value.
+    ``reduced`` must hold one row per group and value, no null value.  It is held once: range bounds, range totals
+    and the table itself are read from there, and what stands behind it runs a single time.
     """
     by = by or []
+    reduced = cut_lineage(reduced)
     n = ranges or shuffle_width(reduced.sparkSession)
     ranged = with_range(reduced, value, n)
     per_range = ranged.groupBy(*by, "_rg").agg(*[F.sum(s).alias(s) for s in sums])

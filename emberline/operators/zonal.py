@@ -26,7 +26,7 @@ def nearest(points: DataFrame, stations: DataFrame, key: list[str], x: str = "x"
             order: str = "ord") -> DataFrame:
     """Nearest station of each point (``station``, ``d2``) by squared planar distance; ties go to the first in ``order``.
 
-    Points and stations meet in square bins, as wide at first as stations lie apart, twice as wide in each round.  The
+    Points and stations meet in square bins, at first twice as wide as stations lie apart, then doubling in each round.  The
     points of a bin share a list: a station is on it unless another is nearer to every one of them.  A point is settled
     once it has a station nearer than a bin is wide, which no unseen station can beat; rounds are logarithmic in the
     distance.  A point with a null coordinate, or any point where there is no station, has a null station.
@@ -41,7 +41,7 @@ def nearest(points: DataFrame, stations: DataFrame, key: list[str], x: str = "x"
     if not n:
         return points.select("*", *none)
     cols, done = points.columns, points.filter(~placed).select("*", *none)
-    todo, width = points.filter(placed), max(x1 - x0, y1 - y0, 1e-6) / math.sqrt(n)
+    todo, width = points.filter(placed), 2 * max(x1 - x0, y1 - y0, 1e-6) / math.sqrt(n)
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     while True:
         todo = todo.withColumn("_bx", F.floor(px / width)).withColumn("_by", F.floor(py / width))
