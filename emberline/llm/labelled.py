@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,24 @@ def sampled_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return known.join(F.broadcast(sample), "doc_id")
 
 
+def dense_sums(counts: DataFrame, key: str, values: list[str], size: int, block: int = 4096) -> np.ndarray:
+    """Sums of some columns by an integer key below ``size``: a dense row for each column.
+
+    They reach the driver as packed blocks and not as a row for each key.
+    """
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[key].to_numpy()
+        out = np.zeros((len(values), block), dtype="<i8")
+        out[:, at % block] = pdf[values].to_numpy().T
+        return pd.DataFrame({"block": [int(at[0]) // block], "raw": [out.tobytes()]})
+
+    sums = counts.groupBy(key).agg(*[F.sum(v).alias(v) for v in values])
+    dense = np.zeros((len(values), -(-size // block) * block), dtype="int64")
+    for r in sums.groupBy(F.floor(F.col(key) / block)).applyInPandas(pack, "block long, raw binary").collect():
+        dense[:, r["block"] * block:(r["block"] + 1) * block] = np.frombuffer(r["raw"], "<i8").reshape(len(values), block)
+    return dense[:, :size]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> dict[str, np.ndarray]:
     """Logistic regression by damped Newton steps on standardised features."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9

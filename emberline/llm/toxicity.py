@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.batches import slices, split_words, worker_cache
-from emberline.llm.labelled import first_drawn, fit_logistic, fold, probability, sampled_rows, training_labels
+from emberline.llm.labelled import dense_sums, first_drawn, fit_logistic, fold, probability, sampled_rows, training_labels
 from emberline.session import hold
 
 FOLDS, HELD_OUT = 5, 0
@@ -199,10 +199,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
-    out = np.zeros(SYMBOLS ** 3, dtype="int64")
-    rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["gram"].to_numpy(dtype="int64")] = rows["n"].to_numpy(dtype="int64")
-    return out
+    return dense_sums(docs.select("text").mapInArrow(run, "gram long, n long"), "gram", ["n"], SYMBOLS ** 3)[0]
 
 
 def _memo(key: str) -> dict[str, str]:
@@ -240,21 +237,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                         seen[k, c, :BUCKETS] += np.bincount(pairs[own[pairs // BUCKETS]] % BUCKETS, minlength=BUCKETS)
                         seen[k, c, BUCKETS] += int(own.sum())
         k, at = np.nonzero(seen.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(seen[k, 0, at]), pa.array(seen[k, 1, at])], ["part", "bucket", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(k * (BUCKETS + 1) + at), pa.array(seen[k, 0, at]), pa.array(seen[k, 1, at])], ["key", "n0", "n1"])
 
-    got = sample.select("text", "y", "part").mapInArrow(count, "part long, bucket long, n0 long, n1 long").groupBy("part", "bucket").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    seen = np.zeros((PARTS, 2, BUCKETS + 1))
-    seen[got["part"], 0, got["bucket"]], seen[got["part"], 1, got["bucket"]] = got["n0"], got["n1"]
+    counted = sample.select("text", "y", "part").mapInArrow(count, "key long, n0 long, n1 long")
+    seen = dense_sums(counted, "key", ["n0", "n1"], PARTS * (BUCKETS + 1)).reshape(2, PARTS, BUCKETS + 1).swapaxes(0, 1)
     model = Model(counts, _evidence(seen.sum(axis=0)), {})
     x, y = [], []
     for k in range(PARTS):
         others = model._replace(evidence=_evidence(seen.sum(axis=0) - seen[k]))
-        for r in _applied(sample.filter(F.col("part") == k), others, ["y"], "y double, x array<double>").collect():
-            x.append(r["x"])
+        for r in _applied(sample.filter(F.col("part") == k), others, ["y"], "y double, x binary").collect():
+            x.append(np.frombuffer(r["x"]))
             y.append(r["y"])
     if not y:
-        x, y = np.zeros((1, N_FEATURES)), [0.5]
+        x, y = [np.zeros(N_FEATURES)], [0.5]
     return model._replace(calibration=fit_logistic(np.array(x), np.array(y), ridge=1.0))
 
 
@@ -279,7 +274,7 @@ def _applied(rows: DataFrame, model: Model, keep: list[str], schema: str) -> Dat
                 x = features(part.column("text"), chars, m.evidence, _memo(key))
                 cols = [part.column(c) for c in keep]
                 if not m.calibration:
-                    cols.append(pa.array(x.tolist(), pa.list_(pa.float64())))
+                    cols.append(pa.array([row.tobytes() for row in x], pa.binary()))
                 else:
                     p = probability(m.calibration, x)
                     cols += [pa.array(p), pa.array((p >= 0.5).astype("int32"))]
