@@ -35,7 +35,7 @@ from emberline.session import hold
 SAMPLE_EVERY, FREQUENT, NOTED = 64, 12, 20_000
 #: Parts over which a frequent gram is dealt out.
 PARTS = 1024
-ROW = "key long, context long, doc long, place long"
+ROW = "key long, context long, doc long, row long, place long"
 # Bits of ``place``, from the top: first byte of the run, further windows, anchor offset, side hashes, flags.
 _FIRST, _MORE, _ANCHOR, _LEFT, _RIGHT, _WIDE, _DONE = 32, 25, 18, 10, 2, 1, 0
 
@@ -87,13 +87,13 @@ def slice_runs(texts: pa.Array) -> dict[str, np.ndarray]:
     return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, "int64") for c in names}
 
 
-def _not_first(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows behind the least (doc, at) of their key; equals of the least are not behind it."""
-    order = np.lexsort((at, doc, *keys))
+def _not_first(keys: list[np.ndarray], doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows behind the least (doc, row, at) of their key; equals of the least are not behind it."""
+    order = np.lexsort((at, row, doc, *keys))
     same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys]) if len(order) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same])[:len(order)], np.arange(len(order)), 0))
     out = np.zeros(len(doc), dtype=bool)
-    out[order] = (doc[order] != doc[order[head]]) | (at[order] != at[order[head]])
+    out[order] = np.logical_or.reduce([x[order] != x[order[head]] for x in (doc, row, at)])
     return out
 
 
@@ -116,18 +116,18 @@ def _run_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 r = slice_runs(part.column("text"))
-                doc = filled_ids(part)[r["doc"]]
-                done = _not_first([r["gram"], r["context"]], doc, r["first"])
+                doc, row = (filled_ids(part, c)[r["doc"]] for c in ("doc", "row"))
+                done = _not_first([r["gram"], r["context"]], doc, row, r["first"])
                 wide = np.isin(r["gram"], frequent)
                 with np.errstate(over="ignore"):
-                    spread = np.where(done, doc * np.int64(1_000_003) + r["first"], r["gram"] + (r["context"] & np.int64(PARTS - 1)))
+                    spread = np.where(done, (doc ^ row) * np.int64(1_000_003) + r["first"], r["gram"] + (r["context"] & np.int64(PARTS - 1)))
                     key = np.where(done | wide, mix(spread.astype("uint64")).astype("int64"), r["gram"])
                 place = (r["first"] << _FIRST | (r["last"] - r["first"]) << _MORE | (r["anchor"] - r["first"]) << _ANCHOR
                          | r["left"] << _LEFT | r["right"] << _RIGHT | wide.astype("int64") << _WIDE | done.astype("int64"))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(r["context"]), pa.array(doc), pa.array(place)],
-                                                 ["key", "context", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(r["context"]), pa.array(doc), pa.array(row), pa.array(place)],
+                                                 ["key", "context", "doc", "row", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, ROW)
+    return docs.select("doc", "row", "text").mapInArrow(rows, ROW)
 
 
 def _field(shift: int, bits: int):
@@ -135,9 +135,9 @@ def _field(shift: int, bits: int):
 
 
 def _sorted_runs(rows: DataFrame) -> DataFrame:
-    """doc, at, n, known: windows ``at`` to ``at + n - 1`` are repeats (known) or have to be looked at one by one."""
+    """doc, row, at, n, known: windows ``at`` to ``at + n - 1`` are repeats (known) or have to be looked at one by one."""
     done, wide = _field(_DONE, 1) == 1, _field(_WIDE, 1) == 1
-    order = Window.partitionBy("key", "context").orderBy("doc", F.shiftright("place", _FIRST))
+    order = Window.partitionBy("key", "context").orderBy("doc", "row", F.shiftright("place", _FIRST))
     seen = rows.withColumn("rank", F.rank().over(order)).withColumn("peers", F.count("*").over(Window.partitionBy("key")))
     left = seen.filter((F.col("peers") > 1) | done | wide).withColumn("first", (F.col("rank") == 1).cast("int"))
     for side, shift in (("left", _LEFT), ("right", _RIGHT)):
@@ -149,18 +149,18 @@ def _sorted_runs(rows: DataFrame) -> DataFrame:
     low = F.when(known | F.col("left_shared"), at).otherwise(F.greatest(at, middle))
     high = F.when(known | F.col("right_shared"), at + more).otherwise(F.least(at + more, middle))
     needed = known | F.col("left_shared") | F.col("right_shared")
-    return left.filter(needed).select("doc", low.alias("at"), (high - low + 1).alias("n"), known.alias("known")).filter("n > 0")
+    return left.filter(needed).select("doc", "row", low.alias("at"), (high - low + 1).alias("n"), known.alias("known")).filter("n > 0")
 
 
 def _sorted_windows(docs: DataFrame, pending: DataFrame) -> DataFrame:
-    """doc, at, n of the repeats among single windows."""
-    wanted = pending.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    """doc, row, at, n of the repeats among single windows."""
+    wanted = pending.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 data, offsets = utf8(part.column("text"))
-                ids = filled_ids(part, "doc")
+                ids, own_rows = filled_ids(part, "doc"), filled_ids(part, "row")
                 out = []
                 spans = part.column("spans")
                 flat, ends = spans.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(spans).to_numpy(zero_copy_only=False))])
@@ -172,41 +172,49 @@ def _sorted_windows(docs: DataFrame, pending: DataFrame) -> DataFrame:
                     for some in np.split(at, np.searchsorted(at, np.arange(STRETCH, len(own), STRETCH))):
                         if len(some):
                             d1, d2 = windows(own[some[0]:some[-1] + THRESHOLD], some - some[0])
-                            out.append((d1.view("int64"), d2.view("int64"), np.full(len(some), ids[i]), some))
+                            out.append((d1.view("int64"), d2.view("int64"), np.full(len(some), ids[i]), np.full(len(some), own_rows[i]), some))
                 if not out:
                     continue
-                d1, d2, doc, at = (np.concatenate(x) for x in zip(*out, strict=True))
-                done = _not_first([d1, d2], doc, at)
+                d1, d2, doc, row, at = (np.concatenate(x) for x in zip(*out, strict=True))
+                done = _not_first([d1, d2], doc, row, at)
                 with np.errstate(over="ignore"):
-                    d1 = np.where(done, mix((doc * np.int64(1_000_003) + at).astype("uint64")).astype("int64"), d1)
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(doc), pa.array(at << 1 | done)],
-                                                 ["key", "context", "doc", "place"])
+                    d1 = np.where(done, mix(((doc ^ row) * np.int64(1_000_003) + at).astype("uint64")).astype("int64"), d1)
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(doc), pa.array(row), pa.array(at << 1 | done)],
+                                                 ["key", "context", "doc", "row", "place"])
 
-    found = keyed(docs).join(wanted, "doc").select("doc", "text", "spans").mapInArrow(rows, ROW)
-    rank = F.rank().over(Window.partitionBy("key", "context").orderBy("doc", "place"))
+    found = docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "spans").mapInArrow(rows, ROW)
+    rank = F.rank().over(Window.partitionBy("key", "context").orderBy("doc", "row", "place"))
     return found.withColumn("rank", rank).filter((F.col("rank") > 1) | (F.col("place") % 2 == 1)).select(
-        "doc", F.shiftright("place", 1).alias("at"), F.lit(1).cast("long").alias("n"))
+        "doc", "row", F.shiftright("place", 1).alias("at"), F.lit(1).cast("long").alias("n"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc``: doc_id, with the smallest long for a null one."""
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    """``doc``, ``row``: what tells documents apart and orders them.
+
+    ``doc`` is doc_id, with the smallest long for a null one.  ``row`` tells the texts of an id apart by their hash; rows
+    without an id are written once with a number each, as read, so that copies among them differ, too.
+    """
+    least, doc = F.lit(-(1 << 63)), F.col("doc_id").cast("long")
+    named = docs.filter(doc.isNotNull()).withColumns({"doc": doc, "row": F.xxhash64("text")})
+    free = docs.filter(doc.isNull()).withColumns({"doc": least, "row": least + F.monotonically_increasing_id()})
+    return named.union(hold(free, "repeats-unnamed"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc, spans: places (at, n) of all windows that start earlier too, by smaller doc_id or earlier start.
+    """doc, row, spans: places (at, n) of all windows of ``keyed`` documents that start earlier too.
 
-    A null doc_id comes first; rows that share a doc_id are repeats of one document, none of them earlier.  Windows
-    are of UTF-8 bytes and never cross documents.
+    Earlier is in a smaller doc_id, another row of it by order of their keys, or before in the same text.  A null doc_id
+    comes first, each such row a document of its own.  Rows that share doc_id and text are repeats of one document, none
+    of them earlier.  Windows are of UTF-8 bytes and never cross documents.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "doc", "row", "text")
     first = hold(_sorted_runs(_run_rows(docs, _frequent(docs))), "repeats-runs")
     release(spark)
     second = hold(_sorted_windows(docs, first.filter(~F.col("known"))), "repeats-windows")
     release(spark)
-    both = first.filter("known").select("doc", "at", "n").union(second)
-    return both.groupBy("doc").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    both = first.filter("known").select("doc", "row", "at", "n").union(second)
+    return both.groupBy("doc", "row").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
 def cover(n_bytes: int, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +228,8 @@ def cover(n_bytes: int, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.n
 def without_repeats(docs: DataFrame, digest, schema: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of every document and what ``digest(data, starts, stops)`` makes of its bytes and removed runs."""
     names = [c.split()[0] for c in schema.split(", ")]
-    spans = repeated_windows(docs)
-    joined = keyed(docs).join(spans, "doc", "left").select(*keep, F.col("text").alias("_text"), F.col("spans").alias("_spans"))
+    docs = keyed(docs)
+    joined = docs.join(repeated_windows(docs), ["doc", "row"], "left").select(*keep, F.col("text").alias("_text"), F.col("spans").alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, "int64")

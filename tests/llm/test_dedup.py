@@ -88,6 +88,23 @@ def test_repeated_bytes_against_brute_force(documents, corpus, monkeypatch):
     assert repeats.repeat_digests(documents([])).collect() == []
 
 
+def test_texts_of_one_id_or_of_none_are_documents_of_their_own(documents):
+    rng = np.random.default_rng(9)
+    fresh = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    shared, twin = fresh(130), fresh(240)
+    rows = [(None, fresh(500) + shared + fresh(70)), (None, fresh(900)), (None, fresh(120)), (None, shared + fresh(20)), (None, twin), (None, twin),
+            (None, None), (None, "brief"), (4, fresh(150)), (7, fresh(300) + shared), (7, fresh(900)), (7, fresh(40) + twin[:150]), (9, shared)]
+    df = documents(rows)
+    rank = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    # Rows without an id come first, as read; those of one id by the hash of their texts.
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i if rows[i][0] is None else rank[rows[i][1]]))
+    want = brute_repeats([(n, rows[i][1]) for n, i in enumerate(order)])
+    got = repeats.repeat_digests(df).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str((rows[i][0], *want[n])) for n, i in enumerate(order))
+    kept = [(r["doc_id"], r["text"]) for r in repeats.deduplicated(df).collect()]
+    assert len(kept) == len(rows) and kept.count((None, twin)) == 1 and kept.count((None, rows[1][1])) == 1
+
+
 def test_frequent_grams_dealt_out_give_the_same(documents, monkeypatch):
     rng = np.random.default_rng(6)
     fresh = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
