@@ -93,16 +93,19 @@ def mixed(
     weigh: Callable[[list[str | None]], np.ndarray] = rank_weights,
     share: float = 1.0,
     seed: int = SEED,
+    key: str | None = None,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (in words), and the runs of words taken.
 
     ``runs`` lists (first word, words, times).  No document gives more than three times its words.  A null source is
     a source of its own; null and empty texts have size 0 and give nothing; repeated rows count each.  Runs again
-    alike: order and choice depend on the seed and doc_id alone.  The table of sources, a row for each, is planned on
-    the driver; sizes stay on the executors.
+    alike: order and choice depend on the seed and doc_id alone.  A long column ``key`` that tells rows apart is carried
+    along, and orders those that are alike.  The table of sources, a row for each, is planned on the driver; sizes stay
+    on the executors.
     """
+    own = [key] if key else []
     spark = docs.sparkSession
-    sized = hold(docs.select(F.col("doc_id").cast("long"), "source", words(F.col("text")).alias("size")), "mix-sizes")
+    sized = hold(docs.select(F.col("doc_id").cast("long"), "source", words(F.col("text")).alias("size"), *own), "mix-sizes")
     table = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     names = [r["source"] for r in table]
     sizes = np.array([r["source_size"] for r in table], dtype="float64")
@@ -120,7 +123,7 @@ def mixed(
     draw = F.xxhash64("doc_id", F.lit(seed))
     placed = hold(sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select(
         "doc_id", sized["source"].alias("source"), "size", "source_size", "target", "seats",
-        F.pmod(draw, "n_shards").alias("shard"), F.shiftrightunsigned(draw, 8).alias("draw")), "mix-placed")
+        F.pmod(draw, "n_shards").alias("shard"), F.shiftrightunsigned(draw, 8).alias("draw"), *own), "mix-placed")
 
     def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", ignore_index=True)
@@ -134,7 +137,7 @@ def mixed(
     ready = placed.join(quotas, placed["source"].eqNullSafe(quotas["s"]) & (placed["shard"] == quotas["k"])).drop("s", "k")
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "doc_id", "size"], ignore_index=True)
+        pdf = pdf.sort_values(["draw", "doc_id", "size", *own], ignore_index=True)
         size = pdf["size"].to_numpy()
         n, quota, shard = int(pdf["n_blocks"].iloc[0]), int(pdf["quota"].iloc[0]), int(pdf["shard"].iloc[0])
         ends = np.cumsum(size)
@@ -155,11 +158,11 @@ def mixed(
                 if t:
                     runs[d].append((f, w, t))
         pdf["taken"], pdf["runs"] = taken, runs
-        return pdf[["doc_id", "source", "size", "source_size", "target", "taken", "runs"]]
+        return pdf[["doc_id", "source", "size", "source_size", "target", "taken", "runs", *own]]
 
     return ready.groupBy("source", "shard").applyInPandas(
         select, "doc_id long, source string, size long, source_size long, target double, taken long, "
-                "runs array<struct<first:long, n:long, times:long>>")
+                "runs array<struct<first:long, n:long, times:long>>" + "".join(f", {c} long" for c in own))
 
 
 _WORD = re.compile(WORD)
@@ -187,11 +190,13 @@ def layers(text: str, runs: list[tuple[int, int, int]]) -> list[str]:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents (doc_id, text, lang, source, n_chars): a row for each whole or partial copy taken.
 
-    Partial copies keep the words and the white space of their runs.  Rows that share a doc_id are mixed alike.
+    Partial copies keep the words and the white space of their runs.  Rows are written with a number each, by which
+    every row gets its own runs, whatever ids it shares or lacks.
     """
-    runs = mixed(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.max_by("runs", "taken").alias("_runs"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"))
-    ready = rows.join(runs, rows["doc_id"].eqNullSafe(runs["_doc"])).drop("_doc")
+    rows = hold(docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"),
+                            F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    runs = mixed(rows, key="_row").filter("taken > 0").select("_row", F.col("runs").alias("_runs"))
+    ready = rows.join(runs, "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

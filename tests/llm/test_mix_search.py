@@ -53,6 +53,20 @@ def test_mix_follows_the_contract(documents):
     assert mixing.mixed(documents([])).collect() == []
 
 
+def test_rows_of_one_id_or_of_none_get_their_own_runs(documents):
+    rows = [(None if i % 3 else i // 30, " ".join(f"r{i}w{k}" for k in range(5 + 7 * i)), f"s{i % 4}") for i in range(90)]
+    df = documents(rows)
+    want = {(r["source"], r["size"]): r["taken"] for r in mixing.mixed(df).collect()}
+    found, by = defaultdict(int), defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        words = r["text"].split()
+        (i,) = {int(w[1:w.index("w")]) for w in words}
+        found[r["source"], 5 + 7 * i] += len(words)
+        by[r["source"]] += len(words)
+    assert len(want) == len(rows) and dict(found) == {k: v for k, v in want.items() if v}
+    assert all(by[r["source"]] == pytest.approx(r["target"], rel=0.02) for r in mixing.mixed(df).collect())
+
+
 def test_layers_are_copies_and_parts():
     text = " one  two three\nfour "
     assert mixing.layers(text, [(0, 4, 1)]) == [text]
