@@ -1,10 +1,10 @@
 """Toxicity of texts behind disguises: noisy-channel restoration, then word evidence.
 
-Words that look disguised (signs or digits between letters, drawn-out letters, letters spaced apart) are read as a
-lattice: each written character may stand for itself, for a letter it resembles, for a repeat or for a mere
-separator.  Viterbi decoding under a character trigram model of the whole corpus picks the likeliest word.  Written
-and restored words then give evidence, learned from labelled rows, and the strongest evidence of a document becomes a
-calibrated probability.
+Words that may be disguised (signs or digits beside letters or each other, drawn-out letters, letters and signs spaced
+apart) are read as a lattice: each written character may stand for itself, for a letter it resembles, for a repeat or
+for a mere separator.  Viterbi decoding under a character trigram model of the whole corpus picks the likeliest word.
+Written and restored words then give evidence, learned from labelled rows, and the strongest evidence of a document
+becomes a calibrated probability.
 """
 
 from __future__ import annotations
@@ -50,7 +50,11 @@ SEPARATORS = ".-_*~'`^,:;/\\#%&=?"
 REPEAT_COST, DOUBLE_COST, SEPARATE_COST, DROP_COST, CONFUSE_COST, SPLIT_COST, STRANGE_COST = 1.0, 6.0, 1.5, 10.0, 1.0, 6.0, 14.0
 N_FEATURES = 20
 MARKS = ".,;:!?\"'()[]{}<>#*%$&|~`^_-=+/\\@"
-DISGUISED = (r"\pL[^\pL\s]+\pL|^[0-9@$!|+]+\pL{2}|\pL{2}[0-9@$|+]+$|" + "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz"))
+_LOOKS, _MARKED = (f"[{inner}{re.escape(''.join(LOOKS_LIKE))}]" for inner in ("", r"\pL" + re.escape(SEPARATORS)))
+#: A sign that may be a letter beside a letter or another sign, anything between letters, or drawn-out letters.
+DISGUISED = "|".join([r"\pL[^\pL\s]+\pL", _LOOKS + _MARKED, _MARKED + _LOOKS, *(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")])
+#: Marks around a single letter or sign that cannot be letters themselves.
+AROUND = "".join(c for c in MARKS if c not in LOOKS_LIKE)
 
 
 class CharModel:
@@ -67,14 +71,15 @@ class CharModel:
     def restore(self, written: str, spaced: bool = False) -> str:
         """The likeliest reading of a written word; blanks in it where ``spaced`` letters hold several words."""
         # State: the last two symbols read, so that each is reached by its cheapest path only.
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # Readings are linked letters, so that a long word costs no more per letter than a short one.
+        paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         drawn = {k for m in re.finditer(r"(.)\1\1+", written) for k in range(*m.span())}
         for at, ch in enumerate(written):
             repeat = REPEAT_COST if at in drawn else DOUBLE_COST
             options = [(ch, 0.0)] if ch in INDEX else [(c, CONFUSE_COST) for c in LOOKS_LIKE.get(ch, "")]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
 
-            def offer(state: tuple[int, int], cost: float, text: str, new=new) -> None:
+            def offer(state: tuple[int, int], cost: float, text: tuple, new=new) -> None:
                 if state not in new or cost < new[state][0]:
                     new[state] = (cost, text)
 
@@ -83,16 +88,26 @@ class CharModel:
                     i = INDEX[c]
                     if i == b:
                         offer((a, b), cost + repeat + extra, text)
-                    offer((b, i), cost + extra + self.cost[a][b][i], text + c)
+                    offer((b, i), cost + extra + self.cost[a][b][i], (text, c))
                     if spaced and b:
                         end = cost + self.cost[a][b][0] + SPLIT_COST
-                        offer((0, i), end + extra + self.cost[0][0][i], text + " " + c)
+                        offer((0, i), end + extra + self.cost[0][0][i], (text, " " + c))
                 if ch in SEPARATORS or ch in LOOKS_LIKE:
                     offer((a, b), cost + (DROP_COST if ch in LOOKS_LIKE else SEPARATE_COST), text)
                 elif not options:
                     offer((a, b), cost + STRANGE_COST, text)
             paths = new
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
+        ends = [(cost + self.cost[a][b][0], text) for (a, b), (cost, text) in paths.items()]
+        least = min(cost for cost, _ in ends)
+        return min(_spelled(text) for cost, text in ends if cost == least)
+
+
+def _spelled(text: tuple) -> str:
+    out = []
+    while text:
+        text, c = text
+        out.append(c)
+    return "".join(reversed(out))
 
 
 class Model(NamedTuple):
@@ -123,32 +138,35 @@ def readings(texts: pa.Array, chars: CharModel, memo: dict[str, str]) -> tuple[n
     docs, found = [doc], [codes]
 
     def read(written: str, spaced: bool) -> str:
-        if written not in memo:
+        key = f" {written}" if spaced else written
+        if key not in memo:
             if len(memo) > REMEMBERED:
                 memo.clear()
-            memo[written] = chars.restore(written, spaced)
-        return memo[written]
+            memo[key] = chars.restore(written, spaced)
+        return memo[key]
 
     odd = np.flatnonzero(pc.match_substring_regex(pc.utf8_lower(raw), DISGUISED).to_numpy(zero_copy_only=False))
     if len(odd):
         replaced = np.full(len(words), -1, dtype="int64")
         for i in odd.tolist():
-            w = raw[i].as_py().lower()
-            if sum(c in INDEX for c in w) * 2 >= len(w):
-                r = read(w, False)
-                if r and r != words[i].as_py():
-                    replaced[i] = extra.setdefault(r, len(extra))
+            r = read(raw[i].as_py().lower(), False)
+            if r and r != words[i].as_py():
+                replaced[i] = extra.setdefault(r, len(extra))
         at = np.flatnonzero(replaced[codes] >= 0)
         docs.append(doc[at])
         found.append(len(words) + replaced[codes[at]])
-    one = (pc.utf8_length(words).to_numpy(zero_copy_only=False) == 1)[codes]
+    # Spaced-out letters and signs: single as written, within marks that are no letters, or within any marks.
+    single = pc.utf8_lower(raw)
+    for narrower in (pc.utf8_trim(single, characters=AROUND), words):
+        single = pc.if_else(pc.equal(pc.utf8_length(single), 1), single, narrower)
+    one = (pc.utf8_length(single).to_numpy(zero_copy_only=False) == 1)[codes]
     if one.any():
         edge = np.diff(np.concatenate([[0], one.view("int8"), [0]]))
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
             for d in range(doc[a], doc[b - 1] + 1):
                 lo, hi = max(a, int(offsets[d])), min(b, int(offsets[d + 1]))
-                if hi - lo >= 4 and len(set(codes[lo:hi].tolist())) > 2:
-                    for r in read("".join(words[int(c)].as_py() for c in codes[lo:hi]), True).split():
+                if hi - lo >= 3:
+                    for r in read("".join(single[int(c)].as_py() for c in codes[lo:hi]), True).split():
                         docs.append(np.array([d]))
                         found.append(np.array([len(words) + extra.setdefault(r, len(extra))]))
     return np.concatenate(docs), np.concatenate(found), pa.concat_arrays([words, pa.array(list(extra), pa.string())])

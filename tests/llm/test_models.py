@@ -93,6 +93,20 @@ def test_disguise_does_not_hide_toxic_words(spark):
     assert got[10_000_001] > 0.5 and got[10_000_002] > 0.5 and got[10_000_003] < 0.5
 
 
+def test_signs_for_letters_are_read_in_words_and_in_spaced_runs(spark, documents):
+    rng = random.Random(4)
+    calm = "of the and thing that was here with this only some other quiet morning river walks under tall trees".split()
+    rude = ["loser", "idiot", "asshole", "ass", "bastard", "scum"]
+    some = lambda: [rng.choice(calm) for _ in range(rng.randint(6, 18))]
+    taught = [(i, " ".join(some() + ([rude[i // 2 % 6]] if i % 2 else []) + some())) for i in range(1200)]
+    hidden = ["l053r", "1d10t", "4$$h0l3", "a55", "a$$", "$ c u m", "b @ s t a r d", "a s s", "a. $. s.", "! d ! 0 t"]
+    planted = [(5000 + i, " ".join([*some(), h, *some()])) for i, h in enumerate([*hidden, "here", "w@lks", "r ! v e r"])]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in taught], "doc_id long, toxic int")
+    scores = toxicity.toxicity_scores(documents(taught + planted), labels).filter("doc_id >= 5000").collect()
+    got = {r["doc_id"] - 5000: r["score"] for r in scores}
+    assert {h for i, h in enumerate(hidden) if got[i] <= 0.5} == set() and max(got[len(hidden) + k] for k in range(3)) < 0.5
+
+
 def test_logistic_fit_matches_the_gradient():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 3))
