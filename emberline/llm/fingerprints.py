@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.batches import mix, shingle_hashes, slices, split_words, word_hashes
+from emberline.llm.ngramjoin import spanning_links
 from emberline.operators.components import min_label
 from emberline.session import hold, shuffle_width
 
@@ -160,9 +161,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """doc_id, class_id: documents linked by a verified Jaccard similarity, named by their least doc_id.
 
     Documents of equal shingle sets are one class from the start, so a large group of copies is one row later on.
-    Signatures are cut in bands; those who share a band are candidates with the least member of that band only, which
-    grows with the rows and not with the square of a bucket.  Candidates are verified on their whole sets.  Documents
-    without words stay alone; a null doc_id is dropped, repeated rows of a doc_id give one row.
+    Signatures are cut in bands; those who share a band are candidates.  All are verified on their whole sets with the
+    least member of the band's bucket, which makes one component of most buckets.  The others are compared as a whole in
+    blocks, so every link within a bucket counts.  Documents without words stay alone; a null doc_id is dropped, repeated
+    rows of a doc_id give one row.
     """
     width = PERMUTATIONS // bands
 
@@ -190,8 +192,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     both = F.size(F.array_intersect("sa", "sb"))
     links = hold(pairs.join(left, "a").join(right, "b").filter(
         both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "minhash-links")
+    links = links.union(_within(buckets, sets, links, threshold))
     known = facts.select("doc_id", "set_id").distinct().join(reps, "set_id", "left")
     if links.isEmpty():
         return known.groupBy("doc_id").agg(F.min(F.coalesce("rep", "doc_id")).alias("class_id"))
     roots = min_label(links).select(F.col("node").alias("rep"), "label")
     return known.join(roots, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep", "doc_id")).alias("class_id"))
+
+
+def _within(buckets: DataFrame, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """Links of the buckets whose members the links with their least ones leave apart; equal buckets are read once."""
+    component = F.col("rep")
+    if not links.isEmpty():
+        buckets = buckets.join(min_label(links).withColumnRenamed("node", "rep"), "rep", "left")
+        component = F.coalesce("label", "rep")
+    apart = buckets.groupBy("band", "key").agg(
+        F.count("*").alias("n"), F.min(component).alias("low"), F.max(component).alias("high"),
+        F.xxhash64(F.count("*"), F.min("rep"), F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64("rep", F.lit(1)))).alias("k"),
+    ).filter("n > 2 and low < high").select("band", "key", "k")
+    chosen = buckets.join(apart, ["band", "key"]).select("k", "rep").distinct()
+    return spanning_links(hold(chosen.join(sets, "rep").select(
+        "rep", "k", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("members")), "minhash-apart"), round(100 * threshold, 9))

@@ -246,7 +246,7 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], numerator: float = NUMERATOR) -> np.ndarray:
     """Which of some sets link, by exact overlaps."""
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
@@ -269,15 +269,15 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
         present[back, column[lo:hi] - a] = 1
         total[np.ix_(own, own)] += present @ present.T
     both = np.where(np.eye(len(sets), dtype=bool), both, total)
-    return 100 * both >= NUMERATOR * (sizes[:, None] + sizes[None, :] - both)
+    return 100 * both >= numerator * (sizes[:, None] + sizes[None, :] - both)
 
 
-def _compare(groups: DataFrame) -> DataFrame:
+def _compare(groups: DataFrame, numerator: float) -> DataFrame:
     """Links (a, b) that span what links within each group of ``rep``, ``members``; ``g`` names the group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep")
         reps = pdf["rep"].to_numpy()
-        edges = forest(linked([np.asarray(m, dtype="int64") for m in pdf["members"]]))
+        edges = forest(linked([np.asarray(m, dtype="int64") for m in pdf["members"]], numerator))
         return pd.DataFrame([(reps[i], reps[j]) for i, j in edges], columns=["a", "b"], dtype="int64")
 
     return groups.groupBy("g").applyInPandas(run, "a long, b long")
@@ -375,6 +375,11 @@ def _links(docs: DataFrame, facts: DataFrame) -> DataFrame:
     sets = hold(texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("rep", "k", "text").mapInArrow(
         build, "rep long, k long, n long, members array<long>"), "join-sets")
     release(spark)
+    return spanning_links(sets)
+
+
+def spanning_links(sets: DataFrame, numerator: float = NUMERATOR) -> DataFrame:
+    """Links (a, b) that span what links within each group ``k`` of sets ``rep``, ``k``, ``n``, ``members``."""
     sizes = hold(sets.groupBy("k").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).withColumn(
         "blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_MEMBERS))), "join-groups")
     total, count = sizes.filter("blocks = 1").agg(F.sum("size"), F.sum("sets")).first()
@@ -386,11 +391,12 @@ def _links(docs: DataFrame, facts: DataFrame) -> DataFrame:
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     # Each block with itself and with the first one.
     starred = big.select("k", F.explode(F.when(F.col("block") == 0, every).otherwise(F.array("block"))).alias("block"), "rep", "members")
-    one = hold(_compare(little).union(_compare(starred.select(F.xxhash64("k", "block").alias("g"), "rep", "members"))), "join-links")
-    return one if sizes.filter("blocks > 1").isEmpty() else one.union(_rest(big, one))
+    one = hold(_compare(little, numerator).union(
+        _compare(starred.select(F.xxhash64("k", "block").alias("g"), "rep", "members"), numerator)), "join-links")
+    return one if sizes.filter("blocks > 1").isEmpty() else one.union(_rest(big, one, numerator))
 
 
-def _rest(big: DataFrame, one: DataFrame) -> DataFrame:
+def _rest(big: DataFrame, one: DataFrame, numerator: float) -> DataFrame:
     """Links of those that are not yet in the largest component of a large group, against the whole group."""
     labels = min_label(one)
     known = hold(big.join(labels, big["rep"] == labels["node"], "left").select(
@@ -405,7 +411,7 @@ def _rest(big: DataFrame, one: DataFrame) -> DataFrame:
         "k", place.alias("round"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "members")
     right = sets.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)).alias("round"), "block", "rep", "members")
     met = left.unionByName(right).select(F.xxhash64("k", "round", "block").alias("g"), "rep", "members")
-    return hold(_compare(met), "join-rest")
+    return hold(_compare(met, numerator), "join-rest")
 
 
 def linked_components(docs: DataFrame) -> DataFrame:

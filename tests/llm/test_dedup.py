@@ -55,6 +55,24 @@ def test_near_duplicates_by_bands(documents):
     assert fingerprints.near_duplicates(documents([])).collect() == []
 
 
+@pytest.mark.parametrize("block", [ngramjoin.BLOCK_SETS, 7])
+def test_near_duplicates_among_excerpts_against_brute_force(documents, monkeypatch, block):
+    monkeypatch.setattr(ngramjoin, "BLOCK_SETS", block)
+    rng = np.random.default_rng(21)
+    rows = []
+    for family in range(4):
+        lines = [" ".join(f"f{family}w{rng.integers(1 << 30)}" for _ in range(12)) for _ in range(40)]
+        rows += [(100 * family + i, "\n".join(lines[k] for k in np.sort(rng.permutation(40)[:28]))) for i in range(30)]
+        rows += [(100 * family + 50, "\n".join(lines)), (100 * family + 51, "\n".join(lines[:39]))]
+    sets = {}
+    for i, text in rows:
+        words = text.split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(len(words) - 4)}
+    want = {i: min(j for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
+    assert [want[100 * f + 51] for f in range(4)] == [50, 150, 250, 350]
+    assert {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(documents(rows)).collect()} == want
+
+
 def brute_repeats(rows):
     seen, out = {}, {}
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
