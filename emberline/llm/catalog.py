@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import extraction, fingerprints, frames, mixing, ngramjoin, packing, quality, repeats, topk, toxicity
+from emberline.llm import divergence, extraction, fingerprints, frames, mixing, ngramjoin, packing, periodic, quality, repeats, topk, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_main_text, op3_token_files, op4_repeated_bytes, op5_toxicity, op6_mix_sources, op7_pack_sequences, op8_jaccard_join, op9_top_vectors, op10_quality)}
-LLM_SQL: dict[str, str] = {"op9_top_vectors": topk.TOP_K_SQL}
+    f.__name__: f for f in (
+        op1_minhash, op2_main_text, op3_token_files, op4_repeated_bytes, op5_toxicity, op6_mix_sources, op7_pack_sequences, op8_jaccard_join,
+        op9_top_vectors, op10_quality, op11_near_vectors, op12_source_divergence, op13_periodic_runs)}
+LLM_SQL: dict[str, str] = {
+    "op9_top_vectors": topk.TOP_K_SQL, "op11_near_vectors": vectors.NEAR_SQL, "op12_source_divergence": divergence.DIVERGENCE_SQL}

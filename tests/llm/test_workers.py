@@ -17,4 +17,4 @@ for name, query in LLM_QUERIES.items():
     print("ROWS", name, query(spark, "/root/testdata/sf0.001").count())
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
-    assert done.stdout.count("ROWS") == 10, done.stderr[-3000:]
+    assert done.stdout.count("ROWS") == 13, done.stderr[-3000:]
