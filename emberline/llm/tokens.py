@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,24 @@ from emberline.llm.batches import slices, split_words, worker_cache
 REMEMBERED = 300_000
 #: Small letters of ASCII and Latin-1: a word of these alone is one piece for the merges.
 PLAIN = "".join(c for c in map(chr, [*range(97, 123), *range(0xDF, 0x100)]) if c.isalpha())
-#: A letter or digit, then marks that never join it in one piece, then the word's end.
-CLOSED = r"([\pL\pN])([.,!?;:*%$#&|]+)(\s|$)"
+
+
+def steady_class(below: int = 0x600) -> str:
+    """A pattern's class of the letters and digits that stay one letter or digit when composed and made small.
+
+    Some others become a letter and a mark (U+0130, U+0958), and marks behind them would join that one.
+    """
+    def steady(c: str) -> bool:
+        small = unicodedata.normalize("NFC", c).lower()
+        return unicodedata.category(c)[0] in "LN" and len(small) == 1 and unicodedata.category(small)[0] in "LN"
+
+    codes = {k for k in range(below) if steady(chr(k))}
+    first, last = (sorted(k for k in codes if k + step not in codes) for step in (-1, 1))
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(first, last, strict=True)) + "]"
+
+
+#: Such a letter or digit, then marks that never join it in one piece, then the word's end.
+CLOSED = rf"({steady_class()})([.,!?;:*%$#&|]+)(\s|$)"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,8 +45,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, word by word.
 
-    This vocabulary drops white space, ignores case and never merges across white space, nor between a letter or
-    digit and the marks after it.  So a text's ids are the ids of its words and closing marks in a row, and each
+    This vocabulary drops white space, ignores case and never merges across white space, nor between a steady letter
+    or digit and the marks after it.  So a text's ids are the ids of its words and closing marks in a row, and each
     distinct one needs the library once.  Texts that could hold a special token's name are left as they are.
     """
 

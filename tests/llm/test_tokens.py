@@ -32,8 +32,18 @@ def test_word_by_word_ids_equal_whole_text_ids(tool):
             assert ids[offsets[i]:offsets[i + 1]].tolist() == tool.encode(t, add_special_tokens=False).ids
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from(" \n.,!'éÉ<|>ßK")), max_size=60))
+def test_every_character_before_closing_marks(tool):
+    own = shared_tokenizer(tokenizer_path())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for shape in ("ka{}.", "a{},. b", "{}!"):
+        texts = [shape.format(c) for c in every[::1 if shape == "ka{}." else 7]]
+        ids, offsets = own.texts(pa.array(texts))
+        for text, a, b, want in zip(texts, offsets[:-1], offsets[1:], tool.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids[a:b].tolist() == want.ids, text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from(" \n.,!'éÉ<|>ßKİıi\u0307\u0301\u0958ΣσДЖ%$")), max_size=60))
 def test_any_text_has_its_own_ids(text):
     tool = shared_tokenizer(tokenizer_path())
     ids, _ = tool.texts(pa.array([text]))
