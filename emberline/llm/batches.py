@@ -19,9 +19,15 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_emberline_worker_cache", types.ModuleType("cache")).__dict__
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with a dot a field of one."""
+    outer, _, field = name.partition(".")
+    return pc.struct_field(batch.column(outer), field) if field else batch.column(outer)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``limit`` bytes of text each; a longer text stands alone."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+    size = pc.fill_null(pc.binary_length(column_of(batch, column)), 0).to_numpy(zero_copy_only=False).astype("int64")
     at = 0
     while at < len(size):
         n = max(1, int(np.searchsorted(np.cumsum(size[at:]), limit, side="right")))

@@ -1,6 +1,6 @@
 """Exact Jaccard join on word n-grams: size-aware, with small sets by subsets and large sets by inverted lists.
 
-Two sets link when 100 |A n B| >= 85 |A u B|, so their sizes are close and they differ in few members.
+Two sets link when 100 |A n B| >= NUMERATOR |A u B|, so their sizes are close and they differ in few members.
 
 * A small set is entered under every subset of the sizes that a partner must share with it.
 * A large set is entered under parts: the universe is dealt into more parts than partners of its size class can differ
@@ -26,15 +26,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberline.llm.batches import filled_ids, mix, shingle_hashes, slices, split_words, word_hashes
+from emberline.llm.batches import column_of, mix, shingle_hashes, slices, split_words, word_hashes
 from emberline.llm.repeats import release
 from emberline.operators.components import min_label
 from emberline.session import hold
 
-SHINGLE_WORDS = 4
-#: Two sets link when NUMERATOR / 100 of their union is shared.
-NUMERATOR = 85
+#: Words of a shingle, and how many hundredths of their union two sets share to link, unless a call says otherwise.
+SHINGLE_WORDS, NUMERATOR = 4, 85
 #: Sets and members compared in one go.
 BLOCK_SETS, BLOCK_MEMBERS = 256, 200_000
 #: Growth of the size classes.
@@ -43,70 +43,65 @@ CLASS_RATIO = 1.3
 CROWDED_COST = 1000.0
 #: Members of a list, in a slice and in all, beyond which it is taken as belonging together.
 LONG_IN_SLICE, LONG_LIST = 64, 512
-FACTS = "doc long, n long, set_id binary, s long, sketch binary, keys array<long>, wide array<long>, near array<long>"
+FACTS = "n long, set_id binary, s long, sketch binary, keys array<long>, wide array<long>, near array<long>"
 
 
-def least_overlap(a: int, b: int) -> int:
-    """Members that sets of these sizes share at least when they link."""
-    return -(-NUMERATOR * (a + b) // (100 + NUMERATOR))
+def least_partner(n: int, numerator: int) -> int:
+    return -(-numerator * n // 100)
 
 
-def least_partner(n: int) -> int:
-    return -(-NUMERATOR * n // 100)
-
-
-def subsets(n: int) -> int:
+def subsets(n: int, numerator: int) -> int:
     """Entries of a small set: all its subsets of a size that a partner may share."""
-    return sum(math.comb(n, d) for d in range(n - least_partner(n) + 1))
+    return sum(math.comb(n, d) for d in range(n - least_partner(n, numerator) + 1))
 
 
-#: Results of ``parts``.
-_KNOWN_PARTS: dict[tuple[int, int], tuple[int, int]] = {}
+#: Results of ``parts`` and ``boundary``.
+_KNOWN_PARTS: dict[tuple[int, int, int], tuple[int, int]] = {}
+_KNOWN_BOUNDARY: dict[int, int] = {}
 
 
-def parts(low: int, high: int) -> tuple[int, int]:
+def parts(low: int, high: int, numerator: int) -> tuple[int, int]:
     """Number of parts for partners whose larger set has ``low`` to ``high`` members, and how many may differ.
 
     Spare parts make it rare that a set leaves so many empty that it must be entered under those; their number
     balances the entries they cost against the chance of that, with empty parts taken as Poisson.
     """
-    if (low, high) in _KNOWN_PARTS:
-        return _KNOWN_PARTS[low, high]
-    differ = (100 - NUMERATOR) * 2 * high // (100 + NUMERATOR)
+    if (low, high, numerator) in _KNOWN_PARTS:
+        return _KNOWN_PARTS[low, high, numerator]
+    differ = (100 - numerator) * 2 * high // (100 + numerator)
 
     def cost(spare: int) -> float:
         m = differ + 1 + spare
-        empty = m * math.exp(-least_partner(low) / m)
+        empty = m * math.exp(-least_partner(low, numerator) / m)
         few = sum(math.exp(-empty + k * math.log(empty) - math.lgamma(k + 1)) for k in range(spare + 1))
         return m + CROWDED_COST * max(0.0, 1 - few)
 
-    _KNOWN_PARTS[low, high] = differ + 1 + min(range(1, 60), key=cost), differ
-    return _KNOWN_PARTS[low, high]
+    _KNOWN_PARTS[low, high, numerator] = differ + 1 + min(range(1, 60), key=cost), differ
+    return _KNOWN_PARTS[low, high, numerator]
 
 
-def boundary() -> int:
+def boundary(numerator: int) -> int:
     """Largest size for which subsets cost no more than parts, which also have their members compared."""
-    n = 1
-    while subsets(n + 1) <= sum(parts(n + 1, math.ceil((n + 1) * CLASS_RATIO))) + n + 1:
-        n += 1
-    return n
-
-
-SMALL = boundary()
+    if numerator not in _KNOWN_BOUNDARY:
+        n = 1
+        while subsets(n + 1, numerator) <= sum(parts(n + 1, math.ceil((n + 1) * CLASS_RATIO), numerator)) + n + 1:
+            n += 1
+        _KNOWN_BOUNDARY[numerator] = n
+    return _KNOWN_BOUNDARY[numerator]
 
 
-def class_bounds(largest: int) -> list[int]:
+def class_bounds(largest: int, numerator: int) -> list[int]:
     """Lower bounds of the size classes of large sets, one beyond ``largest`` included."""
-    out = [SMALL + 1]
+    out = [boundary(numerator) + 1]
     while out[-1] <= largest:
         out.append(max(out[-1] + 1, math.ceil(out[-1] * CLASS_RATIO)))
     return out
 
 
-def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def sets_of(texts: pa.Array, words_each: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts in a row, ascending, and each text's offsets."""
     codes, offsets, words = split_words(texts, lower=True)
-    hashes, at = shingle_hashes(word_hashes(words)[codes], offsets, SHINGLE_WORDS)
+    hashes, at = shingle_hashes(word_hashes(words)[codes], offsets, words_each)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
@@ -121,27 +116,27 @@ def _members(offsets: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(offsets[own] - to[:-1], n) + np.arange(to[-1]), np.repeat(np.arange(len(own)), n)
 
 
-def entries(members: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def entries(members: np.ndarray, offsets: np.ndarray, numerator: int) -> tuple[np.ndarray, np.ndarray]:
     """Set numbers and keys of all list entries of some sets."""
     sizes = np.diff(offsets)
     who, keys = [], []
     with np.errstate(over="ignore"):
         value = mix(members + np.uint64(0x632BE59BD9B4E019))
-        for i in np.flatnonzero((sizes > 0) & (sizes <= SMALL)).tolist():
+        for i in np.flatnonzero((sizes > 0) & (sizes <= boundary(numerator))).tolist():
             own = value[offsets[i]:offsets[i + 1]]
             n, total = len(own), own.sum(dtype="uint64")
-            for d in range(n - least_partner(n) + 1):
+            for d in range(n - least_partner(n, numerator) + 1):
                 gone = np.array([sum(map(int, c)) & ((1 << 64) - 1) for c in combinations(own.tolist(), d)], "uint64")
                 keys.append(mix(total - gone + np.uint64(n - d)))
                 who.append(np.full(len(gone), i))
-        bounds = class_bounds(int(sizes.max(initial=0)) * 100 // NUMERATOR + 1)
-        largest = sizes * 100 // NUMERATOR  # size of the largest partner
+        bounds = class_bounds(int(sizes.max(initial=0)) * 100 // numerator + 1, numerator)
+        largest = sizes * 100 // numerator  # size of the largest partner
         for low, after in zip(bounds, bounds[1:]):
             # Partners are met in the class of the larger set.
             own = np.flatnonzero((sizes < after) & (largest >= low) & (sizes > 0))
             if not len(own):
                 continue
-            m, differ = parts(low, after - 1)
+            m, differ = parts(low, after - 1, numerator)
             at, owner = _members(offsets, own)
             part = owner * m + (mix(members[at] ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)).astype("int64") % m
             order = np.argsort(part, kind="stable")
@@ -177,7 +172,7 @@ def sketches(members: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [packed[a // 8:b // 8].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
 
-def may_link(sizes: np.ndarray, sketch: list[bytes]) -> np.ndarray:
+def may_link(sizes: np.ndarray, sketch: list[bytes], numerator: int) -> np.ndarray:
     """Pairs that their sketches do not tell apart; longer sketches are folded to the shortest."""
     least = min(map(len, sketch))
     rows = []
@@ -188,19 +183,19 @@ def may_link(sizes: np.ndarray, sketch: list[bytes]) -> np.ndarray:
     total = on.sum(axis=1)
     differ = total[:, None] + total[None, :] - 2 * (on @ on.T)
     both = sizes[:, None] + sizes[None, :]
-    return differ <= both - 2 * (-(-NUMERATOR * both // (100 + NUMERATOR)))
+    return differ <= both - 2 * (-(-numerator * both // (100 + numerator)))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """One row a document: its set's size, digest and sketch, and its entries.
+def described(docs: DataFrame, words_each: int, numerator: int) -> DataFrame:
+    """One row a document: a key of its own, its columns, and its set's size, digest, sketch and entries.
 
     Of equal sets a slice enters one.  Of a list that is long within the slice it enters one set in ``wide``, and the
     others name that one in ``near``: a list that very many share is then a row a slice.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                members, offsets = sets_of(part.column("text"))
+            for part in slices(batch, "doc.text"):
+                members, offsets = sets_of(column_of(part, "doc.text"), words_each)
                 n = part.num_rows
                 digest = [hashlib.blake2b(members[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 s = np.frombuffer(b"".join(digest), "<i8")[::2]
@@ -208,7 +203,7 @@ def described(docs: DataFrame) -> DataFrame:
                 lens = np.zeros(n, "int64")
                 lens[first] = np.diff(offsets)[first]
                 at, _ = _members(offsets, np.sort(first))
-                who, keys = entries(members[at], np.concatenate([[0], np.cumsum(lens)]))
+                who, keys = entries(members[at], np.concatenate([[0], np.cumsum(lens)]), numerator)
                 order = np.lexsort((s[who], keys))
                 who, keys = who[order], keys[order]
                 head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
@@ -220,12 +215,15 @@ def described(docs: DataFrame) -> DataFrame:
                 met = np.unique(np.stack([who[long & ~least], s[to[long & ~least]]]), axis=1)
                 wide = long & least
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(digest, pa.binary()), pa.array(s),
+                    part.column("doc"), pa.array(np.diff(offsets)), pa.array(digest, pa.binary()), pa.array(s),
                     pa.array(sketches(members, offsets), pa.binary()), _lists(keys[~long], who[~long], n),
                     _lists(keys[wide], who[wide], n), _lists(met[1], met[0].astype("int64"), n)],
                     ["doc", "n", "set_id", "s", "sketch", "keys", "wide", "near"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FACTS)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    schema = T.StructType([*whole.schema, *T.StructType.fromDDL(FACTS)])
+    # The keys are written with the rows, so they are read alike ever after.
+    return hold(whole.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "join-facts")
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -246,7 +244,7 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def linked(sets: list[np.ndarray], numerator: float = NUMERATOR) -> np.ndarray:
+def linked(sets: list[np.ndarray], numerator: float) -> np.ndarray:
     """Which of some sets link, by exact overlaps."""
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
@@ -286,7 +284,8 @@ def _compare(groups: DataFrame, numerator: float) -> DataFrame:
 class _List:
     """Reads one list after another, each by ascending s: edges from those that may link to the least of them."""
 
-    def __init__(self) -> None:
+    def __init__(self, numerator: int) -> None:
+        self.numerator = numerator
         self.edges: list[tuple[int, int]] = []
         self.open(None)
 
@@ -315,14 +314,14 @@ class _List:
         sizes, raw = zip(*self.sets.values(), strict=True)
         # Rows come by s, so the first of a tree is its least: members name that one, in other lists often the same.
         root = list(range(len(names)))
-        for i, j in forest(may_link(np.array(sizes), raw)):
+        for i, j in forest(may_link(np.array(sizes), raw, self.numerator)):
             root[j] = root[i]
         self.edges += [(s, names[r]) for s, r in zip(names, root, strict=True) if s != names[r]]
 
 
-def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_lists(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[pa.RecordBatch]:
     """Edges of all lists of a task, whose rows stand together."""
-    now = _List()
+    now = _List(numerator)
 
     def found() -> pa.RecordBatch:
         a, b = zip(*set(now.edges), strict=True) if now.edges else ((), ())
@@ -340,7 +339,7 @@ def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield found()
 
 
-def _candidates(facts: DataFrame) -> DataFrame:
+def _candidates(facts: DataFrame, numerator: int) -> DataFrame:
     """node, label: sets (s) that may link with another, and their connected group."""
     rows = facts.select("s", F.explode("keys").alias("key"), F.lit(False).alias("wide")).union(
         facts.select("s", F.explode("wide").alias("key"), F.lit(True).alias("wide")))
@@ -350,35 +349,33 @@ def _candidates(facts: DataFrame) -> DataFrame:
     release(facts.sparkSession)
     drawn = facts.select("s", "n", "sketch").dropDuplicates(["s"])
     lists = shared.join(drawn, "s").repartition("key").sortWithinPartitions("key", "s")
-    far = lists.mapInArrow(_read_lists, "a long, b long")
+    far = lists.mapInArrow(lambda batches: _read_lists(batches, numerator), "a long, b long")
     near = facts.select(F.col("s").alias("a"), F.explode("near").alias("b")).filter("a <> b")
     return min_label(hold(far.union(near).distinct(), "join-candidates"))
 
 
-def _links(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Links (a, b) between the least documents of different sets; they span every true component."""
-    spark = docs.sparkSession
-    groups = _candidates(facts)
-    chosen = facts.join(groups, facts["s"] == groups["node"]).groupBy("set_id", F.col("label").alias("k")).agg(
-        F.min("doc").alias("rep"), F.first("n").alias("n")).filter("rep is not null")
+def _links(facts: DataFrame, sets: DataFrame, words_each: int, numerator: int) -> DataFrame:
+    """Links (a, b) between the first rows of different sets; they span every true component."""
+    groups = _candidates(facts, numerator)
+    chosen = sets.join(groups, sets["s"] == groups["node"]).select(F.col("first.row").alias("rep"), F.col("label").alias("k"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                members, offsets = sets_of(part.column("text"))
+                members, offsets = sets_of(part.column("text"), words_each)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(filled_ids(part, "rep")), part.column("k"), pa.array(np.diff(offsets)),
+                    part.column("rep"), part.column("k"), pa.array(np.diff(offsets)),
                     pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(members.view("int64")))],
                     ["rep", "k", "n", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = hold(texts.join(chosen, texts["doc_id"] == chosen["rep"]).select("rep", "k", "text").mapInArrow(
+    texts = facts.select("row", "doc.text")
+    full = hold(texts.join(chosen, texts["row"] == chosen["rep"]).select("rep", "k", "text").mapInArrow(
         build, "rep long, k long, n long, members array<long>"), "join-sets")
-    release(spark)
-    return spanning_links(sets)
+    release(facts.sparkSession)
+    return spanning_links(full, numerator)
 
 
-def spanning_links(sets: DataFrame, numerator: float = NUMERATOR) -> DataFrame:
+def spanning_links(sets: DataFrame, numerator: float) -> DataFrame:
     """Links (a, b) that span what links within each group ``k`` of sets ``rep``, ``k``, ``n``, ``members``."""
     sizes = hold(sets.groupBy("k").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).withColumn(
         "blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_MEMBERS))), "join-groups")
@@ -414,31 +411,45 @@ def _rest(big: DataFrame, one: DataFrame, numerator: float) -> DataFrame:
     return hold(_compare(met, numerator), "join-rest")
 
 
-def linked_components(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, words_each: int, numerator: int) -> tuple[DataFrame, DataFrame]:
+    """All rows described, and of each set that is not empty its ``first`` row, its rows, and the ``root`` of its component.
+
+    A set's first row is the one of least doc_id, of least text hash among those, and last of all one without an id.
+    Every set takes part, whatever the ids of its rows; a root is a row key.
+    """
+    facts = described(docs, words_each, numerator)
+    order = F.struct(F.col("doc.doc_id").isNull().alias("nameless"), F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc.text").alias("h"), "row")
+    sets = hold(facts.filter("n > 0").groupBy("set_id", "s").agg(F.min(order).alias("first"), F.count("*").alias("rows")), "join-rows")
+    links = hold(_links(facts, sets, words_each, numerator), "join-spanning")
+    labels = min_label(links)
+    return facts, hold(sets.join(labels, sets["first.row"] == labels["node"], "left").select(
+        "set_id", "first", "rows", F.coalesce("label", "first.row").alias("root"), F.col("label").isNotNull().alias("met")), "join-roots")
+
+
+def linked_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, numerator: int = NUMERATOR) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
-    The component's name is the least doc_id reachable by links.  A document without words links with nothing.
-    Repeated rows of a doc_id each keep a row; a null doc_id takes its set's component and never names one.
+    The component's name is the least doc_id reachable by links; rows without an id link like others, but name a
+    component only where no row has one, and then it is null.  A document without words links with nothing.  Rows of
+    one doc_id each keep a row and link by their own texts.
     """
-    facts = hold(described(docs), "join-facts")
-    reps = facts.groupBy("set_id").agg(F.min("doc").alias("rep"))
-    slim = facts.select("doc", "n", "set_id").join(reps, "set_id")
-    links = _links(docs, facts)
-    if not links.isEmpty():
-        labels = min_label(links)
-        slim = slim.join(labels, slim["rep"] == labels["node"], "left")
-    else:
-        slim = slim.withColumn("label", F.lit(None).cast("long"))
-    component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("label", "rep"))
-    return slim.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each group of linked documents: the one with the least doc_id, with all its columns.
-
-    Documents without words are no group and stay; so do those without a doc_id, which nothing can name.
+    facts, sets = _sets(docs, words_each, numerator)
+    names = sets.groupBy("root").agg(F.min("first.id").alias("name"))
+    # A row alone in its set and component is its own; the others may be very many of one set, so both sides are plain
+    # tables and the join can be split.
+    shared = hold(sets.join(names, "root").filter("rows > 1 or met").select("set_id", "name", F.lit(True).alias("shared")), "join-names")
+    own = F.col("doc.doc_id").cast("long")
+    slim = facts.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), "set_id")
+    return slim.join(shared, "set_id", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("shared") & (F.col("n_shingles") > 0), F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words_each: int = SHINGLE_WORDS, numerator: int = NUMERATOR) -> DataFrame:
+    """One row of each group of linked documents, with all its columns: the one of least doc_id, then of least text hash.
+
+    A row without an id stays only where its group has none with one.  Documents without words are no group and stay.
     """
-    kept = hold(linked_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "join-kept")
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"])
-    first = F.row_number().over(Window.partitionBy("_kept").orderBy("text"))
-    return named.withColumn("_nth", first).filter("_nth = 1").select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    facts, sets = _sets(docs, words_each, numerator)
+    kept = sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    rows = facts.select("row", "doc")
+    return rows.join(kept, "row").select("doc.*").union(facts.filter("n = 0").select("doc.*"))

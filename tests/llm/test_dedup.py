@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from emberline.llm import fingerprints, ngramjoin, repeats, suffixes
 
@@ -150,14 +151,14 @@ def test_kept_text_keeps_whole_characters(documents):
     assert got[1].startswith("é") and got[2] == "b" and got[3] == ""
 
 
-def shingles(text):
+def shingles(text, n=4):
     folded = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", folded)
-    return {tuple(words[i:i + 4]) for i in range(max(len(words) - 3, 1))} if words else set()
+    return {tuple(words[i:i + n]) for i in range(max(len(words) - n + 1, 1))} if words else set()
 
 
-def brute_components(rows):
-    sets = {d: shingles(t) for d, t in rows}
+def brute_components(rows, n=4, numerator=85):
+    sets = {d: shingles(t, n) for d, t in rows}
     name = {d: d for d in sets}
 
     def find(x):
@@ -169,7 +170,7 @@ def brute_components(rows):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= numerator * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 name[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in sets}
@@ -217,6 +218,44 @@ def test_groups_beyond_a_block_give_the_same(documents, near_rows, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(own)
 
 
+def brute_rows(rows, n=4, numerator=85):
+    """As brute_components, with each row a text of its own: (doc_id, size, component_id) and the component's first row."""
+    named = brute_components(list(enumerate(t for _, t in rows)), n, numerator)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            root = named[k][1]
+            least[root] = min(doc_id, least.get(root, doc_id))
+    return [(d, named[k][0], least.get(named[k][1]) if named[k][0] else d) for k, (d, _) in enumerate(rows)], [named[k][1] for k in range(len(rows))]
+
+
+def test_rows_link_by_their_own_texts_whatever_their_ids(documents):
+    word = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    a, other = "quite another text without a word in common with those that follow it here", word(0, 60)
+    chain = [(1, word(0, 100)), (None, word(5, 105)), (2, word(10, 110))]
+    rows = [*chain, (12, a), (12, other), (13, other + " one"), (None, "none has an id of these words at all"), (None, "none has an id of these words at all"),
+            (None, ""), (14, None), (15, word(200, 230)), (None, word(200, 230)), (None, word(200, 229))]
+    want, root = brute_rows(rows)
+    assert [w[2] for w in want[:6]] == [1, 1, 1, 12, 12, 12]
+    df = documents(rows).withColumn("_kept", F.lit(1)).withColumn("row", F.lit("x")).withColumn("set_id", F.lit(2))
+    got = [tuple(r) for r in ngramjoin.linked_components(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    kept = ngramjoin.one_of_each(df)
+    assert kept.columns == df.columns
+    groups = {k: {rows[i] for i in range(len(rows)) if root[i] == k} for k in root}
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(found) == len(groups) and sorted(repr(f) for f in found if f in [(12, a), (14, None), (None, "")]) == sorted(map(repr, [(12, a), (14, None), (None, "")]))
+    for own in groups.values():
+        (stays,) = [f for f in found if f in own]
+        assert stays[0] == min((d for d, _ in own if d is not None), default=None)
+
+
+def test_other_sizes_and_shares(documents, near_rows):
+    for n, numerator in ((5, 80), (3, 60)):
+        got = ngramjoin.linked_components(documents(near_rows), n, numerator).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(near_rows, n, numerator)
+
+
 def test_null_and_repeated_ids(documents):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "alone in the world here"), (2, "A b c d e F")]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngramjoin.linked_components(documents(rows)).collect()), key=str)
@@ -226,16 +265,18 @@ def test_null_and_repeated_ids(documents):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.integers(1, 60), st.integers(0, 8), st.integers(0, 8), st.integers(0, 1 << 30))
-def test_linking_sets_share_an_entry(common, only_a, only_b, seed):
+@given(st.integers(1, 60), st.integers(0, 8), st.integers(0, 8), st.integers(0, 1 << 30), st.sampled_from([80, 85]))
+def test_linking_sets_share_an_entry(common, only_a, only_b, seed, numerator):
     rng = np.random.default_rng(seed)
     values = rng.integers(0, 1 << 62, common + only_a + only_b).astype("uint64")
     a, b = np.sort(values[:common + only_a]), np.sort(np.concatenate([values[:common], values[common + only_a:]]))
-    if 100 * common >= 85 * (common + only_a + only_b):
-        who, keys = ngramjoin.entries(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+    if 100 * common >= numerator * (common + only_a + only_b):
+        who, keys = ngramjoin.entries(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), numerator)
         assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
 
 
 def test_boundary_is_where_subsets_get_dear():
-    assert ngramjoin.subsets(ngramjoin.SMALL) < ngramjoin.subsets(ngramjoin.SMALL + 1)
+    for numerator in (80, 85):
+        small = ngramjoin.boundary(numerator)
+        assert ngramjoin.subsets(small, numerator) < ngramjoin.subsets(small + 1, numerator)
     assert suffixes.GRAM < suffixes.THRESHOLD
