@@ -1,8 +1,9 @@
 """Mix sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Blocks of equal size are the seats: sources win them by the highest quotients of their targets, then the shards of a
-source win that source's blocks by the highest quotients of their sizes.  Within a shard documents stand in seeded
-order, and a seeded choice says which blocks are taken once more.  A document takes the words of its blocks.
+Blocks of equal size are the seats: sources win them by the highest quotients of their targets.  What a source has won is
+cut into larger blocks where it is much, again of equal size, and the shards of the source win these by the highest
+quotients of their sizes.  Within a shard documents stand in seeded order, and a seeded choice says which blocks are taken
+once more.  A document takes the words of its blocks.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from emberline.session import hold
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 SEED = 20240607
-#: Largest block, and the least number of blocks a corpus is cut into.
-BLOCK_WORDS, LEAST_BLOCKS = 4096, 20_000
+#: Largest block of a source, and the blocks that a smaller source's target is cut into; sources are dealt the smallest.
+BLOCK_WORDS, TARGET_BLOCKS = 4096, 1000
 #: Documents of a source that share a shard, about.
 SHARD_DOCS = 512
 
@@ -99,45 +100,50 @@ def mixed(
 
     ``runs`` lists (first word, words, times).  No document gives more than three times its words.  A null source is
     a source of its own; null and empty texts have size 0 and give nothing; repeated rows count each.  Runs again
-    alike: order and choice depend on the seed and doc_id alone.  A long column ``key`` that tells rows apart is carried
-    along, and orders those that are alike.  The table of sources, a row for each, is planned on the driver; sizes stay
-    on the executors.
+    alike: order and choice depend on the seed, doc_id and text.  Where more than ``SHARD_DOCS`` rows agree in both, each
+    is drawn by a number, as read, so that they do not meet in one shard.  A long column ``key`` that tells rows apart is
+    carried along and serves as that number.  The table of sources, a row for each, is planned on the driver; sizes
+    stay on the executors.
     """
-    own = [key] if key else []
+    row, own = key or "_row", [key] if key else []
     spark = docs.sparkSession
-    sized = hold(docs.select(F.col("doc_id").cast("long"), "source", words(F.col("text")).alias("size"), *own), "mix-sizes")
+    number = F.col(key) if key else F.monotonically_increasing_id()
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce("text", F.lit("")), F.lit(seed))
+    sized = hold(docs.select(F.col("doc_id").cast("long"), "source", words(F.col("text")).alias("size"), draw.alias("draw"), number.alias(row)), "mix-sizes")
+    crowds = hold(sized.groupBy("draw").agg(F.count("*").alias("rows")).filter(F.col("rows") > SHARD_DOCS), "mix-crowds")
+    sized = sized.join(crowds, "draw", "left").withColumn("draw", F.when(F.col("rows").isNotNull(), F.xxhash64("draw", row)).otherwise(F.col("draw")))
     table = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     names = [r["source"] for r in table]
     sizes = np.array([r["source_size"] for r in table], dtype="float64")
     total = sizes.sum() * share
     target = targets(sizes, weigh(names), total, MAX_REPEATS * sizes) if len(table) else sizes
-    block = int(max(1, min(BLOCK_WORDS, sizes.sum() // LEAST_BLOCKS)))
-    n_blocks = np.maximum(np.round(sizes / block), sizes > 0).astype("int64")
+    block = np.clip(target // TARGET_BLOCKS, 1, BLOCK_WORDS)
+    least = block[target > 0].min(initial=BLOCK_WORDS)
     by_name = np.array([i for i, _ in sorted(enumerate(names), key=lambda x: (x[1] is None, x[1] or ""))], dtype="int64")
     seats = np.zeros(len(names), dtype="int64")
-    seats[by_name] = highest_quotients(target[by_name], round(total / block), MAX_REPEATS * n_blocks[by_name])
+    seats[by_name] = highest_quotients(target[by_name], round(total / least), np.floor(MAX_REPEATS * sizes[by_name] / least))
+    seats = np.round(seats * least / block)
     plan = spark.createDataFrame(
-        [(n, int(s), float(t), int(q), max(1, -(-r["n"] // SHARD_DOCS)))
-         for n, s, t, q, r in zip(names, sizes, target, seats, table, strict=True)],
-        "source string, source_size long, target double, seats long, n_shards long")
-    draw = F.xxhash64("doc_id", F.lit(seed))
+        [(n, int(s), float(t), int(q), float(b), max(1, -(-r["n"] // SHARD_DOCS)))
+         for n, s, t, q, b, r in zip(names, sizes, target, seats, block, table, strict=True)],
+        "source string, source_size long, target double, seats long, block double, n_shards long")
     placed = hold(sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", sized["source"].alias("source"), "size", "source_size", "target", "seats",
-        F.pmod(draw, "n_shards").alias("shard"), F.shiftrightunsigned(draw, 8).alias("draw"), *own), "mix-placed")
+        "doc_id", sized["source"].alias("source"), "size", "source_size", "target", "seats", "block",
+        F.pmod("draw", "n_shards").alias("shard"), F.shiftrightunsigned("draw", 8).alias("draw"), row), "mix-placed")
 
     def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", ignore_index=True)
-        n = np.maximum(np.round(pdf["held"].to_numpy() / block), pdf["held"].to_numpy() > 0).astype("int64")
+        n = np.maximum(np.round(pdf["held"].to_numpy() / pdf["block"].iloc[0]), pdf["held"].to_numpy() > 0).astype("int64")
         pdf["quota"] = highest_quotients(pdf["held"].to_numpy(), int(pdf["seats"].iloc[0]), MAX_REPEATS * n)
         pdf["n_blocks"] = n
         return pdf[["source", "shard", "n_blocks", "quota"]]
 
-    quotas = placed.groupBy("source", "seats", "shard").agg(F.sum("size").alias("held")).groupBy("source").applyInPandas(
+    quotas = placed.groupBy("source", "seats", "block", "shard").agg(F.sum("size").alias("held")).groupBy("source").applyInPandas(
         apportion, "source string, shard long, n_blocks long, quota long").withColumnsRenamed({"source": "s", "shard": "k"})
     ready = placed.join(quotas, placed["source"].eqNullSafe(quotas["s"]) & (placed["shard"] == quotas["k"])).drop("s", "k")
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "doc_id", "size", *own], ignore_index=True)
+        pdf = pdf.sort_values(["draw", "doc_id", "size", row], ignore_index=True)
         size = pdf["size"].to_numpy()
         n, quota, shard = int(pdf["n_blocks"].iloc[0]), int(pdf["quota"].iloc[0]), int(pdf["shard"].iloc[0])
         ends = np.cumsum(size)

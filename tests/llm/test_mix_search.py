@@ -39,8 +39,8 @@ def test_mix_follows_the_contract(documents):
     df = documents(rows)
     df = df.withColumn("source", df["source"])
     got = mixing.mixed(df).collect()
-    again = mixing.mixed(df.repartition(5)).collect()
     key = lambda r: (str(r["doc_id"]), r["size"], r["taken"])
+    again = mixing.mixed(df.repartition(5)).collect()
     assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == len(rows)
     by = defaultdict(list)
     for r in got:
@@ -67,6 +67,32 @@ def test_rows_of_one_id_or_of_none_get_their_own_runs(documents):
     assert all(by[r["source"]] == pytest.approx(r["target"], rel=0.02) for r in mixing.mixed(df).collect())
 
 
+def test_small_sources_come_near_their_targets(documents):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(rng.integers(3000, 9000))), "big") for i in range(40)]
+    rows += [(1000 + i, " ".join(["w"] * int(rng.integers(1, 40))), f"host{i % 150}") for i in range(450)]
+    got = mixing.mixed(documents(rows)).collect()
+    taken, size, target = defaultdict(int), defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        size[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(2, 0.02 * t), (s, taken[s], t)
+    assert mixing.highest_quotients(np.ones(30_000), 30_000_000, np.full(30_000, 5000)).tolist() == [1000] * 30_000
+
+
+def test_rows_without_an_id_are_dealt_over_shards(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 10)
+    seen = []
+    real = mixing.hold
+    monkeypatch.setattr(mixing, "hold", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    rows = [(None, "a b c d", "s")] * 300
+    assert len(mixing.mixed(documents(rows)).collect()) == 300
+    placed = dict(seen)["mix-placed"]
+    assert placed.groupBy("shard").count().agg({"count": "max"}).first()[0] < 40
+
+
 def test_layers_are_copies_and_parts():
     text = " one  two three\nfour "
     assert mixing.layers(text, [(0, 4, 1)]) == [text]
@@ -127,7 +153,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert texts["toxicity"] == {r["doc_id"]: full[r["doc_id"]] for r in scores if not r["predicted"]}
     from test_dedup import brute_components, brute_repeats
 
-    names = brute_components(sorted(texts["toxicity"].items()))
+    names = brute_components(sorted(texts["toxicity"].items()), *cp.NEAR)
     assert texts["near_duplicates"] == {d: t for d, t in texts["toxicity"].items() if names[d][1] == d}
     want = brute_repeats(sorted(texts["near_duplicates"].items()))
     for d, t in texts["repeats"].items():
