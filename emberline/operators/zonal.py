@@ -3,73 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from emberline.errors import AllNull, BadRange, BadWeather, EmberError, UnknownName, notice
+from emberline.errors import AllNull, BadRange, BadWeather, UnknownName, notice
 from emberline.functions.scalars import rh_at_temperature
 from emberline.grid import CELL, GridSpec
 from emberline.operators.classify import right_closed_band
 from emberline.operators.fwi import check_columns, fwi_series
+from emberline.operators.proximity import nearest
 from emberline.operators.rank import quantiles
-from emberline.session import cut_lineage
-
-AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-
-
-def nearest(points: DataFrame, stations: DataFrame, key: list[str], x: str = "x", y: str = "y", sid: str = "id",
-            order: str = "ord") -> DataFrame:
-    """Nearest station of each point (``station``, ``d2``) by squared planar distance; ties go to the first in ``order``.
-
-    Points and stations meet in square bins, at first twice as wide as stations lie apart, then doubling in each round.  The
-    points of a bin share a list: a station is on it unless another is nearer to every one of them.  A point is settled
-    once it has a station nearer than a bin is wide, which no unseen station can beat; rounds are logarithmic in the
-    distance.  A point with a null coordinate, or any point where there is no station, has a null station.
-    """
-    st = stations.select(F.col(sid).alias("_sid"), F.col(order).alias("_ord"), F.col("x").cast("double").alias("_sx"),
-                         F.col("y").cast("double").alias("_sy")).filter("_sx is not null and _sy is not null")
-    # stations on one spot cannot be told apart by distance: the first stands for them
-    st = st.groupBy("_sx", "_sy").agg(F.min(F.struct("_ord", "_sid")).alias("f")).select("_sx", "_sy", "f.*")
-    n, x0, x1, y0, y1 = st.agg(F.count("*"), F.min("_sx"), F.max("_sx"), F.min("_sy"), F.max("_sy")).first()
-    placed = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))
-    none = [F.lit(None).cast(stations.schema[sid].dataType).alias("station"), F.lit(None).cast("double").alias("d2")]
-    if not n:
-        return points.select("*", *none)
-    cols, done = points.columns, points.filter(~placed).select("*", *none)
-    todo, width = points.filter(placed), 2 * max(x1 - x0, y1 - y0, 1e-6) / math.sqrt(n)
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    while True:
-        todo = todo.withColumn("_bx", F.floor(px / width)).withColumn("_by", F.floor(py / width))
-        bins = todo.groupBy("_bx", "_by").agg(F.min(px).alias("_x0"), F.max(px).alias("_x1"), F.min(py).alias("_y0"), F.max(py).alias("_y1"))
-        around = F.array(*[F.struct((F.col("_bx") + i).alias("_nx"), (F.col("_by") + j).alias("_ny")) for i, j in AROUND])
-        binned = st.withColumn("_nx", F.floor(F.col("_sx") / width)).withColumn("_ny", F.floor(F.col("_sy") / width))
-
-        def beyond(lo: str, hi: str, s: str) -> Column:
-            return F.greatest(F.col(lo) - F.col(s), F.col(s) - F.col(hi), F.lit(0.0))
-
-        def across(lo: str, hi: str, s: str) -> Column:
-            return F.greatest(F.abs(F.col(s) - F.col(lo)), F.abs(F.col(s) - F.col(hi)))
-
-        gap = beyond("_x0", "_x1", "_sx") ** 2 + beyond("_y0", "_y1", "_sy") ** 2
-        far = across("_x0", "_x1", "_sx") ** 2 + across("_y0", "_y1", "_sy") ** 2
-        met = bins.select("*", F.inline(around)).join(binned, ["_nx", "_ny"]).withColumns({"_gap": gap, "_far": far})
-        least = met.groupBy("_bx", "_by").agg(F.min("_far").alias("_worst"))
-        lists = met.join(least, ["_bx", "_by"]).filter("_gap <= _worst").select("_bx", "_by", "_sx", "_sy", "_ord", "_sid")
-        dx, dy = px - F.col("_sx"), py - F.col("_sy")
-        best = todo.join(lists, ["_bx", "_by"]).groupBy(*key).agg(
-            F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("_ord"), F.col("_sid"))).alias("b"))
-        ok = F.coalesce(F.col("b.d2") <= width * width, F.lit(False))
-        got = cut_lineage(todo.join(best, key, "left").withColumn("_ok", ok))
-        done = done.unionByName(got.filter("_ok").select(*cols, F.col("b._sid").alias("station"), F.col("b.d2").alias("d2")))
-        todo = got.filter(~F.col("_ok")).select(*cols)
-        if todo.isEmpty():
-            return done
-        width *= 2
 
 
 def elevation_breaks(cells: DataFrame, dem: str, n_elev: int) -> list[float]:
@@ -211,7 +155,7 @@ def downscale_auto(weather: DataFrame, zones: DataFrame, stations: DataFrame, gr
     """As :func:`downscale`, giving zones without a station the one nearest their centroid."""
     if "station" not in zones.columns:
         notice("zones were built without stations; each takes the station nearest its centroid")
-        zones = nearest(zones, stations, ["zone"])
+        zones = nearest(zones, stations)
     return downscale(weather, zones, **kw)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,6 +272,14 @@ def risk_peeled(i: Inputs) -> DataFrame:
     return skyline.pareto(i.layers(), ["holed", "pop", "elev"], depth=3, digits=2).select(*CELL, "risk")
 
 
+@query("risk_pareto_all_levels", "R02", sql(
+    f"""SELECT r AS "row", c AS "col", CASE WHEN x IS NULL OR y IS NULL OR z IS NULL THEN NULL ELSE {rd('(top - lev + 1) / top')} END AS risk
+       FROM sc LEFT JOIN (SELECT x, y, z, max(l) AS lev FROM chain GROUP BY x, y, z) USING (x, y, z), (SELECT CAST(max(l) AS DOUBLE) AS top FROM chain)""",
+    _KEYS.replace(", 2) AS", ", 1) AS"), f"chain(x, y, z, l) AS (SELECT x, y, z, 1 FROM u UNION SELECT a.x, a.y, a.z, l + 1 FROM chain b JOIN u a ON {_DOM})"))
+def risk_all_levels(i: Inputs) -> DataFrame:
+    return skyline.pareto(i.layers(), ["holed", "pop", "elev"], depth=math.inf, digits=1).select(*CELL, "risk")
+
+
 @query("crown_fire_cells", "M14 M15", sql(
     f"""SELECT r AS "row", c AS "col", {rd('intensity')} AS intensity, {rd('i0')} AS i0, {rd('r0')} AS r0, intensity > i0 AS ignites, spread >= r0 AS active FROM crown""",
     """crown AS (SELECT *, 18000 * load * spread / 60.0 AS intensity, pow(cbh * (460 + 25.9 * fmc) / 100.0, 1.5) AS i0, 3.0 / cbd AS r0 FROM (

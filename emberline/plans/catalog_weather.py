@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from emberline.grid import CELL
 from emberline.operators import climatology, fwi, raster, terrain, zonal
+from emberline.operators.proximity import nearest
 from emberline.plans.catalog_grid import _HORN
 from emberline.plans.inputs import Inputs, rd, sql
 from emberline.plans.registry import query
-from emberline.session import scratch_path
+from emberline.session import cut_lineage, scratch_path
 from emberline.sources import weather as src
 from emberline.streaming import weather_stream
 
@@ -194,13 +195,13 @@ def served_elevation(i: Inputs) -> DataFrame:
         SELECT r, c, id, ((c + 0.5) * 25 - x) * ((c + 0.5) * 25 - x) + ((w - r - 0.5) * 25 - y) * ((w - r - 0.5) * 25 - y) AS d2 FROM cells CROSS JOIN stations) GROUP BY r, c"""))
 def nearest_station(i: Inputs) -> DataFrame:
     pts = i.cells().select(*CELL, i.grid.x().alias("x"), i.grid.y().alias("y"))
-    return zonal.nearest(pts, i.stations(), CELL).select(*CELL, "station", "d2")
+    return nearest(pts, i.stations()).select(*CELL, "station", "d2")
 
 
 def _zones(i: Inputs) -> DataFrame:
     """Four elevation bands crossed with the nearest station's territory."""
     pts = i.cells().select(*CELL, "elev", i.grid.x().alias("x"), i.grid.y().alias("y"))
-    near = zonal.nearest(pts, i.stations(), CELL).withColumn("no", F.col("station") + 1)
+    near = nearest(pts, i.stations()).withColumn("no", F.col("station") + 1)
     return zonal.topo_zones(near, "elev", n_elev=4, station_no="no")
 
 
@@ -265,8 +266,7 @@ down AS (SELECT zone, lat, yr, mon, day, d, temp, ws, prec, least(greatest(100 *
     SELECT *, 243.5 * g / (17.67 - g) AS td FROM (SELECT *, ln(least(greatest(rh0, 0.001), 100) / 100) + 17.67 * t0 / (243.5 + t0) AS g FROM dw)))"""
 
 
-def _down(i: Inputs) -> DataFrame:
-    zones = _zones(i)
+def _down(i: Inputs, zones: DataFrame) -> DataFrame:
     table = zonal.zone_table(zones, i.grid, "elev", lat=i.grid.y("row") / 1000, station="station")
     return zonal.downscale(i.weather(), table, wind=_wind(i, zones), rain_slope=0.001)
 
@@ -275,7 +275,7 @@ def _down(i: Inputs) -> DataFrame:
     f"""SELECT zone, count(*) AS days, {rd('avg(temp)')} AS temp, {rd('avg(rh)')} AS rh, {rd('avg(ws)')} AS ws, {rd('avg(prec)')} AS prec FROM down GROUP BY zone""",
     _ZONES, _CURVE, _DOWN))
 def downscaled_weather(i: Inputs) -> DataFrame:
-    return _down(i).groupBy("zone").agg(F.count("*").alias("days"), *[F.avg(c).alias(c) for c in ("temp", "rh", "ws", "prec")])
+    return _down(i, cut_lineage(_zones(i))).groupBy("zone").agg(F.count("*").alias("days"), *[F.avg(c).alias(c) for c in ("temp", "rh", "ws", "prec")])
 
 
 @query("zonal_fwi_painted", "D05 J14", sql(
@@ -283,9 +283,10 @@ def downscaled_weather(i: Inputs) -> DataFrame:
         WHERE d IN (DATE '1997-06-10', DATE '1999-08-15', DATE '2000-07-01')""",
     _ZONES, _CURVE, _DOWN, _recurrence("down", "zone")))
 def zonal_fwi_painted(i: Inputs) -> DataFrame:
-    days = zonal.zonal_fwi(_down(i))
+    zones = cut_lineage(_zones(i))
+    days = zonal.zonal_fwi(_down(i, zones))
     wanted = days.filter(F.col("date").isin(*[F.to_date(F.lit(d)) for d in ("1997-06-10", "1999-08-15", "2000-07-01")]))
-    return _short(zonal.paint(_zones(i), wanted), ["value"])
+    return _short(zonal.paint(zones, wanted), ["value"])
 
 
 @query("weather_trimmed_zone_means", "A05 M11", sql(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.functions import fwi as eq
 from emberline.functions.constants import FWI_START
@@ -32,64 +34,68 @@ def daily_stream(hourly: DataFrame, hour: int = 12, late: str = "2 hours") -> Da
 
 CODE_SCHEMA = ("id long, date date, ffmc double, dmc double, dc double, isi double, bui double, fwi double, dsr double, "
                "status string")
-STATE_SCHEMA = "ids array<bigint>, ffmc array<double>, dmc array<double>, dc array<double>, last array<bigint>"
+STATE_SCHEMA = "ffmc double, dmc double, dc double, last date"
 _CODES = ["ffmc", "dmc", "dc", "isi", "bui", "fwi", "dsr"]
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def codes_stream(daily: DataFrame, init: dict[str, float] | None = None, lat_adjust: bool = True, buckets: int = 64) -> DataFrame:
-    """Running codes per station with state kept by Spark.
+class StationCodes(StatefulProcessor):
+    """A station's three moisture codes and its last day, advanced day by day."""
 
-    A day at or before the last one seen is rejected, a skipped day is flagged as a
-    gap, and a day with unknown input leaves the codes as they were.  Columns needed:
-    ``id, date, lat, temp, rh, ws, prec``.
+    def __init__(self, first: tuple[float, float, float], lat_adjust: bool, forget_ms: int | None) -> None:
+        self.first, self.lat_adjust, self.forget_ms = first, lat_adjust, forget_ms
 
-    Stations are hashed into state buckets, so that one step advances every station
-    of a bucket at once; ``buckets`` should grow with the number of stations.
-    """
-    start = {**FWI_START, **(init or {})}
-    first = [start["ffmc"], start["dmc"], start["dc"]]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("codes", STATE_SCHEMA, self.forget_ms)
 
-    def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            ids, *codes, last = (list(v) for v in state.get)
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists():
+            *codes, last = self.state.get()
         else:
-            ids, codes, last = [], [[], [], []], []
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows["day"] = pd.to_datetime(rows["date"]).map(pd.Timestamp.toordinal)
-        rows = rows.sort_values(["id", "day"], ignore_index=True)
-        uniq = rows["id"].unique()
-        fresh = np.setdiff1d(uniq, np.array(ids, dtype="int64"))
-        index = pd.Index(np.r_[np.array(ids, dtype="int64"), fresh])
-        held = np.vstack([np.array(codes, dtype="float64").T.reshape(-1, 3), np.tile(first, (len(fresh), 1))])
-        seen = np.r_[np.array(last, dtype="int64"), np.full(len(fresh), -1)]
-        slot = index.get_indexer(rows["id"])
-        # a repeated day, or one not after the last seen, is rejected before any step
-        day = rows["day"].to_numpy()
-        again = np.r_[False, (slot[1:] == slot[:-1]) & (day[1:] == day[:-1])] | (day <= seen[slot])
-        good = np.flatnonzero(~again)
-        out = np.full((len(rows), 7), np.nan)
-        status = np.where(again, "rejected", "ok").astype(object)
-        step = pd.Series(slot[good]).groupby(slot[good]).cumcount().to_numpy()
-        month = pd.to_datetime(rows["date"]).dt.month.to_numpy()
-        cols = {c: rows[c].to_numpy(dtype="float64", na_value=np.nan) for c in ("temp", "rh", "ws", "prec", "lat")}
-        for at in pd.Series(good).groupby(step):
-            r = at[1].to_numpy()
-            s = slot[r]
-            with np.errstate(invalid="ignore"):
-                got = np.stack(eq.day(held[s, 0], held[s, 1], held[s, 2], cols["temp"][r], cols["rh"][r], cols["ws"][r],
-                                      cols["prec"][r], month[r], cols["lat"][r], lat_adjust))
-            ok = np.isfinite(got).all(axis=0)
-            status[r[(seen[s] >= 0) & (day[r] > seen[s] + 1)]] = "gap"
-            status[r[~ok]] = "unknown"
-            held[s[ok]] = got[:3, ok].T
-            out[r[ok]] = got[:, ok].T
-            seen[s] = day[r]
-        state.update((index.tolist(), *[held[:, j].tolist() for j in range(3)], seen.tolist()))
-        result = pd.DataFrame({"id": rows["id"], "date": rows["date"]})
-        for j, c in enumerate(_CODES):
-            result[c] = out[:, j]
-        result["status"] = status
+            codes, last = list(self.first), None
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("date", kind="stable", ignore_index=True)
+        inputs = pdf[["temp", "rh", "ws", "prec", "lat"]].to_numpy(dtype="float64", na_value=np.nan).tolist()
+        dates = [d if isinstance(d, dt.date) else pd.Timestamp(d).date() for d in pdf["date"]]
+        out = []
+        for date, (temp, rh, ws, prec, lat) in zip(dates, inputs, strict=True):
+            if last is not None and date <= last:
+                out.append((*[None] * 7, "rejected"))
+                continue
+            got = eq.day_of_one(*codes, temp, rh, ws, prec, date.month, lat, self.lat_adjust)
+            gap = last is not None and (date - last).days > 1
+            last = date
+            if got is None:
+                out.append((*[None] * 7, "unknown"))
+            else:
+                codes = list(got[:3])
+                out.append((*got, "gap" if gap else "ok"))
+        if last is not None:
+            self.state.update((*codes, last))
+        result = pd.DataFrame(out, columns=[*_CODES, "status"]).astype(dict.fromkeys(_CODES, "float64"))
+        result.insert(0, "date", dates)
+        result.insert(0, "id", key[0])
         yield result
 
-    keyed = daily.withColumn("bucket", F.pmod(F.hash("id"), F.lit(buckets)))
-    return keyed.groupBy("bucket").applyInPandasWithState(advance, CODE_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def codes_stream(daily: DataFrame, init: dict[str, float] | None = None, lat_adjust: bool = True,
+                 forget_ms: int | None = None) -> DataFrame:
+    """Running codes per station with state kept by Spark: three numbers and a date for each.
+
+    A day at or before the last one seen is rejected, a skipped day is flagged as a
+    gap, and a day with unknown input leaves the codes as they were.  Columns needed:
+    ``id, date, lat, temp, rh, ws, prec``.  Rows without a date are left out.
+
+    ``forget_ms`` drops the state of a station that has sent nothing for so long; it then starts anew.  State is kept in
+    RocksDB, which this kind of operator needs, so the session is set to that where it still has the built-in default.
+    """
+    start = {**FWI_START, **(init or {})}
+    spark, key = daily.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(key):
+        spark.conf.set(key, _ROCKS)
+    rows = daily.filter(F.col("date").isNotNull()).select(F.col("id").cast("long").alias("id"), "date", *[F.col(c).cast("double").alias(c) for c in ("lat", "temp", "rh", "ws", "prec")])
+    codes = StationCodes((start["ffmc"], start["dmc"], start["dc"]), lat_adjust, forget_ms)
+    return rows.groupBy("id").transformWithStateInPandas(
+        codes, CODE_SCHEMA, "Append", "None" if forget_ms is None else "ProcessingTime")

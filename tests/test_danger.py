@@ -7,7 +7,7 @@ import pytest
 
 from emberline.errors import BadPeriod, BadRange, DegenerateSample, EmberError, EmptyReference, EmptyResult, UnknownName, VintageRequired
 from emberline.grid import GridSpec
-from emberline.operators import climatology, directional, profile, validate, zonal
+from emberline.operators import climatology, directional, profile, proximity, validate, zonal
 from emberline.operators.raster import rectangle
 from emberline.streaming import weather_stream
 from pyspark.sql import functions as F
@@ -76,17 +76,42 @@ def test_nearest_matches_brute_force(spark, side):
     pts, pp = stations(spark, 300, 1, side)
     odd = spark.createDataFrame([(900, None, 5.0), (901, 1.0, None), (902, float("nan"), 1.0)], "id long, x double, y double")
     lost = st.limit(1).select(F.lit(99).cast("long").alias("id"), F.lit(99).cast("long").alias("ord"), F.lit(None).cast("double").alias("x"), "y")
-    got = zonal.nearest(pts.select("id", "x", "y").union(odd), st.unionByName(lost), ["id"]).toPandas().set_index("id")
+    got = proximity.nearest(pts.select("id", "x", "y").union(odd), st.unionByName(lost)).toPandas().set_index("id")
     assert len(got) == 303 and got.loc[[900, 901, 902], ["station", "d2"]].isna().all(axis=None)
-    assert zonal.nearest(odd, st.limit(0), ["id"]).filter("station is null").count() == 3
+    assert proximity.nearest(odd, st.limit(0)).filter("station is null").count() == 3
     d = (pp.x.to_numpy()[:, None] - pdf.x.to_numpy()) ** 2 + (pp.y.to_numpy()[:, None] - pdf.y.to_numpy()) ** 2
     assert (got.loc[pp.id, "station"].to_numpy() == d.argmin(axis=1)).all()
 
 
+@pytest.mark.parametrize("layout", ["even", "one town", "one line", "one spot"])
+def test_nearest_with_many_blocks_and_parts(spark, monkeypatch, layout):
+    monkeypatch.setattr(proximity, "BLOCK_STATIONS", 12)
+    monkeypatch.setattr(proximity, "LISTED", 2)
+    rng = np.random.default_rng(3)
+    at = rng.random((150, 2)) * 1000
+    if layout == "one town":
+        at[:140] = 400 + at[:140] / 50
+    elif layout == "one line":
+        at[:, 0] = 7.0
+    elif layout == "one spot":
+        at[:] = 5.0
+    at = np.round(at * 4) / 4
+    st = spark.createDataFrame(pd.DataFrame({"id": np.arange(150), "ord": rng.permutation(150), "x": at[:, 0], "y": at[:, 1]}))
+    where = np.round(np.concatenate([rng.random((400, 2)) * 3000 - 1000, at[:20], rng.random((80, 2)) * 4 + 400]) * 4) / 4
+    pts = spark.createDataFrame([(None if k % 7 == 0 else k // 2, float(a), float(b), k) for k, (a, b) in enumerate(where)], "key long, x double, y double, _b long")
+    got = proximity.nearest(pts, st).toPandas()
+    assert len(got) == len(where) and list(got.columns) == ["key", "x", "y", "_b", "station", "d2"]
+    order = {r["id"]: r["ord"] for r in st.collect()}
+    for r in got.itertuples():
+        d = (r.x - at[:, 0]) ** 2 + (r.y - at[:, 1]) ** 2
+        near = np.flatnonzero(d == d.min())
+        assert r.d2 == d.min() and r.station == min(near, key=order.get)
+
+
 def test_nearest_tie_goes_to_the_first(spark):
     st = spark.createDataFrame([(7, 2, 0.0, 0.0), (5, 1, 10.0, 0.0)], "id long, ord long, x double, y double")
     pts = spark.createDataFrame([(1, 5.0, 0.0)], "p long, x double, y double")
-    assert zonal.nearest(pts, st, ["p"]).first()["station"] == 5
+    assert proximity.nearest(pts, st).first()["station"] == 5
 
 
 def test_student_p_values():
@@ -238,6 +263,56 @@ def test_codes_survive_restarts_and_reject_old_days(spark, tmp_path):
     assert got[2, dt.date(2020, 4, 12)]["status"] == "rejected"
 
 
+def test_codes_over_several_batches_with_late_days(spark, tmp_path):
+    from emberline.functions import fwi as eq
+
+    rng = np.random.default_rng(5)
+    want, start = {}, dt.date(2021, 3, 1)
+    batches = [[], [], [], []]
+    for sid in range(40):
+        codes, last = (85.0, 6.0, 15.0), None
+        days = np.sort(rng.permutation(60)[:45])
+        cuts = np.array_split(days, 4)
+        for b, own in enumerate(cuts):
+            rows = [(start + dt.timedelta(days=int(d)), float(rng.integers(-5, 35)), float(rng.integers(0, 101)), float(rng.integers(0, 40)), float(rng.choice([0, 0, 3.2]))) for d in own]
+            late = [(start + dt.timedelta(days=int(d)), 10.0, 50.0, 5.0, 0.0) for d in (cuts[b - 1][-2:] if b else [])]
+            for d, t, h, w, p in rows:
+                got = np.array(eq.day(*[np.array([x]) for x in (*codes, t, h, w, p)], np.array([d.month]), np.array([40.0])))[:, 0]
+                codes = got[:3]
+                want[sid, d] = (got, "gap" if last and (d - last).days > 1 else "ok")
+                last = d
+            batches[b] += [(sid, d, 40.0, *x) for d, *x in late + rows[::-1]]
+    n_late = 0
+    for b, rows in enumerate(batches):
+        days_json(spark, f"{tmp_path}/in", rows)
+        run(spark, str(tmp_path), "several")
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(out) == sum(map(len, batches))
+    for r in out:
+        if r["status"] == "rejected":
+            n_late += 1
+            assert r["fwi"] is None
+        else:
+            codes, status = want[r["id"], r["date"]]
+            assert r["status"] == status
+            np.testing.assert_allclose([r[c] for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi", "dsr")], codes, rtol=1e-9)
+    assert n_late == 40 * 3 * 2
+
+
+def test_one_stations_equations_equal_the_arrays():
+    from emberline.functions import fwi as eq
+
+    rng = np.random.default_rng(2)
+    n = 2000
+    args = [rng.uniform(0, 101, n), rng.uniform(0, 200, n), rng.uniform(0, 900, n), rng.uniform(-20, 45, n), rng.uniform(0, 100, n), rng.uniform(0, 90, n),
+            rng.choice([0, 0.3, 1.6, 9.0, 80.0], n), rng.integers(1, 13, n), rng.uniform(-90, 90, n)]
+    want = np.array(eq.day(*args))
+    for k in range(n):
+        one = eq.day_of_one(*[a[k].item() for a in args])
+        assert one == pytest.approx(want[:, k].tolist(), rel=1e-9)
+    assert eq.day_of_one(85, 6, 15, float("nan"), 40, 5, 0, 6, 45) is None and eq.day_of_one(85, 6, 15, 20, -1, 5, 0, 6, 45) is None
+
+
 def test_late_hours_are_dropped(spark, tmp_path):
     schema = "id long, ts timestamp, temp double, rh double, ws double, prec double"
 

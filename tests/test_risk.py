@@ -48,6 +48,23 @@ def test_pruning_by_partition_keeps_levels(spark):
     np.testing.assert_allclose(got["risk"], np.where(lev == 0, 0, (3 - lev + 1) / 3))
 
 
+@pytest.mark.parametrize("depth", [3, np.inf])
+@pytest.mark.parametrize("shape", ["cube", "diagonal", "antichain"])
+def test_blocks_in_waves_give_the_same_levels(spark, monkeypatch, depth, shape):
+    monkeypatch.setattr(skyline, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 12, (900, 3)) / 11
+    if shape == "diagonal":
+        m = np.clip(np.round(rng.random(700)[:, None] + rng.normal(0, 0.03, (700, 3)), 2), 0, 1)
+    elif shape == "antichain":
+        m[:, 2] = np.round(1 - (m[:, 0] + m[:, 1]) / 2, 6)
+    m = np.round(m, 6)
+    got = skyline.pareto(frame(spark, a=m[:, 0], b=m[:, 1], c=m[:, 2]), ["a", "b", "c"], depth=depth, digits=6, normalise="none").orderBy("col").toPandas()
+    uniq, back = np.unique(m, axis=0, return_inverse=True)
+    lev = levels_by_peeling(uniq, depth)[back.ravel()]
+    np.testing.assert_allclose(got["risk"], np.where(lev == 0, 0, (lev.max() - lev + 1) / lev.max()))
+
+
 def test_pareto_nulls_and_guard(spark):
     df = frame(spark, a=[0.0, 1.0, np.nan, 1.0], b=[1.0, 0.0, 1.0, 1.0])
     assert column(skyline.pareto(df, ["a", "b"]), "risk") == [0.0, 0.0, None, 1.0]
