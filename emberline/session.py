@@ -44,7 +44,15 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder once and read it from there: cut lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.held_path = path
+    return held
+
+
+def let_go(*held: DataFrame) -> None:
+    """Empty tables of :func:`hold` that nothing reads any more: what was made of them must be written itself."""
+    for df in held:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(df.held_path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
