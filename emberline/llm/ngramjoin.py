@@ -26,12 +26,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from emberline.llm.batches import column_of, mix, shingle_hashes, slices, split_words, word_hashes
+from emberline.llm.batches import mix, shingle_hashes, slices, split_words, word_hashes
 from emberline.llm.repeats import release
 from emberline.operators.components import min_label
-from emberline.session import hold
+from emberline.session import hold, let_go
 
 #: Words of a shingle, and how many hundredths of their union two sets share to link, unless a call says otherwise.
 SHINGLE_WORDS, NUMERATOR = 4, 85
@@ -43,7 +42,9 @@ CLASS_RATIO = 1.3
 CROWDED_COST = 1000.0
 #: Members of a list, in a slice and in all, beyond which it is taken as belonging together.
 LONG_IN_SLICE, LONG_LIST = 64, 512
-FACTS = "n long, set_id binary, s long, sketch binary, keys array<long>, wide array<long>, near array<long>"
+#: Stands for a null doc_id in keys.
+NAMELESS = -(1 << 63)
+FACTS = "doc long, h long, n long, set_id binary, s long, sketch binary, keys array<long>, wide array<long>, near array<long>"
 
 
 def least_partner(n: int, numerator: int) -> int:
@@ -187,15 +188,15 @@ def may_link(sizes: np.ndarray, sketch: list[bytes], numerator: int) -> np.ndarr
 
 
 def described(docs: DataFrame, words_each: int, numerator: int) -> DataFrame:
-    """One row a document: a key of its own, its columns, and its set's size, digest, sketch and entries.
+    """One row a document: its id, its text's hash, and its set's size, digest, sketch and entries.
 
     Of equal sets a slice enters one.  Of a list that is long within the slice it enters one set in ``wide``, and the
     others name that one in ``near``: a list that very many share is then a row a slice.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "doc.text"):
-                members, offsets = sets_of(column_of(part, "doc.text"), words_each)
+            for part in slices(batch):
+                members, offsets = sets_of(part.column("text"), words_each)
                 n = part.num_rows
                 digest = [hashlib.blake2b(members[a:b].tobytes(), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 s = np.frombuffer(b"".join(digest), "<i8")[::2]
@@ -215,15 +216,12 @@ def described(docs: DataFrame, words_each: int, numerator: int) -> DataFrame:
                 met = np.unique(np.stack([who[long & ~least], s[to[long & ~least]]]), axis=1)
                 wide = long & least
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc"), pa.array(np.diff(offsets)), pa.array(digest, pa.binary()), pa.array(s),
+                    part.column("doc"), part.column("h"), pa.array(np.diff(offsets)), pa.array(digest, pa.binary()), pa.array(s),
                     pa.array(sketches(members, offsets), pa.binary()), _lists(keys[~long], who[~long], n),
                     _lists(keys[wide], who[wide], n), _lists(met[1], met[0].astype("int64"), n)],
-                    ["doc", "n", "set_id", "s", "sketch", "keys", "wide", "near"])
+                    ["doc", "h", "n", "set_id", "s", "sketch", "keys", "wide", "near"])
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    schema = T.StructType([*whole.schema, *T.StructType.fromDDL(FACTS)])
-    # The keys are written with the rows, so they are read alike ever after.
-    return hold(whole.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "join-facts")
+    return hold(docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, FACTS), "join-facts")
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -351,13 +349,26 @@ def _candidates(facts: DataFrame, numerator: int) -> DataFrame:
     lists = shared.join(drawn, "s").repartition("key").sortWithinPartitions("key", "s")
     far = lists.mapInArrow(lambda batches: _read_lists(batches, numerator), "a long, b long")
     near = facts.select(F.col("s").alias("a"), F.explode("near").alias("b")).filter("a <> b")
-    return min_label(hold(far.union(near).distinct(), "join-candidates"))
+    edges = hold(far.union(near).distinct(), "join-candidates")
+    let_go(shared)
+    return min_label(edges)
+
+
+def _firsts(docs: DataFrame, *columns: str) -> DataFrame:
+    """One row for each doc_id and text, by ``_d`` and ``_h``, with some columns of it.
+
+    Of rows that agree in both, each partition sends one.
+    """
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS)), "_h": F.xxhash64("text")}).select("_d", "_h", *columns)
+    nth = F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(0)))
+    return keyed.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 
 
-def _links(facts: DataFrame, sets: DataFrame, words_each: int, numerator: int) -> DataFrame:
-    """Links (a, b) between the first rows of different sets; they span every true component."""
+def _links(docs: DataFrame, facts: DataFrame, sets: DataFrame, words_each: int, numerator: int) -> DataFrame:
+    """Links (a, b) between different sets, by their numbers; they span every true component."""
     groups = _candidates(facts, numerator)
-    chosen = sets.join(groups, sets["s"] == groups["node"]).select(F.col("first.row").alias("rep"), F.col("label").alias("k"))
+    chosen = sets.join(groups, sets["s"] == groups["node"]).select(
+        F.coalesce("first.id", F.lit(NAMELESS)).alias("_d"), F.col("first.h").alias("_h"), F.col("number").alias("rep"), F.col("label").alias("k"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,11 +379,12 @@ def _links(facts: DataFrame, sets: DataFrame, words_each: int, numerator: int) -
                     pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(members.view("int64")))],
                     ["rep", "k", "n", "members"])
 
-    texts = facts.select("row", "doc.text")
-    full = hold(texts.join(chosen, texts["row"] == chosen["rep"]).select("rep", "k", "text").mapInArrow(
+    full = hold(_firsts(docs, "text").join(chosen, ["_d", "_h"]).select("rep", "k", "text").mapInArrow(
         build, "rep long, k long, n long, members array<long>"), "join-sets")
     release(facts.sparkSession)
-    return spanning_links(full, numerator)
+    links = hold(spanning_links(full, numerator), "join-spanning")
+    let_go(full)
+    return links
 
 
 def spanning_links(sets: DataFrame, numerator: float) -> DataFrame:
@@ -412,18 +424,19 @@ def _rest(big: DataFrame, one: DataFrame, numerator: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words_each: int, numerator: int) -> tuple[DataFrame, DataFrame]:
-    """All rows described, and of each set that is not empty its ``first`` row, its rows, and the ``root`` of its component.
+    """All rows described, and of each set that is not empty a number, its ``first`` row, its rows, and the ``root`` of its component.
 
     A set's first row is the one of least doc_id, of least text hash among those, and last of all one without an id.
-    Every set takes part, whatever the ids of its rows; a root is a row key.
+    Every set takes part, whatever the ids of its rows; a root is the number of a set.
     """
     facts = described(docs, words_each, numerator)
-    order = F.struct(F.col("doc.doc_id").isNull().alias("nameless"), F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc.text").alias("h"), "row")
-    sets = hold(facts.filter("n > 0").groupBy("set_id", "s").agg(F.min(order).alias("first"), F.count("*").alias("rows")), "join-rows")
-    links = hold(_links(facts, sets, words_each, numerator), "join-spanning")
-    labels = min_label(links)
-    return facts, hold(sets.join(labels, sets["first.row"] == labels["node"], "left").select(
-        "set_id", "first", "rows", F.coalesce("label", "first.row").alias("root"), F.col("label").isNotNull().alias("met")), "join-roots")
+    first = F.min(F.struct(F.col("doc").isNull().alias("nameless"), F.col("doc").alias("id"), "h"))
+    # Numbers are written with the sets, so they are read alike ever after.
+    sets = hold(facts.filter("n > 0").groupBy("set_id", "s").agg(first.alias("first"), F.count("*").alias("rows")).withColumn(
+        "number", F.monotonically_increasing_id()), "join-numbers")
+    labels = min_label(_links(docs, facts, sets, words_each, numerator))
+    return facts, hold(sets.join(labels, sets["number"] == labels["node"], "left").select(
+        "set_id", "first", "rows", F.coalesce("label", "number").alias("root"), F.col("label").isNotNull().alias("met")), "join-roots")
 
 
 def linked_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, numerator: int = NUMERATOR) -> DataFrame:
@@ -438,8 +451,7 @@ def linked_components(docs: DataFrame, words_each: int = SHINGLE_WORDS, numerato
     # A row alone in its set and component is its own; the others may be very many of one set, so both sides are plain
     # tables and the join can be split.
     shared = hold(sets.join(names, "root").filter("rows > 1 or met").select("set_id", "name", F.lit(True).alias("shared")), "join-names")
-    own = F.col("doc.doc_id").cast("long")
-    slim = facts.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), "set_id")
+    slim = facts.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "set_id")
     return slim.join(shared, "set_id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("shared") & (F.col("n_shingles") > 0), F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -450,6 +462,9 @@ def one_of_each(docs: DataFrame, words_each: int = SHINGLE_WORDS, numerator: int
     A row without an id stays only where its group has none with one.  Documents without words are no group and stay.
     """
     facts, sets = _sets(docs, words_each, numerator)
-    kept = sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    rows = facts.select("row", "doc")
-    return rows.join(kept, "row").select("doc.*").union(facts.filter("n = 0").select("doc.*"))
+    kept = hold(sets.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.coalesce("first.id", F.lit(NAMELESS)).alias("_d"), F.col("first.h").alias("_h")), "join-kept")
+    let_go(facts, sets)
+    columns = [f"`{c}`" for c in docs.columns]
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    return _firsts(docs, *columns).join(kept, ["_d", "_h"]).select(*columns).union(docs.filter(wordless))
