@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,26 +13,25 @@ from pyspark.sql.window import Window
 from emberline.errors import BadRange, EmberError
 from emberline.functions.constants import BEARING_STEP, EXPOSURE_FLOOR, SEGMENTS_M, VIABLE_SHARE
 from emberline.grid import CELL, GridSpec
+from emberline.operators.tiles import tile_side, with_halo
+from emberline.session import hold
+
 
+#: Assets that one task follows the bearings of, on average at most.
+TASK_ASSETS = 512
 
-def transect_samples(assets: DataFrame, grid: GridSpec, asset: str, segments: list[float], interval: float,
-                     step: float) -> DataFrame:
-    """Sample positions of every asset, bearing and segment, as cells; off-grid ones included."""
-    n = round(360 / interval)
-    turns = F.sequence(F.lit(1), F.lit(n))
-    spots, start = [], 0.0
+
+def transect_spots(segments: list[float], step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Segment number and distance of each sample along a bearing."""
+    seg, at, start = [], [], 0.0
     for k, length in enumerate(segments):
         d = start + step / 2
         while d <= start + length + 1e-9:
-            spots.append((k + 1, d))
+            seg.append(k + 1)
+            at.append(d)
             d += step
         start += length
-    where = F.array(*[F.struct(F.lit(k).alias("seg"), F.lit(d).alias("d")) for k, d in spots])
-    base = assets.select(F.col(asset).alias("asset"), "x", "y", F.explode(F.transform(turns, lambda i: i * F.lit(float(interval)))).alias("bearing"))
-    theta = F.radians("bearing")
-    pts = base.select("asset", "x", "y", "bearing", F.sin(theta).alias("sx"), F.cos(theta).alias("cy"), F.inline(where))
-    return pts.select("asset", "bearing", "seg", grid.row_of(F.col("y") + F.col("d") * F.col("cy")).alias("row"),
-                      grid.col_of(F.col("x") + F.col("d") * F.col("sx")).alias("col"))
+    return np.array(seg, "int64"), np.array(at, "float64")
 
 
 def directional(assets: DataFrame, exposure: DataFrame, grid: GridSpec, asset: str = "asset", value: str = "exposure",
@@ -38,6 +41,9 @@ def directional(assets: DataFrame, exposure: DataFrame, grid: GridSpec, asset: s
 
     Samples without a value are dropped; a segment without samples is undecided and
     its bearing is not viable.  ``pct_missing`` tells how much of a bearing was unmapped.
+
+    Assets meet the layer tile by tile, with a margin as wide as a transect is long; samples are looked up inside the
+    tile and leave it as one row an asset and bearing.  Assets of a crowded tile are dealt over several tasks.
     """
     if any(s <= 0 for s in segments):
         raise BadRange("segments must be positive")
@@ -46,14 +52,48 @@ def directional(assets: DataFrame, exposure: DataFrame, grid: GridSpec, asset: s
     outside = ~(F.col("x").between(grid.xmin, grid.xmax) & F.col("y").between(grid.ymin, grid.ymax))
     if not assets.filter(outside).isEmpty():
         raise EmberError("an asset lies outside the layer")
-    samples = transect_samples(assets, grid, asset, list(segments), interval, step or grid.res)
-    hit = samples.join(exposure.select(*CELL, F.col(value).alias("e")), CELL, "left")
-    aggs = []
-    for k in range(1, len(segments) + 1):
-        known = F.when((F.col("seg") == k) & F.col("e").isNotNull(), F.col("e") >= thresh_exp)
-        aggs.append(F.avg(known.cast("double")).alias(f"raw{k}"))
-    off = 100.0 * F.count_if(F.col("e").isNull()) / F.count("*")
-    got = hit.groupBy("asset", "bearing").agg(*aggs, off.alias("pct_missing"))
+    seg, at = transect_spots(list(segments), step or grid.res)
+    turns = np.arange(1, round(360 / interval) + 1) * float(interval)
+    east, north = np.sin(np.radians(turns)), np.cos(np.radians(turns))
+    halo = math.ceil(at.max(initial=0.0) / grid.res) + 1
+    side = tile_side(grid, halo)
+    tile = ["tile_r", "tile_c"]
+    last = [(n - 1) // side for n in (grid.nrow, grid.ncol)]
+    spots = assets.select(F.col(asset).alias("asset"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *[
+        F.least(F.floor(c / side), F.lit(n)).cast("int").alias(t) for c, n, t in zip((grid.row_of("y"), grid.col_of("x")), last, tile, strict=True)])
+    dealt = hold(spots.groupBy(*tile).agg(F.ceil(F.count("*") / TASK_ASSETS).cast("int").alias("tasks")), "transect-tiles")
+    here = spots.join(dealt, tile).withColumn("task", F.pmod(F.xxhash64("asset", "x", "y"), F.col("tasks")).cast("int")).drop("tasks")
+    layer = with_halo(exposure.select(*CELL, F.col(value).cast("double").alias("e")), grid, side, halo).join(dealt, tile).select(
+        *CELL, "e", *tile, F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    raws = [f"raw{k}" for k in range(1, len(segments) + 1)]
+
+    def follow(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({c: [] for c in ("asset", "bearing", *raws, "pct_missing")})
+        r0, c0 = int(own["tile_r"].iloc[0]) * side - halo, int(own["tile_c"].iloc[0]) * side - halo
+        a = np.full((side + 2 * halo + 2,) * 2, np.nan)
+        a[cells["row"].to_numpy() - r0, cells["col"].to_numpy() - c0] = cells["e"].to_numpy("float64", na_value=np.nan)
+        out = []
+        for name, x, y in zip(own["asset"], own["x"], own["y"], strict=True):
+            row = np.floor((grid.ymax - (y + at[None, :] * north[:, None])) / grid.res).astype("int64") - r0
+            col = np.floor((x + at[None, :] * east[:, None] - grid.xmin) / grid.res).astype("int64") - c0
+            e = a[row, col]
+            known = ~np.isnan(e)
+            one = {"asset": [name] * len(turns), "bearing": turns}
+            for k, raw in enumerate(raws):
+                of = known[:, seg == k + 1]
+                high = (e[:, seg == k + 1] >= thresh_exp) & of
+                with np.errstate(invalid="ignore"):
+                    one[raw] = high.sum(axis=1) / of.sum(axis=1)
+            one["pct_missing"] = 100.0 * (~known).sum(axis=1) / max(len(seg), 1)
+            out.append(pd.DataFrame(one))
+        return pd.concat(out, ignore_index=True)
+
+    kind = assets.schema[asset].dataType.simpleString()
+    schema = f"asset {kind}, bearing double, {', '.join(f'{r} double' for r in raws)}, pct_missing double"
+    by = [*tile, "task"]
+    got = here.groupBy(*by).cogroup(layer.groupBy(*by)).applyInPandas(follow, schema).withColumns(
+        {r: F.nullif(r, F.lit(float("nan"))) for r in raws})
     all_ok, cols = F.lit(True), []
     for k in range(1, len(segments) + 1):
         seg = F.col(f"raw{k}") >= thresh_viable

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberline.session import cut_lineage, shuffle_width
+from emberline.session import cut_lineage, hold, shuffle_width
 
 
 def with_range(reduced: DataFrame, value: str, n: int, out: str = "_rg") -> DataFrame:
@@ -69,12 +69,35 @@ def value_counts(df: DataFrame, value: str, by: list[str] | None = None, **count
     return df.filter(F.col(value).isNotNull()).groupBy(*(by or []), value).agg(F.count("*").alias("n"), *extra)
 
 
+def attached(df: DataFrame, table: DataFrame, keys: list[str], n: str, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` with the ``columns`` that ``table`` has for their ``keys``; ``n`` is how many rows a key has there.
+
+    Keys that hold more than half a partition's share of the rows are fewer than twice the partitions, so they are
+    broadcast, whatever the table's size.  Their rows, and rows without a key, need no partner after that and go through
+    the join under numbers of their own: no key brings a task more than a fair share.
+    """
+    # The lane of the table's rows is written: a constant would be folded out of the join's keys.
+    table = hold(table.select(*keys, n, *[c for c in columns if c != n], F.lit(0).alias("_lane")), "rank-values")
+    width = shuffle_width(df.sparkSession)
+    share = (table.agg(F.sum(n)).first()[0] or 0) / (2 * width)
+    packed = F.struct(*[F.col(c) for c in columns])
+    often = F.broadcast(table.filter(F.col(n) > share).select(*keys, packed.alias("_often")))
+    seldom = table.filter(F.col(n) <= share).select(*keys, "_lane", packed.alias("_seldom"))
+    settled = F.col("_often").isNotNull()
+    for k in keys:
+        settled = settled | F.col(k).isNull()
+    lane = F.when(settled, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(64 * width)).cast("int")).otherwise(0)
+    both = df.join(often, keys, "left").withColumn("_lane", lane).join(seldom, [*keys, "_lane"], "left")
+    found = F.coalesce("_often", "_seldom")
+    return both.select(*df.columns, *[found[c].alias(c) for c in columns])
+
+
 def mid_rank(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
     """Average rank of each row (ties share it) and the group size ``{out}_n``; null stays null."""
     by = by or []
     table = cumulative(value_counts(df, value, by), value, ["n"], by).select(
-        *by, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out), F.col("n_total").alias(f"{out}_n"))
-    return df.join(table, [*by, value], "left")
+        *by, value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias(out), F.col("n_total").alias(f"{out}_n"))
+    return attached(df, table, [*by, value], "n", [out, f"{out}_n"])
 
 
 def percentile_rank(df: DataFrame, value: str, convention: str, out: str = "pr") -> DataFrame:
@@ -97,7 +120,7 @@ def share_at_or_below(df: DataFrame, value: str, is_ref: str, by: list[str], out
     counts = value_counts(df, value, by, ref=F.count_if(F.col(is_ref)))
     table = cumulative(counts, value, ["ref"], by)
     share = F.when(F.col("ref_total") > 0, 100.0 * (F.col("ref_before") + F.col("ref")) / F.col("ref_total"))
-    return df.join(table.select(*by, value, share.alias(out)), [*by, value], "left")
+    return attached(df, table.select(*by, value, "n", share.alias(out)), [*by, value], "n", [out])
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.errors import EmberError, EmberWarning, notice
-from emberline.functions.scalars import clamp
 from emberline.grid import CELL, GridSpec
 
 
@@ -120,33 +123,16 @@ def scale_gap(grids: dict[str, GridSpec], direction: str = "finest") -> dict:
 def align(cells: DataFrame, source: GridSpec, target: GridSpec, values: list[str], method: str = "near") -> DataFrame:
     """Put layers onto another grid of the same CRS; the only operator that may.
 
-    ``near`` and ``bilinear`` look source cells up from each target cell; ``average``
+    ``near`` and ``bilinear`` look source cells up, tile by tile of the target; ``average``
     and ``sum`` push each source cell onto the targets it overlaps, weighted by area.
     """
     if source.crs != target.crs:
         raise EmberError("grids must share a CRS")
     if source == target:
         return cells.select(*CELL, *values)
-    spark = cells.sparkSession
+    if method in ("near", "bilinear"):
+        return _looked_up(cells, source, target, values, method)
     src = cells.select(F.col("row").alias("sr"), F.col("col").alias("sc"), *values)
-    if method == "near":
-        sr, sc = source_cell(source, target)
-        lattice = target.cells(spark).select(*CELL, sr.alias("sr"), sc.alias("sc"))
-        return lattice.join(src, ["sr", "sc"], "left").select(*CELL, *values)
-    if method == "bilinear":
-        fy = (F.lit(float(source.ymax)) - target.y("row")) / float(source.res) - 0.5
-        fx = (target.x("col") - F.lit(float(source.xmin))) / float(source.res) - 0.5
-        fy, fx = clamp(fy, 0, source.nrow - 1), clamp(fx, 0, source.ncol - 1)
-        at = target.cells(spark).select(*CELL, fy.alias("fy"), fx.alias("fx")).filter(_covered(source, target))
-        ry, rx = F.floor("fy"), F.floor("fx")
-        wy, wx = F.col("fy") - ry, F.col("fx") - rx
-        corners = F.array(*[
-            F.struct((ry + dy).cast("int").alias("sr"), (rx + dx).cast("int").alias("sc"),
-                     ((wy if dy else 1 - wy) * (wx if dx else 1 - wx)).alias("w")) for dy in (0, 1) for dx in (0, 1)])
-        four = at.select(*CELL, F.inline(corners)).filter("w > 0")
-        mix = [F.when(F.count(v) == F.count("w"), F.sum(F.col(v) * F.col("w"))).alias(v) for v in values]
-        got = four.join(src, ["sr", "sc"], "left").groupBy(*CELL).agg(*mix)
-        return target.cells(spark).join(got, CELL, "left")
     if method not in ("average", "sum"):
         raise EmberError(f"unknown method '{method}'")
     x0 = F.lit(float(source.xmin)) + F.col("sc") * float(source.res)
@@ -170,9 +156,85 @@ def align(cells: DataFrame, source: GridSpec, target: GridSpec, values: list[str
     return hit.groupBy(*CELL).agg(*agg)
 
 
-def _covered(source: GridSpec, target: GridSpec) -> Column:
-    x, y = target.x("col"), target.y("row")
-    return (x >= source.xmin) & (x <= source.xmax) & (y >= source.ymin) & (y <= source.ymax)
+#: Cells on a side of what a regridding task holds of the finer grid, at most.
+REGRID_SIDE = 1024
+
+
+def _weights(source: GridSpec, target: GridSpec, method: str, axis: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Along one axis, for target rows or columns: first source index, weight of the next one, and whether there is any."""
+    n = (source.nrow, source.ncol)[axis]
+    if axis == 0:
+        f = (source.ymax - (target.ymax - (at + 0.5) * target.res)) / source.res
+    else:
+        f = (target.xmin + (at + 0.5) * target.res - source.xmin) / source.res
+    if method == "near":
+        first = np.floor(f).astype("int64")
+        return first, np.zeros(len(at)), (first >= 0) & (first < n)
+    inside = (f >= 0) & (f <= n)
+    f = np.clip(f - 0.5, 0, n - 1)
+    first = np.floor(f).astype("int64")
+    return first, f - first, inside
+
+
+def _looked_up(cells: DataFrame, source: GridSpec, target: GridSpec, values: list[str], method: str) -> DataFrame:
+    """Values by separable kernels over tiles of the target.
+
+    Each source cell goes to the tiles that look it up, margins included; a tile finds the source rows and columns of its
+    rows and columns and takes what stands where they cross.  A tile that no source cell reaches is all null.
+    """
+    spark = cells.sparkSession
+    side = int(max(1, min(REGRID_SIDE // 2, REGRID_SIDE * source.res / target.res)))
+    margin = source.res * (1 if method == "bilinear" else 0) + target.res
+
+    def tiles(low: Column, high: Column, n: int) -> Column:
+        """Tiles between two distances from the target's edge."""
+        first = F.greatest(F.floor(low / target.res), F.lit(0))
+        last = F.least(F.floor(high / target.res), F.lit(n - 1))
+        return F.explode(F.when(first <= last, F.sequence((first / side).cast("int"), (last / side).cast("int"))))
+
+    top = F.lit(float(target.ymax - source.ymax)) + F.col("row") * float(source.res)
+    left = F.lit(float(source.xmin - target.xmin)) + F.col("col") * float(source.res)
+    sent = cells.select(*CELL, *values, tiles(top - margin, top + source.res + margin, target.nrow).alias("tile_r")).select(
+        "*", tiles(left - margin, left + source.res + margin, target.ncol).alias("tile_c"))
+    down, across = -(-target.nrow // side), -(-target.ncol // side)
+    every = spark.range(down * across).select(
+        *[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in [*CELL, *values]],
+        F.expr(f"cast(id div {across} as int)").alias("tile_r"), F.expr(f"cast(id % {across} as int)").alias("tile_c"))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        r0, c0 = (k.as_py() * side for k in key)
+        rows, cols = np.arange(r0, min(r0 + side, target.nrow)), np.arange(c0, min(c0 + side, target.ncol))
+        table = table.filter(pc.is_valid(table["row"]))
+        (fr, wr, okr), (fc, wc, okc) = (_weights(source, target, method, axis, at) for axis, at in enumerate((rows, cols)))
+        low = (int(fr[okr].min()) if okr.any() else 0, int(fc[okc].min()) if okc.any() else 0)
+        high = (int(fr[okr].max()) + 2 if okr.any() else 1, int(fc[okc].max()) + 2 if okc.any() else 1)
+        place = np.full((high[0] - low[0], high[1] - low[1]), -1, "int64")
+        sr, sc = (table[c].to_numpy().astype("int64") - low[k] for k, c in enumerate(CELL))
+        held = (sr >= 0) & (sr < place.shape[0]) & (sc >= 0) & (sc < place.shape[1])
+        place[sr[held], sc[held]] = np.flatnonzero(held)
+        ir, ic = np.where(okr, fr - low[0], 0), np.where(okc, fc - low[1], 0)
+        both = okr[:, None] & okc[None, :]
+        out = {"row": np.repeat(rows, len(cols)).astype("int32"), "col": np.tile(cols, len(rows)).astype("int32")}
+        if method == "near":
+            at = np.where(both, place[np.ix_(ir, ic)], -1).ravel()
+            picked = pa.array(at, mask=at < 0)
+            return pa.table({**out, **{v: table[v].combine_chunks().take(picked) for v in values}})
+        for v in values:
+            flat = np.append(table[v].cast(pa.float64()).to_numpy(zero_copy_only=False), np.nan)
+            known = np.where(np.append(pc.is_valid(table[v]).to_numpy(zero_copy_only=False), False), flat, np.nan)
+            total, lacking = np.zeros(both.shape), ~both
+            for dr in (0, 1):
+                for dc in (0, 1):
+                    w = np.outer(wr if dr else 1 - wr, wc if dc else 1 - wc)
+                    corner = known[place[np.ix_(np.minimum(ir + dr, place.shape[0] - 1), np.minimum(ic + dc, place.shape[1] - 1))]]
+                    lacking |= (w > 0) & np.isnan(corner)
+                    total += np.where(w > 0, np.nan_to_num(corner) * w, 0.0)
+            out[v] = pa.array(total.ravel(), mask=lacking.ravel())
+        return pa.table(out)
+
+    kinds = [cells.schema[v].dataType if method == "near" else T.DoubleType() for v in values]
+    schema = T.StructType([*(T.StructField(c, T.IntegerType()) for c in CELL), *(T.StructField(v, k) for v, k in zip(values, kinds, strict=True))])
+    return sent.unionByName(every).groupBy("tile_r", "tile_c").applyInArrow(run, schema)
 
 
 def mosaic(tiles: DataFrame, value: str, order: str, by: list[str] | None = None) -> DataFrame:

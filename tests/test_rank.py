@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from emberline.operators import rank
+from pyspark.sql import functions as F
 
 
 def table(spark, values, **more):
@@ -65,3 +66,24 @@ def test_share_counts_reference_rows_only(spark):
     got = rank.share_at_or_below(df.selectExpr("v", "ref and v is not null as ref", "g"), "v", "ref", ["g"]).toPandas()
     got = got.set_index("v")["percentile"]
     assert got[3.0] == pytest.approx(200 / 3) and got[5.0] == 100 and got[np.nan:].isna().all()
+
+
+def test_a_value_on_half_of_the_rows_is_no_hot_task(spark):
+    n = 40_000
+    rng = np.random.default_rng(1)
+    v = np.where(np.arange(n) % 2 == 0, 7.0, rng.integers(0, 9000, n) / 10)
+    v[1::50] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "v": v})).withColumn("v", F.nullif("v", F.lit(float("nan"))))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = rank.mid_rank(df, "v", out="r")
+        sizes = sorted(r["count"] for r in ranked.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        got = ranked.orderBy("i").toPandas()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    np.testing.assert_allclose(got["r"], pd.Series(v).rank(method="average"))
+    assert set(got["r_n"].dropna()) == {int(np.isfinite(v).sum())}

@@ -86,6 +86,39 @@ def test_bilinear_reproduces_a_plane(grid_of, to_array):
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
+@pytest.mark.parametrize("target", [GridSpec(-40, 150, 2.5, 80, 60), GridSpec(13, 101, 61, 3, 4), GridSpec(40, 90, 7, 9, 8), GridSpec(500, 90, 7, 9, 8)])
+def test_looked_up_by_tiles_as_cell_by_cell(grid_of, to_array, monkeypatch, target):
+    monkeypatch.setattr(raster, "REGRID_SIDE", 24)
+    rng = np.random.default_rng(2)
+    a = rng.random((5, 7))
+    a[rng.random(a.shape) < 0.2] = np.nan
+    df, grid = grid_of(a)
+    sparse = df.filter("row <> 1 or col <> 2")
+    a[1, 2] = np.nan
+    near = to_array(raster.align(sparse, grid, target, ["value"], "near"), target, "value")
+    both = raster.align(sparse, grid, target, ["value"], "bilinear")
+    assert both.count() == target.ncell
+    smooth = to_array(both, target, "value")
+    for r in range(target.nrow):
+        for c in range(target.ncol):
+            y, x = (grid.ymax - (target.ymax - (r + .5) * target.res)) / 25, (target.xmin + (c + .5) * target.res - grid.xmin) / 25
+            inside = 0 <= y < 5 and 0 <= x < 7
+            assert near[r, c] == pytest.approx(a[int(np.floor(y)), int(np.floor(x))] if inside else np.nan, nan_ok=True)
+            want = np.nan
+            if 0 <= y <= 5 and 0 <= x <= 7:
+                fy, fx = min(max(y - .5, 0), 4), min(max(x - .5, 0), 6)
+                ry, rx = int(fy), int(fx)
+                w = [((1 - fy + ry if not i else fy - ry) * (1 - fx + rx if not j else fx - rx), ry + i, rx + j) for i in (0, 1) for j in (0, 1)]
+                want = sum(k * a[i, j] for k, i, j in w if k > 0)
+            assert smooth[r, c] == pytest.approx(want, nan_ok=True)
+
+
+def test_near_keeps_types(spark):
+    df = spark.createDataFrame([(0, 0, "a"), (1, 1, None)], "row int, col int, name string")
+    got = raster.align(df, GridSpec(0, 50, 25, 2, 2), GridSpec(0, 50, 12.5, 4, 4), ["name"], "near")
+    assert got.schema["name"].dataType.simpleString() == "string" and got.filter("name = 'a'").count() == 4 and got.count() == 16
+
+
 def test_average_with_cells_that_straddle(grid_of, to_array):
     df, grid = grid_of(np.array([[0.0, 10.0, 20.0]]))
     target = GridSpec(0, 25, 37.5, 1, 2)
