@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -284,8 +286,8 @@ def downscaled_weather(i: Inputs) -> DataFrame:
     _ZONES, _CURVE, _DOWN, _recurrence("down", "zone")))
 def zonal_fwi_painted(i: Inputs) -> DataFrame:
     zones = cut_lineage(_zones(i))
-    days = zonal.zonal_fwi(_down(i, zones))
-    wanted = days.filter(F.col("date").isin(*[F.to_date(F.lit(d)) for d in ("1997-06-10", "1999-08-15", "2000-07-01")]))
+    dates = [dt.date(1997, 6, 10), dt.date(1999, 8, 15), dt.date(2000, 7, 1)]
+    wanted = zonal.zonal_fwi(_down(i, zones), dates=dates)
     return _short(zonal.paint(zones, wanted), ["value"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.errors import RoleRefused
@@ -10,6 +10,7 @@ from emberline.functions.scalars import metric_tile_key, tile_key
 from emberline.grid import CELL, GridSpec, Layer
 from emberline.operators.provenance import Provenance
 from emberline.operators.raster import align, mosaic
+from emberline.session import hold
 
 
 def elevation(tiles: DataFrame, source: GridSpec, target: GridSpec, value: str = "elev", order: str = "tile") -> DataFrame:
@@ -41,9 +42,48 @@ def structure(cells: DataFrame, source: GridSpec, target: GridSpec, variable: st
     return Layer(align(cells, source, target, [variable], "bilinear"), target, variable, "metric", units, prov)
 
 
-def danger_series(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """A landed ``(date, row, col, value)`` series; date bounds prune partitions."""
-    df = spark.read.parquet(path).select(F.col("date").cast("date").alias("date"), *CELL, F.col("value").cast("double").alias("value"))
+def block_key(row: Column, col: Column, side: int) -> Column:
+    """Name of the square block of cells that holds a cell."""
+    return F.concat_ws("_", F.floor(row / side).cast("int"), F.floor(col / side).cast("int"))
+
+
+def write_dated(df: DataFrame, path: str, side: int = 512) -> None:
+    """Land a ``(date, row, col, value)`` series under its dates and square blocks of cells.
+
+    Rows are dealt by ranges of date, block and cell, so a crowded date is written by as many tasks as it calls for.
+    """
+    keyed = df.select("date", block_key(F.col("row"), F.col("col"), side).alias("block"), *CELL, "value")
+    keyed.repartitionByRange("date", "block", *CELL).write.mode("overwrite").partitionBy("date", "block").parquet(path)
+
+
+def blocks_of_area(area: DataFrame, grid: GridSpec, side: int = 512, rings: str = "rings") -> DataFrame:
+    """Blocks that the boxes of an area's polygons meet, a row each (``tr``, ``tc``, ``block``)."""
+    def ends(axis: str) -> tuple[Column, Column]:
+        v = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[axis])))
+        return F.array_min(v), F.array_max(v)
+
+    (x0, x1), (y0, y1) = ends("x"), ends("y")
+    res, last = float(grid.res), [(n - 1) // side for n in (grid.nrow, grid.ncol)]
+
+    def span(low: Column, high: Column, top: int) -> Column:
+        first = F.greatest(F.floor(F.floor(low / res) / side), F.lit(0))
+        end = F.least(F.floor((F.ceil(high / res) - 1) / side), F.lit(top))
+        return F.explode(F.when(first <= end, F.sequence(first.cast("int"), end.cast("int"))))
+
+    met = area.select(span(F.lit(float(grid.ymax)) - y1, F.lit(float(grid.ymax)) - y0, last[0]).alias("tr"),
+                      (x0 - float(grid.xmin)).alias("_l"), (x1 - float(grid.xmin)).alias("_h"))
+    return met.select("tr", span(F.col("_l"), F.col("_h"), last[1]).alias("tc")).distinct().withColumn(
+        "block", F.concat_ws("_", "tr", "tc"))
+
+
+def danger_series(spark: SparkSession, path: str, first: str | None = None, last: str | None = None,
+                  blocks: DataFrame | None = None) -> DataFrame:
+    """A landed ``(date, row, col, value)`` series; dates prune folders when planned, ``blocks`` of an area while it runs."""
+    df = spark.read.parquet(path)
+    if blocks is not None:
+        # Written once, so its size is known: a small area is broadcast and prunes the scan.
+        df = df.join(hold(blocks.select("tr", "block"), "area-blocks").filter("tr >= 0"), "block").drop("tr", "block")
+    df = df.select(F.col("date").cast("date").alias("date"), *CELL, F.col("value").cast("double").alias("value"))
     if first is not None:
         df = df.filter(F.col("date") >= F.lit(first).cast("date"))
     if last is not None:

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.errors import BadWeather
-
 _HOURLY = ["temperature_2m", "relative_humidity_2m", "wind_speed_10m", "precipitation"]
 HOURLY_SCHEMA = T.StructType([
     T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()),
@@ -21,17 +19,26 @@ HOURLY_SCHEMA = T.StructType([
 def read_hourly_json(spark: SparkSession, path: str, stations: list[int]) -> tuple[DataFrame, DataFrame]:
     """Hourly rows and the served-cell table of one response file.
 
-    A file holds one object, or an array with one object per requested point.  Points
-    are matched by position, so their number must agree.
+    A file holds one object, or an array with one object per requested point, each of which is a row as it is read.
+    Points are matched by position; a task that finds one too many, or one without a series, fails.
     """
-    text = spark.read.option("wholetext", True).text(path)
-    wrapped = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    series = text.select(F.posexplode(F.from_json(wrapped, T.ArrayType(HOURLY_SCHEMA))).alias("pos", "s"))
-    got = series.count()
-    if got != len(stations):
-        raise BadWeather(f"asked for {len(stations)} points, got {got} series")
-    ids = F.array(*[F.lit(i) for i in stations])
-    named = series.select(F.element_at(ids, F.col("pos") + 1).alias("id"), "s.*")
+    asked = spark.createDataFrame(list(enumerate(stations)), "pos long, id long")
+    # One response is one file and so one partition: the low bits of the number are the place in it.
+    series = spark.read.schema(HOURLY_SCHEMA).option("multiLine", True).json(path).withColumn(
+        "pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    both = series.withColumn("_got", F.lit(True)).join(asked, "pos", "full")
+    wrong = F.col("_got").isNull() | F.col("id").isNull()
+    refused = F.raise_error(F.lit(f"BadWeather: asked for {len(stations)} points, the response has another number"))
+    named = both.withColumn("id", F.when(wrong, refused.cast("long")).otherwise(F.col("id")))
+    return _opened(named)
+
+
+def read_hourly_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`read_hourly_json`, of landed lines: a point with its ``id`` on each, so that files are read in parts."""
+    return _opened(spark.read.schema(T.StructType([T.StructField("id", T.LongType()), *HOURLY_SCHEMA])).json(path))
+
+
+def _opened(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     served = named.select("id", F.col("latitude").alias("cell_lat"), F.col("longitude").alias("cell_long"),
                           F.col("elevation").alias("elev_m"))
     h = F.col("hourly")
@@ -42,6 +49,17 @@ def read_hourly_json(spark: SparkSession, path: str, stations: list[int]) -> tup
     return hourly, served
 
 
+def hourly_lines(hourly: DataFrame, served: DataFrame) -> DataFrame:
+    """Hourly rows and served cells as one response object a station, for landing as lines."""
+    by_time = F.array_sort(F.collect_list(F.struct("ts", "temp", "rh", "ws", "prec")))
+    names = dict(zip(_HOURLY, ("temp", "rh", "ws", "prec"), strict=True))
+    series = hourly.groupBy("id").agg(by_time.alias("h")).select("id", F.struct(
+        F.transform("h", lambda x: F.date_format(x["ts"], "yyyy-MM-dd'T'HH:mm")).alias("time"),
+        *[F.col(f"h.{c}").alias(name) for name, c in names.items()]).alias("hourly"))
+    return series.join(served, "id", "left").select(
+        "id", F.col("cell_lat").alias("latitude"), F.col("cell_long").alias("longitude"), F.col("elev_m").alias("elevation"), "hourly")
+
+
 def noon_day(ts, hour: int) -> Column:
     """Date of the daily record an hourly row belongs to: the 24 hours that end at ``hour``."""
     c = F.col(ts) if isinstance(ts, str) else ts

@@ -10,6 +10,7 @@ from emberline.functions.constants import FUEL_TYPES, NOMENCLATURES
 from emberline.grid import GridSpec, Layer
 from emberline.operators import fuel, provenance
 from emberline.operators.provenance import Provenance
+from emberline.operators.raster import rectangle
 from emberline.sources import burnt, clearcut, landcover, lidar, lookup, rasters, scenes, stack_io, weather
 from pyspark.sql import functions as F
 
@@ -63,8 +64,29 @@ def test_hourly_json_to_days(spark, tmp_path, n):
     late = weather.daily_from_hourly(hourly, 12, "2021-08-16")
     assert late.count() == n
     assert weather.with_served(late, served).filter("elev_m is null").count() == 0
-    with pytest.raises(BadWeather):
-        weather.read_hourly_json(spark, str(f), list(range(n + 1)))
+    for wrong in (n + 1, n - 1):
+        with pytest.raises(Exception, match="BadWeather"):
+            weather.read_hourly_json(spark, str(f), list(range(wrong)))[0].collect()
+    lines = str(tmp_path / "lines")
+    weather.hourly_lines(hourly, served).write.json(lines)
+    again, cells = weather.read_hourly_lines(spark, lines)
+    assert sorted(again.collect()) == sorted(hourly.collect()) and sorted(cells.collect()) == sorted(served.collect())
+
+
+def test_dated_grids_prune_by_dates_and_by_the_areas_blocks(spark, tmp_path):
+    grid, path = GridSpec(0, 100, 1, 100, 100), str(tmp_path / "dated")
+    cells = grid.cells(spark).withColumn("value", F.col("row") * 1000.0 + F.col("col"))
+    rows = cells.withColumn("date", F.explode(F.sequence(F.lit("2020-06-01").cast("date"), F.lit("2020-06-05").cast("date"))))
+    rasters.write_dated(rows, path, side=25)
+    box = spark.createDataFrame([(1, 30.0, 10.0, 49.0, 20.0)], "fid int, a double, b double, c double, d double")
+    area = box.select("fid", rectangle("a", "b", "c", "d").alias("rings"))
+    got = rasters.danger_series(spark, path, "2020-06-02", "2020-06-03", rasters.blocks_of_area(area, grid, 25))
+    got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "PartitionFilters: [isnotnull(date" in plan
+    want = {(d, r, c) for d in (2, 3) for r in range(75, 100) for c in range(25, 50)}
+    assert {(x["date"].day, x["row"], x["col"]) for x in got.collect()} == want
+    assert all(x["value"] == x["row"] * 1000 + x["col"] for x in got.collect())
 
 
 def test_burnt_preparation(spark):
