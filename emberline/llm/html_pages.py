@@ -27,6 +27,8 @@ PROSE = [
     "div role='alert'", "div role='complementary'", "div class='author bio'", "div id='sidebar'", "section class='discussion responses'",
     "div class='warning message'", "div class='consent gdpr privacy'",
 ]
+#: One page in so many has its article's elements right in the body, half of these nothing else.
+BARE = 5
 HIDDEN = ["script", "style", "noscript", "template", "svg", "iframe"]
 
 
@@ -54,12 +56,14 @@ def labelled_pages(n: int = 1500, seed: int = 3) -> list[str]:
             return wrap(draw.choice(LINKS), "b", links())
         return wrap(draw.choice(PROSE), "b", prose(2, 25))
 
-    def article() -> str:
+    def article(bare: bool = False) -> str:
+        """An article, or with ``bare`` its elements without anything around them, at times of plain divisions."""
+        block = "div" if bare and draw.random() < 0.4 else "p"
         parts = [f"<h1>{words(2, 8)}</h1>"] if draw.random() < 0.8 else []
         for _ in range(draw.choice([1, 2, 4, 8, 16])):
             kind = draw.random()
             if kind < 0.72:
-                parts.append(f"<p>{words(1, draw.choice([3, 30, 120]))}</p>")
+                parts.append(f"<{block}>{words(1, draw.choice([3, 30, 120]))}</{block}>")
             elif kind < 0.8:
                 parts.append(f"<h2>{words(1, 6)}</h2>")
             elif kind < 0.86:
@@ -70,14 +74,18 @@ def labelled_pages(n: int = 1500, seed: int = 3) -> list[str]:
                 parts.append(f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>")
             else:
                 parts.append(boilerplate())
+        if bare:
+            return "".join(p if " data-y=b>" in p.split("<", 2)[1] else p.replace(">", " data-y=c>", 1) for p in parts)
         inner = "".join(parts)
         if draw.random() < 0.2:
             inner = wrap("div", "c", inner)
         return wrap(draw.choice(CONTENT), "c", inner)
 
     pages = []
-    for _ in range(n):
-        parts = [boilerplate() for _ in range(draw.randint(0, 3))] + [article()] + [boilerplate() for _ in range(draw.randint(0, 4))]
+    for k in range(n):
+        parts = [boilerplate() for _ in range(draw.randint(0, 3))] + [article(k % BARE == 0)] + [boilerplate() for _ in range(draw.randint(0, 4))]
+        if k % (2 * BARE) == 0:
+            parts = [article(True)]  # a page of nothing else
         if draw.random() < 0.1:
             parts.insert(0, article())
         body = "".join(parts)

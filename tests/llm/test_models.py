@@ -181,3 +181,12 @@ def test_parser_never_fails(model):
         nodes, runs = extraction.parse(page)
         assert all(n.parent < i for i, n in enumerate(nodes)) and all(0 <= b < len(nodes) for b, _ in runs)
         model.extract(page)
+
+
+def test_pages_of_bare_paragraphs_keep_them_all(model):
+    for head, tail in (("", ""), ("<h1>Of words</h1>", ""), ("<nav><ul><li><a href='/'>home page</a></li></ul></nav>", "<footer>copyright someone</footer>")):
+        for count in (1, 3, 12):
+            for size in (6, 16, 40, 120):
+                paragraphs = [" ".join(f"word{k}x{i}"[:3 + (k + i) % 6] for i in range(size)) for k in range(count)]
+                got = model.extract("<html><body>" + head + "".join(f"<p>{p}</p>" for p in paragraphs) + tail + "</body></html>")
+                assert got == " ".join(["Of words"] * ("h1" in head) + paragraphs)
