@@ -116,15 +116,45 @@ def test_search_against_brute_force(spark, monkeypatch):
     rows += [(301, None), (302, [1.0, None]), (350, [float("nan")] * 17), (303, [float("inf")] + [0.0] * 16), (304, []), (305, [0.5, 0.25]),
              (None, [1.0] * 17), (400, [0.0] * 17)] + [(500 + i, rows[50][1]) for i in range(20)]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, v int, shard string")
-    for size in (8192, 32):
-        monkeypatch.setattr(topk, "SHARD_ROWS", size)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 23)
+    for values, block in ((1 << 20, 4096), (64 * 17, 3), (64 * 17, 4096)):
+        monkeypatch.setattr(topk, "SHARD_VALUES", values)
+        monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
         got = sorted(tuple(r) for r in topk.top_k(df).collect())
         assert got == brute_top(rows)
     assert topk.top_k(df.limit(0)).collect() == []
+    empty = spark.createDataFrame([(0, []), (7, []), (9, [])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(empty).collect()) == [(0, 1, 7, 0), (0, 2, 9, 0)]
+    big = [(i, [float(x) for x in rng.normal(size=9) * 1e6]) for i in range(200)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    want = [(q, n, i, s) for q, n, i, s in brute_top([(i, [np.float32(x) for x in v]) for i, v in big])]
+    assert sorted(tuple(r) for r in topk.top_k(df.withColumn("embedding", df["embedding"].cast("array<float>"))).collect()) == want
     few = spark.createDataFrame([(0, [1.0]), (50, [2.0]), (7, [-1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.top_k(few).collect()) == brute_top([(0, [1.0]), (50, [2.0]), (7, [-1.0])])
 
 
+def test_non_essential_terms_cannot_reach_the_bar_alone():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-90, 90, (4000, 64)).astype("float64")
+    rows[77] = np.rint(rows[5] * 0.9)
+    low, high = rows.min(axis=0), rows.max(axis=0)
+    sizes = []
+    for q in (5, 9, 11):
+        scores = rows @ rows[q]
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(4000), -scores))[:5]
+        spread = np.maximum(rows[q] * low, rows[q] * high) - np.minimum(rows[q] * low, rows[q] * high)
+        bottom = np.minimum(rows[q] * low, rows[q] * high).sum()
+        for bar in (-np.inf, scores[want[-1]]):
+            essential, others = topk.essential_terms(spread, np.argsort(spread, kind="stable"), bar - bottom)
+            assert bottom + spread[others].sum() < bar or not len(others)
+            assert sorted([*essential, *others]) == list(range(64))
+            sizes.append(len(essential))
+            at, score = topk.best_of_shard(rows[q], rows, low, high, np.arange(4000), q, 5, bar)
+            assert at.tolist() == want.tolist() and score.tolist() == scores[want].tolist()
+    assert sizes[0] == 64 and max(sizes[1::2]) < 64
+
+
 def test_scores_that_overflow_are_refused(spark):
     df = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<float>")
     with pytest.raises(OverflowError):
