@@ -356,7 +356,10 @@ def population_regridded(i: Inputs) -> DataFrame:
 
 
 @query("population_drift", "S13", sql(
-    f"""SELECT {rd('sum(pop)')} AS before, {rd('sum(pop)')} AS after, {rd('0')} AS drift_pct FROM cells"""))
+    f"""SELECT {rd('b')} AS before, {rd('a')} AS after, {rd('100 * (a - b) / greatest(b, 1)')} AS drift_pct FROM (SELECT sum(pop) AS b FROM cells), (SELECT sum(v) AS a FROM share)""",
+    """share AS (SELECT tr, tc, sum(pop * (least(c * 25 + 25, tc * 60 + 60) - greatest(c * 25, tc * 60)) * (least(r * 25 + 25, tr * 60 + 60) - greatest(r * 25, tr * 60)) / 625.0) AS v
+       FROM (SELECT *, unnest(range(r * 25 // 60, (r * 25 + 24) // 60 + 1)) AS tr FROM cells), LATERAL (SELECT unnest(range(c * 25 // 60, (c * 25 + 24) // 60 + 1)) AS tc)
+       GROUP BY tr, tc)"""))
 def population_drift(i: Inputs) -> DataFrame:
     from emberline.sources.rasters import population, population_drift
 
