@@ -133,6 +133,78 @@ def day_of_one(f0, p0, d0, t, h, w, p, month, lat, lat_adjust=True):
     return out if not any(isinstance(x, complex) or not math.isfinite(x) for x in out) else None
 
 
+#: Days from which on arrays over one station's days are faster than its numbers day by day.
+FEW_DAYS = 8
+#: Drought codes beyond this are left to the equations day by day: the drying term vanishes from double precision.
+FAR_DC = 2e5
+
+
+def days_of_one(codes, t, h, w, p, month, lat, lat_adjust=True) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """As repeated :func:`day_of_one` over one station's days in order: seven outputs a day and the last three codes.
+
+    An unknown day is a row of NaN and leaves the codes as they were.  What does not depend on yesterday is computed for all
+    days at once, and so is what follows from the day's codes; only the step from code to code runs day by day.  Where an
+    intermediate value is beyond double precision, the plain equations decide day by day.
+    """
+    if len(t) >= FEW_DAYS and 0 <= codes[0] <= 101 and 0 <= codes[1] < np.inf and 0 <= codes[2] <= FAR_DC:
+        with np.errstate(all="ignore"):
+            known = np.isfinite(t) & np.isfinite(h) & np.isfinite(w) & np.isfinite(p) & np.isfinite(lat) & (h >= 0) & (w >= 0)
+            at = np.flatnonzero(known)
+            out = np.full((len(t), 7), np.nan)
+            try:
+                got = _known_days(codes, *[x[at] for x in (t, h, w, p, month, lat)], lat_adjust)
+            except (ValueError, OverflowError, ZeroDivisionError):
+                got = None
+        if got is not None and np.isfinite(got).all() and (not len(got) or got[:, 2].max() <= FAR_DC):
+            out[at] = got
+            return out, tuple(got[-1, :3].tolist()) if len(got) else tuple(codes)
+    out, codes = [], tuple(codes)
+    for x in zip(*[v.tolist() for v in (t, h, w, p, month, lat)], strict=True):
+        got = day_of_one(*codes, *x, lat_adjust)
+        codes = codes if got is None else got[:3]
+        out.append((np.nan,) * 7 if got is None else got)
+    return np.array(out, dtype="float64").reshape(-1, 7), codes
+
+
+def _known_days(codes, t, h, w, p, month, lat, lat_adjust) -> np.ndarray | None:
+    """Seven outputs of a station's days without unknown inputs; None where a term of the weather alone is not finite."""
+    h = np.minimum(h, 99.9999)
+    le, lf = day_factors(lat, month, lat_adjust)
+    rf, root_rf, dry_rf = (x := np.maximum(p - 0.5, 1e-12)), np.sqrt(x), 1 - np.exp(-6.93 / x)
+    side = 0.18 * (21.1 - t) * (1 - np.exp(-0.115 * h))
+    ed = 0.942 * h ** 0.679 + 11 * np.exp((h - 100) / 10) + side
+    ew = 0.618 * h ** 0.753 + 10 * np.exp((h - 100) / 10) + side
+    warm, gust = 0.581 * np.exp(0.0365 * t), np.exp(0.05039 * w)
+    kept = [10 ** -((0.424 * (1 - x ** 1.7) + 0.0694 * np.sqrt(w) * (1 - x ** 8)) * warm) for x in (h / 100, (100 - h) / 100)]
+    rk = 1.894 * (np.maximum(t, -1.1) + 1.1) * (100 - h) * le * 1e-4
+    pe = np.maximum(0, (0.36 * (np.maximum(t, -2.8) + 2.8) + lf) / 2)
+    terms = [p, rf, root_rf, dry_rf, ed, ew, *kept, rk, pe]
+    if not all(np.isfinite(x).all() for x in (*terms, warm, gust)):
+        return None
+    exp, log, (f, d, c), out = math.exp, math.log, codes, []
+    for rain, rf, root, drying, ed, ew, dry, damp, rk, pe in zip(*[x.tolist() for x in terms], strict=True):
+        mo = 147.2 * (101 - f) / (59.5 + f)
+        if rain > 0.5:
+            wet = mo + 42.5 * rf * exp(-100 / (251 - mo)) * drying
+            mo = min(wet + 0.0015 * (mo - 150) ** 2 * root if mo > 150 else wet, 250)
+        left = ed + (mo - ed) * dry if mo > ed else ew - (ew - mo) * damp if mo < ew else mo
+        f = min(max(59.5 * (250 - left) / (147.2 + left), 0.0), 101.0)
+        if rain > 1.5:
+            b = 100 / (0.5 + 0.3 * d) if d <= 33 else 14 - 1.3 * log(d) if d <= 65 else 6.2 * log(d) - 17.2
+            rw = 0.92 * rain - 1.27
+            mr = 20 + exp(5.6348 - d / 43.43) + 1000 * rw / (48.77 + b * rw)
+            d = max(0.0, 43.43 * (5.6348 - log(max(mr - 20, 1e-9))))
+        d = max(0.0, d + rk)
+        if rain > 2.8:
+            c = max(0.0, c - 400 * log(1 + 3.937 * (0.83 * rain - 1.27) / (800 * exp(-c / 400))))
+        c = max(0.0, c + pe)
+        out.append((f, d, c))
+    f, d, c = np.array(out, dtype="float64").reshape(-1, 3).T
+    i, u = isi(f, w), bui(d, c)
+    v = fwi(i, u)
+    return np.stack([f, d, c, i, u, v, 0.0272 * v ** 1.77], axis=1)
+
+
 def band_of_one(lat: float) -> tuple[int, int]:
     """Rows of the DMC and DC day-length factors of a latitude."""
     return next(k for k, low in enumerate((30, 10, -10, -30, -math.inf)) if lat >= low), 0 if lat > 20 else 1 if lat >= -20 else 2

@@ -32,10 +32,13 @@ def daily_stream(hourly: DataFrame, hour: int = 12, late: str = "2 hours") -> Da
         F.col("n.ws").alias("ws"), "prec")
 
 
-CODE_SCHEMA = ("id long, date date, ffmc double, dmc double, dc double, isi double, bui double, fwi double, dsr double, "
-               "status string")
 STATE_SCHEMA = "ffmc double, dmc double, dc double, last date"
 _CODES = ["ffmc", "dmc", "dc", "isi", "bui", "fwi", "dsr"]
+#: Numbers of the statuses on their way back from Python, in which dates are days since 1970 too.
+STATUS = ["ok", "gap", "unknown", "rejected"]
+_OK, _GAP, _UNKNOWN, _REJECTED = range(4)
+_EPOCH = dt.date(1970, 1, 1)
+_OUT_SCHEMA = "id long, day int, ffmc double, dmc double, dc double, isi double, bui double, fwi double, dsr double, status int"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,32 +52,29 @@ class StationCodes(StatefulProcessor):
         self.state = handle.getValueState("codes", STATE_SCHEMA, self.forget_ms)
 
     def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.state.exists():
-            *codes, last = self.state.get()
-        else:
-            codes, last = list(self.first), None
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("date", kind="stable", ignore_index=True)
-        inputs = pdf[["temp", "rh", "ws", "prec", "lat"]].to_numpy(dtype="float64", na_value=np.nan).tolist()
-        dates = [d if isinstance(d, dt.date) else pd.Timestamp(d).date() for d in pdf["date"]]
-        out = []
-        for date, (temp, rh, ws, prec, lat) in zip(dates, inputs, strict=True):
-            if last is not None and date <= last:
-                out.append((*[None] * 7, "rejected"))
-                continue
-            got = eq.day_of_one(*codes, temp, rh, ws, prec, date.month, lat, self.lat_adjust)
-            gap = last is not None and (date - last).days > 1
-            last = date
-            if got is None:
-                out.append((*[None] * 7, "unknown"))
-            else:
-                codes = list(got[:3])
-                out.append((*got, "gap" if gap else "ok"))
+        held = self.state.get() if self.state.exists() else None
+        codes, last = (held[:3], (held[3] - _EPOCH).days) if held else (self.first, None)
+        parts = list(rows)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        day = pdf["day"].to_numpy("int64")
+        order = np.argsort(day, kind="stable")
+        day = day[order]
+        # A day that is not after the one before it, or not after the last one seen, is rejected before any step.
+        before = np.r_[day[0] if last is None else last, day[:-1]]
+        late = np.r_[False if last is None else day[0] <= last, day[1:] == day[:-1]]
         if last is not None:
-            self.state.update((*codes, last))
-        result = pd.DataFrame(out, columns=[*_CODES, "status"]).astype(dict.fromkeys(_CODES, "float64"))
-        result.insert(0, "date", dates)
-        result.insert(0, "id", key[0])
-        yield result
+            late |= day <= last
+            before = np.maximum(before, last)
+        status = np.where(late, _REJECTED, np.where(day - before > 1, _GAP, _OK))
+        new = np.flatnonzero(~late)
+        temp, rh, ws, prec, lat = (pdf[c].to_numpy(dtype="float64", na_value=np.nan)[order[new]] for c in ("temp", "rh", "ws", "prec", "lat"))
+        month = day[new].astype("datetime64[D]").astype("datetime64[M]").astype("int64") % 12 + 1
+        got, codes = eq.days_of_one(codes, temp, rh, ws, prec, month, lat, self.lat_adjust)
+        status[new[np.isnan(got[:, 0])]] = _UNKNOWN
+        self.state.update((*codes, _EPOCH + dt.timedelta(days=int(max(day[-1], before[-1])))))
+        out = np.full((len(day), 7), np.nan)
+        out[new] = got
+        yield pd.DataFrame({"id": np.full(len(day), key[0]), "day": day.astype("int32"), **dict(zip(_CODES, out.T, strict=True)), "status": status.astype("int32")})
 
     def close(self) -> None:
         pass
@@ -95,7 +95,9 @@ def codes_stream(daily: DataFrame, init: dict[str, float] | None = None, lat_adj
     spark, key = daily.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     if "HDFSBacked" in spark.conf.get(key):
         spark.conf.set(key, _ROCKS)
-    rows = daily.filter(F.col("date").isNotNull()).select(F.col("id").cast("long").alias("id"), "date", *[F.col(c).cast("double").alias(c) for c in ("lat", "temp", "rh", "ws", "prec")])
+    rows = daily.filter(F.col("date").isNotNull()).select(
+        F.col("id").cast("long").alias("id"), F.unix_date(F.col("date").cast("date")).alias("day"), *[F.col(c).cast("double").alias(c) for c in ("lat", "temp", "rh", "ws", "prec")])
     codes = StationCodes((start["ffmc"], start["dmc"], start["dc"]), lat_adjust, forget_ms)
-    return rows.groupBy("id").transformWithStateInPandas(
-        codes, CODE_SCHEMA, "Append", "None" if forget_ms is None else "ProcessingTime")
+    out = rows.groupBy("id").transformWithStateInPandas(codes, _OUT_SCHEMA, "Append", "None" if forget_ms is None else "ProcessingTime")
+    names = F.array(*[F.lit(s) for s in STATUS])
+    return out.select("id", F.date_from_unix_date("day").alias("date"), *_CODES, F.get(names, F.col("status")).alias("status"))

@@ -111,3 +111,48 @@ def test_assemble_puts_north_west_first(spark):
     assert (spec.nrow, spec.ncol, spec.res) == (2, 2, 1.0)
     with pytest.raises(BadWeather):
         fwi.lattice_spec(df.unionByName(df.limit(1).selectExpr("43.7 as lat", "6.3 as long", "v", "yr", "mon", "day")))
+
+
+def test_one_station_by_arrays_agrees_with_day_by_day():
+    rng = np.random.default_rng(3)
+    for n, odd in ((0, []), (3, []), (400, []), (400, [(0, np.nan), (0, 2e4), (1, -1.0), (2, -3.0), (3, np.inf), (4, np.nan)]), (60, [(2, 1.5e4)])):
+        days = [rng.integers(-60, 350, n) / 10, rng.integers(0, 101, n) * 1.0, rng.integers(0, 60, n) * 1.0, rng.choice([0.0, 0.5, 1.5, 1.6, 2.9, 45.0], n),
+                rng.choice([46.0, 20.0, -20.0, -31.0], n)]
+        for j, v in odd:
+            days[j][rng.integers(0, n)] = v
+        t, h, w, p, lat = days
+        month = rng.integers(1, 13, n)
+        codes, want = (85.0, 6.0, 15.0), []
+        for x in zip(t.tolist(), h.tolist(), w.tolist(), p.tolist(), month.tolist(), lat.tolist(), strict=True):
+            got = eq.day_of_one(*codes, *x)
+            codes = codes if got is None else got[:3]
+            want.append((np.nan,) * 7 if got is None else got)
+        got, last = eq.days_of_one((85.0, 6.0, 15.0), t, h, w, p, month, lat)
+        np.testing.assert_allclose(got, np.array(want).reshape(-1, 7), rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(last, codes, rtol=1e-9)
+
+
+def test_a_long_series_is_not_computed_day_by_day(monkeypatch):
+    from emberline.streaming.weather_stream import StationCodes
+
+    class Handle:
+        def getValueState(self, *a):  # noqa: N802
+            return self
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            self.value = value
+
+    handle, days = Handle(), 500
+    codes = StationCodes((85.0, 6.0, 15.0), True, None)
+    codes.init(handle)
+    first = dt.date(2020, 1, 1)
+    rows = pd.DataFrame({"id": 7, "date": [first + dt.timedelta(days=k) for k in range(days)], "day": (first - dt.date(1970, 1, 1)).days + np.arange(days),
+                         "lat": 46.0, "temp": 20.0, "rh": 40.0, "ws": 10.0, "prec": [4.0 * (k % 9 == 0) for k in range(days)]})
+    calls, one = [], eq.day_of_one
+    monkeypatch.setattr(eq, "day_of_one", lambda *a: calls.append(a) or one(*a))
+    (out,) = codes.handleInputRows((7,), iter([rows]), None)
+    assert len(out) == days and out["fwi"].notna().all() and handle.value[3] == first + dt.timedelta(days=days - 1)
+    assert not calls
