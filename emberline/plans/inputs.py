@@ -17,6 +17,8 @@ from emberline.operators.raster import rectangle
 from emberline.sources.lookup import builtin_lookup
 
 RES = 25.0
+#: Cells of one part where bands are dealt by cell; a cell has a few lines.
+PART_CELLS = 1 << 16
 
 
 class Inputs:
@@ -122,10 +124,17 @@ class Inputs:
                                            F.col("o_orderpriority").alias("tile"), (cents % 10001 / 100).alias("cloud"))
 
     def bands(self) -> DataFrame:
-        """Two bands per scene (line number), tile (supplier) and cell (order)."""
-        g = self.table("lineitem").groupBy(F.col("l_linenumber").alias("scene"), F.col("l_suppkey").alias("tile"), "l_orderkey").agg(
+        """Two bands per scene (line number), tile (supplier) and cell (order).
+
+        Rows are dealt by cell once, and every later step by cell, scene or tile stays there.  The number of parts follows the
+        grid, so a task holds about ``PART_CELLS`` cells whatever its size, and nothing is aggregated before rows are dealt:
+        lines of a cell lie in one part of the table or another, and a table of half a scan would save nothing.
+        """
+        parts = max(self.spark.sparkContext.defaultParallelism, math.ceil(self.grid.ncell / PART_CELLS))
+        lines = self.table("lineitem").select(
+            F.col("l_linenumber").alias("scene"), F.col("l_suppkey").alias("tile"), *self._at("l_orderkey"), "l_extendedprice", "l_quantity")
+        return lines.repartition(parts, *CELL).groupBy("scene", "tile", *CELL).agg(
             F.max("l_extendedprice").alias("nir"), F.max(F.col("l_quantity") * 1000).alias("swir"))
-        return g.select("scene", "tile", *self._at("l_orderkey"), "nir", "swir")
 
     def survey(self) -> DataFrame:
         return self.table("part").select(
