@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +43,10 @@ CLASS_RATIO = 1.3
 CROWDED_COST = 1000.0
 #: Members of a list, in a slice and in all, beyond which it is taken as belonging together.
 LONG_IN_SLICE, LONG_LIST = 64, 512
+#: Bytes of entries, and of entries with their sketches, that are moved at once for each member of all sets, and in any case.
+ENTRIES_MOVED, SKETCHED_MOVED, LEAST_MOVED = 4, 8, 1 << 26
+#: Bytes of an entry, and of one with its sketch besides the sketch.
+ENTRY_BYTES, SKETCHED_BYTES = 16, 32
 #: Stands for a null doc_id in keys.
 NAMELESS = -(1 << 63)
 FACTS = "doc long, h long, n long, set_id binary, s long, sketch binary, keys array<long>, wide array<long>, near array<long>"
@@ -337,20 +342,51 @@ def _read_lists(batches: Iterator[pa.RecordBatch], numerator: int) -> Iterator[p
     yield found()
 
 
-def _candidates(facts: DataFrame, numerator: int) -> DataFrame:
-    """node, label: sets (s) that may link with another, and their connected group."""
-    rows = facts.select("s", F.explode("keys").alias("key"), F.lit(False).alias("wide")).union(
-        facts.select("s", F.explode("wide").alias("key"), F.lit(True).alias("wide")))
+def _passes(size: int, most: int) -> int:
+    """Passes in which so many bytes are moved, so that the disk holds a share of them at a time."""
+    return max(1, -(-size // max(LEAST_MOVED, most)))
+
+
+def _shared_lists(whole: DataFrame, members: int) -> list[DataFrame]:
+    """key, s, wide: entries of the lists that more than one set is entered in, some of the keys in each table."""
+    spark = whole.sparkSession
+    n = _passes(ENTRY_BYTES * (whole.agg(F.sum(F.size("keys") + F.size("wide"))).first()[0] or 0), ENTRIES_MOVED * members)
     alone = Window.partitionBy("key")
-    shared = hold(rows.withColumn("low", F.min("s").over(alone)).withColumn("high", F.max("s").over(alone)).filter(
-        (F.col("low") < F.col("high")) | F.col("wide")).select("key", "s", "wide"), "join-lists")
-    release(facts.sparkSession)
-    drawn = facts.select("s", "n", "sketch").dropDuplicates(["s"])
-    lists = shared.join(drawn, "s").repartition("key").sortWithinPartitions("key", "s")
-    far = lists.mapInArrow(lambda batches: _read_lists(batches, numerator), "a long, b long")
+    out = []
+    for i in range(n):
+        own = F.pmod("key", F.lit(n)) == i
+        rows = whole.select("s", F.explode("keys").alias("key"), F.lit(False).alias("wide")).filter(own).union(
+            whole.select("s", F.explode("wide").alias("key"), F.lit(True).alias("wide")).filter(own))
+        out.append(hold(rows.withColumn("low", F.min("s").over(alone)).withColumn("high", F.max("s").over(alone)).filter(
+            (F.col("low") < F.col("high")) | F.col("wide")).select("key", "s", "wide"), "join-lists"))
+        del rows
+        release(spark)
+    return out
+
+
+def _candidates(whole: DataFrame, facts: DataFrame, numerator: int) -> DataFrame:
+    """node, label: sets (s) that may link with another, and their connected group.  Lets go of ``whole``.
+
+    Every list is read whole; lists are dealt into passes by their keys, as entries with their sketches can take many
+    times the texts.
+    """
+    spark = facts.sparkSession
+    members = facts.agg(F.sum("n")).first()[0] or 0
+    tables = _shared_lists(whole, members)
+    let_go(whole)
+    shared = reduce(DataFrame.union, tables)
+    drawn = hold(facts.select("s", "n", "sketch").dropDuplicates(["s"]), "join-sketches")
+    each = SKETCHED_BYTES + F.octet_length("sketch")
+    n = _passes(shared.groupBy("s").count().join(drawn, "s").agg(F.sum(F.col("count") * each)).first()[0] or 0, SKETCHED_MOVED * members)
+    found = []
+    for i in range(n):
+        lists = shared.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == i).join(drawn, "s").repartition("key").sortWithinPartitions("key", "s")
+        found.append(hold(lists.mapInArrow(lambda batches: _read_lists(batches, numerator), "a long, b long").distinct(), "join-far"))
+        del lists
+        release(spark)
     near = facts.select(F.col("s").alias("a"), F.explode("near").alias("b")).filter("a <> b")
-    edges = hold(far.union(near).distinct(), "join-candidates")
-    let_go(shared)
+    edges = hold(reduce(DataFrame.union, found).union(near).distinct(), "join-candidates")
+    let_go(*tables, drawn)
     return min_label(edges)
 
 
@@ -364,9 +400,9 @@ def _firsts(docs: DataFrame, *columns: str) -> DataFrame:
     return keyed.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 
 
-def _links(docs: DataFrame, facts: DataFrame, sets: DataFrame, words_each: int, numerator: int) -> DataFrame:
+def _links(docs: DataFrame, whole: DataFrame, facts: DataFrame, sets: DataFrame, words_each: int, numerator: int) -> DataFrame:
     """Links (a, b) between different sets, by their numbers; they span every true component."""
-    groups = _candidates(facts, numerator)
+    groups = _candidates(whole, facts, numerator)
     chosen = sets.join(groups, sets["s"] == groups["node"]).select(
         F.coalesce("first.id", F.lit(NAMELESS)).alias("_d"), F.col("first.h").alias("_h"), F.col("number").alias("rep"), F.col("label").alias("k"))
 
@@ -429,12 +465,14 @@ def _sets(docs: DataFrame, words_each: int, numerator: int) -> tuple[DataFrame,
     A set's first row is the one of least doc_id, of least text hash among those, and last of all one without an id.
     Every set takes part, whatever the ids of its rows; a root is the number of a set.
     """
-    facts = described(docs, words_each, numerator)
+    whole = described(docs, words_each, numerator)
+    # Entries are most of it and go once the lists are read.
+    facts = hold(whole.drop("keys", "wide"), "join-slim")
     first = F.min(F.struct(F.col("doc").isNull().alias("nameless"), F.col("doc").alias("id"), "h"))
     # Numbers are written with the sets, so they are read alike ever after.
     sets = hold(facts.filter("n > 0").groupBy("set_id", "s").agg(first.alias("first"), F.count("*").alias("rows")).withColumn(
         "number", F.monotonically_increasing_id()), "join-numbers")
-    labels = min_label(_links(docs, facts, sets, words_each, numerator))
+    labels = min_label(_links(docs, whole, facts, sets, words_each, numerator))
     return facts, hold(sets.join(labels, sets["number"] == labels["node"], "left").select(
         "set_id", "first", "rows", F.coalesce("label", "number").alias("root"), F.col("label").isNotNull().alias("met")), "join-roots")
 

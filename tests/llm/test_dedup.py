@@ -218,6 +218,29 @@ def test_groups_beyond_a_block_give_the_same(documents, near_rows, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(own)
 
 
+def test_lists_in_passes_give_the_same(documents, near_rows, monkeypatch):
+    # At 6 GB all entries, and all shared ones each with a sketch, stood on disk at once: over four times the texts.
+    held = []
+
+    def spied(df, name, hold=ngramjoin.hold):
+        out = hold(df, name)
+        held.append((name, {r["key"] for r in out.collect()} if name == "join-lists" else None))
+        return out
+
+    monkeypatch.setattr(ngramjoin, "hold", spied)
+    monkeypatch.setattr(ngramjoin, "LEAST_MOVED", 16_000, raising=False)
+    monkeypatch.setattr(ngramjoin, "ENTRIES_MOVED", 0, raising=False)
+    monkeypatch.setattr(ngramjoin, "SKETCHED_MOVED", 4, raising=False)
+    rows = near_rows[-110:]
+    got = ngramjoin.linked_components(documents(rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    keys = [k for name, k in held if name == "join-lists"]
+    # No list is in two passes, and each pass has a share of them.
+    assert len(keys) >= 2 and sum(map(len, keys)) == len(set().union(*keys)) > 100
+    assert max(map(len, keys)) < 0.75 * sum(map(len, keys))
+    assert sum(name == "join-far" for name, _ in held) >= 2
+
+
 def brute_rows(rows, n=4, numerator=85):
     """As brute_components, with each row a text of its own: (doc_id, size, component_id) and the component's first row."""
     named = brute_components(list(enumerate(t for _, t in rows)), n, numerator)
