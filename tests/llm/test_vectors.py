@@ -143,3 +143,33 @@ def test_few_links_are_not_looked_at_pair_by_pair(monkeypatch):
         got = want.copy()
         vectors.only_first(got, left, right)
         assert (got == first).all()
+
+
+def test_every_pair_is_compared_at_any_size(spark, monkeypatch):
+    # Dear looks make cuts pay at few vectors, as many vectors do; all cuts stand between the two of each pair.
+    rng = np.random.default_rng(3)
+    base = np.round(rng.normal(size=(30, 8)), 3)
+    base[:, 0] = 0
+    rows = []
+    for i, v in enumerate(base):
+        for side in (-0.1, 0.1):
+            rows.append((10 * i + int(side > 0), [side, *v[1:].tolist()]))
+    monkeypatch.setattr(vectors, "LOOK", 1.0)
+    monkeypatch.setattr(vectors, "planes", lambda cuts, tables, dims: np.tile(np.eye(1, dims), (tables * cuts, 1)))
+    assert vectors.tables_for(len(rows), 8, 0.9, 0.999)[0] > 0
+    want = brute_near(rows)
+    assert sum(w[1] for w in want) >= 50
+    assert found(spark, rows, "double") == want
+
+
+def test_parts_of_tiles_in_passes_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = family(rng, 260, 16, [(150, 0.25), (30, 0.33), (12, 0.05)]) + ODD
+    tables = []
+    monkeypatch.setattr(vectors, "hold", lambda df, name, hold=vectors.hold: tables.append(name) or hold(df, name))
+    monkeypatch.setattr(vectors, "TILE_ROWS", 64)
+    monkeypatch.setattr(vectors, "PARTS", 2)
+    monkeypatch.setattr(vectors, "LEAST_MOVED", 1)
+    assert vectors.part_rows(16) == 512
+    assert found(spark, rows, "double") == brute_near(rows)
+    assert tables.count("vector-links") > 1
